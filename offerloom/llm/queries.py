@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_dir, table
 from .mixing import mix
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .sharding import shard_documents
 from .token_counts import count_tokens
@@ -27,6 +28,10 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), store=f"{shared_dir(spark)}/slot-map")
 
 
+def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
@@ -36,7 +41,7 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_two_fit, op5_virtual_slots, op8_token_counts, op10_water_filling)}
+    return {f.__name__: f for f in (op2_best_two_fit, op5_virtual_slots, op7_hyperminhash, op8_token_counts, op10_water_filling)}
 
 
 def oracle_sql() -> dict[str, str]:
