@@ -10,6 +10,7 @@ from .common import shared_dir, table
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .quality import judge
 from .sharding import shard_documents
 from .token_counts import count_tokens
 
@@ -36,12 +37,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op9_isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_two_fit, op5_virtual_slots, op7_hyperminhash, op8_token_counts, op10_water_filling)}
+    return {f.__name__: f for f in (op2_best_two_fit, op5_virtual_slots, op7_hyperminhash, op8_token_counts, op9_isolation_forest, op10_water_filling)}
 
 
 def oracle_sql() -> dict[str, str]:
