@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_dir, table
+from .lm_scoring import score
 from .mixing import mix
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -29,6 +30,10 @@ def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), store=f"{shared_dir(spark)}/slot-map")
 
 
+def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,7 +51,7 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_two_fit, op5_virtual_slots, op7_hyperminhash, op8_token_counts, op9_isolation_forest, op10_water_filling)}
+    return {f.__name__: f for f in (op2_best_two_fit, op5_virtual_slots, op6_context_tree, op7_hyperminhash, op8_token_counts, op9_isolation_forest, op10_water_filling)}
 
 
 def oracle_sql() -> dict[str, str]:
