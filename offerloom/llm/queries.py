@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_dir, table
+from . import chat, topk
 from .lm_scoring import score
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -14,6 +15,7 @@ from .packing import pack_documents
 from .quality import judge
 from .sharding import shard_documents
 from .token_counts import count_tokens
+from .topk import nearest
 
 
 def tokenizer(name: str) -> str:
@@ -26,6 +28,14 @@ def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotated(table(spark, sf_dir, "conversations"))
+
+
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), store=f"{shared_dir(spark)}/slot-map")
 
@@ -51,8 +61,8 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_two_fit, op5_virtual_slots, op6_context_tree, op7_hyperminhash, op8_token_counts, op9_isolation_forest, op10_water_filling)}
+    return {f.__name__: f for f in (op2_best_two_fit, op3_branch_and_bound, op4_perspectives, op5_virtual_slots, op6_context_tree, op7_hyperminhash, op8_token_counts, op9_isolation_forest, op10_water_filling)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_branch_and_bound": topk.ORACLE, "op4_perspectives": chat.ORACLE}
