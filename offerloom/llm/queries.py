@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_dir, table
 from . import chat, topk
+from .html_extract import extract
 from .lm_scoring import score
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -24,6 +25,10 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op2_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
@@ -61,7 +66,7 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_best_two_fit, op3_branch_and_bound, op4_perspectives, op5_virtual_slots, op6_context_tree, op7_hyperminhash, op8_token_counts, op9_isolation_forest, op10_water_filling)}
+    return {f.__name__: f for f in (op1_style_tree, op2_best_two_fit, op3_branch_and_bound, op4_perspectives, op5_virtual_slots, op6_context_tree, op7_hyperminhash, op8_token_counts, op9_isolation_forest, op10_water_filling)}
 
 
 def oracle_sql() -> dict[str, str]:
