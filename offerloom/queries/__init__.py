@@ -1,3 +1,3 @@
 """The registered queries, by section of the blueprint."""
 
-from . import baskets, plain  # noqa: F401
+from . import baskets, matching, mutations, plain, windows  # noqa: F401
