@@ -7,9 +7,10 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     """Compatibility decomposition, which the engine lacks."""
     return s.map(lambda x: unicodedata.normalize("NFKD", x), na_action="ignore")

@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 def fnv1a(text: str) -> int:
     """32-bit FNV-1a over code units. Its offset basis and prime."""
     h = 0x811C9DC5
-    for c in text:
-        h = ((h ^ ord(c)) * 0x01000193) & 0xFFFFFFFF
+    units = text.encode("utf-16-le")
+    for i in range(0, len(units), 2):
+        h = ((h ^ (units[i] | units[i + 1] << 8)) * 0x01000193) & 0xFFFFFFFF
     return h
 
 
-def shuffled(items: list, seed: str) -> list:
-    """Fisher-Yates from the end with a 32-bit congruential generator. Its factor and step."""
+def shuffled(items: list, seed: str, scaled: bool = False) -> list:
+    """Fisher-Yates from the end with a 32-bit congruential generator; places by remainder, or scaled. Its factor and step."""
     out, state = list(items), fnv1a(seed)
     for i in range(len(out) - 1, 0, -1):
         state = (state * 1664525 + 1013904223) & 0xFFFFFFFF
-        j = state % (i + 1)
+        j = state * (i + 1) >> 32 if scaled else state % (i + 1)
         out[i], out[j] = out[j], out[i]
     return out
 

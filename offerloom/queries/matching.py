@@ -108,7 +108,7 @@ def _(t: Tables) -> DataFrame:
     return M.described(M.clusters(p, e), e).select("component", "members", "score")
 
 
-@query("w_15_canonical", with_sql(PRODUCT_SQL, PAIR_SQL, LINK_SQL, COMPONENT_SQL, MEMBER_SQL) + "SELECT component, arg_min(trim(name), lpad(CAST(1000 - length(trim(name)) AS VARCHAR), 4, '0') || norm) AS canonical_name FROM member GROUP BY 1")
+@query("w_15_canonical", with_sql(PRODUCT_SQL, PAIR_SQL, LINK_SQL, COMPONENT_SQL, MEMBER_SQL) + "SELECT component, arg_min(CASE WHEN upper(trim(name)) = trim(name) AND regexp_matches(name, '[a-zA-Z]') THEN upper(substr(trim(name), 1, 1)) || lower(substr(trim(name), 2)) ELSE trim(name) END, lpad(CAST(1000 - length(trim(name)) AS VARCHAR), 4, '0') || norm) AS canonical_name FROM member GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     p = products(t)
     return M.clusters(p, M.edges(p)).groupBy("component").agg(M.canonical(F.col("name"), F.col("norm")).alias("canonical_name"))
