@@ -1,3 +1,3 @@
 """The registered queries, by section of the blueprint."""
 
-from . import baskets, files, matching, mutations, plain, scalars, windows  # noqa: F401
+from . import baskets, files, matching, mutations, plain, scalars, server, windows  # noqa: F401

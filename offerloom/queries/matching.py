@@ -147,9 +147,17 @@ def _(t: Tables) -> DataFrame:
     return M.retrieve(with_grams(asked(t)), with_grams(products(t))).select("query_index", "id", "place")
 
 
-@query("g_15_layers")
+LAYER_SQL = """qtok AS (SELECT query_index, list_distinct(string_split(norm, ' ')) AS w FROM ask), ctok AS (SELECT id, price, norm, list_distinct(string_split(norm, ' ')) AS w FROM normed),
+every AS (
+  SELECT a.query_index, c.id, c.price, 0 AS layer, 1.0 AS score FROM ask a JOIN normed c USING (norm)
+  UNION ALL SELECT q.query_index, c.id, c.price, CASE WHEN len(list_intersect(q.w, c.w)) = len(q.w) THEN 1 ELSE 2 END, len(list_intersect(q.w, c.w)) / len(q.w) FROM qtok q JOIN ctok c ON list_has_any(q.w, c.w)
+  UNION ALL SELECT * FROM (SELECT query_index, id, price, 3, similarity FROM found WHERE similarity >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_index ORDER BY similarity DESC, price, id) <= 1000)
+), once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_index, id ORDER BY layer) = 1)"""
+
+
+@query("g_15_layers", with_sql(PRODUCT_SQL, ASK_SQL, LAYER_SQL) + "SELECT query_index, id, layer, round(score, 6) AS score FROM once QUALIFY row_number() OVER (PARTITION BY query_index ORDER BY layer, score DESC, price, id) <= 1000")
 def _(t: Tables) -> DataFrame:
-    return M.layered(asked(t), products(t).select("id", "price", "norm")).select("query_index", "id", "layer", F.round("score", 6).alias("score"), "place")
+    return M.layered(asked(t), products(t).select("id", "price", "norm")).select("query_index", "id", "layer", F.round("score", 6).alias("score"))
 
 
 WORD_SQL = r"word AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS term FROM documents), df AS (SELECT term, count(DISTINCT doc) AS df FROM word GROUP BY 1), vocab AS (SELECT * FROM df WHERE df >= 3 ORDER BY df DESC, term LIMIT 900)"
@@ -294,7 +302,7 @@ def _(t: Tables) -> DataFrame:
     return C.centroids(hosted(t), C.tfidf(plain_tokens(t), products(t).count(), 900, 2)).withColumn("w", F.round("w", 5))
 
 
-@query("j_08_centroid_pairs")
+@query("j_08_centroid_pairs", with_sql(TITLE_SQL, HOSTED, "tv AS (SELECT * FROM tdf WHERE df >= 2 ORDER BY df DESC, term LIMIT 900), raw AS (SELECT doc, term, count(*) * (ln((1.0 + (SELECT count(*) FROM product)) / (1 + any_value(v.df))) + 1) AS x FROM tok JOIN tv v USING (term) GROUP BY ALL), vec AS (SELECT doc, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc)) AS w FROM raw), cen AS (SELECT cluster, term, sum(w) AS s FROM vec JOIN hosted USING (doc) GROUP BY ALL)", "unit AS (SELECT cluster, term, s / sqrt(sum(s * s) OVER (PARTITION BY cluster)) AS w FROM cen)") + "SELECT x.cluster AS a, y.cluster AS b, round(sum(x.w * y.w), 5) AS sim FROM unit x JOIN unit y ON x.term = y.term AND x.cluster < y.cluster GROUP BY ALL HAVING sum(x.w * y.w) >= 0.3")
 def _(t: Tables) -> DataFrame:
     return C.centroid_pairs(C.centroids(hosted(t), C.tfidf(plain_tokens(t), products(t).count(), 900, 2)), 0.3).withColumn("sim", F.round("sim", 5))
 

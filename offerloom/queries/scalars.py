@@ -187,9 +187,10 @@ def _(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.megabytes(F.col("n_chars") * 1000).alias("size"))
 
 
-@query("x_39_teeth")
+@query("x_39_teeth", "SELECT CAST(q * 10 + n AS VARCHAR) AS fdi, CAST(CASE q WHEN 1 THEN 9 - n WHEN 2 THEN 8 + n WHEN 3 THEN 25 - n ELSE 24 + n END AS VARCHAR) AS universal, n || ['┘', '└', '┌', '┐'][q] AS palmer_label, n = 8 AS wisdom FROM range(1, 5) a(q), range(1, 9) b(n)")
 def _(t: Tables) -> DataFrame:
-    return T.teeth(t.spark).withColumn("palmer_label", F.concat(F.col("palmer").cast("string"), "mark"))
+    x = T.teeth(t.spark)
+    return x.select("fdi", "universal", T.palmer(x).alias("palmer_label"), "wisdom")
 
 
 @query("a_29_quadrants", "SELECT q AS quadrant, string_agg(CAST(q * 10 + n AS VARCHAR), ',' ORDER BY n) AS teeth FROM range(1, 5) a(q), range(1, 9) b(n) GROUP BY 1")
