@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+HOME = str(Path(__file__).resolve().parent.parent)
+
+
+def importable(spark: SparkSession) -> SparkSession:
+    """Let Python workers that start from now on import this package from where the driver has it."""
+    env = spark.sparkContext.environment
+    path = env.get("PYTHONPATH", "")
+    if HOME not in path.split(":"):
+        env["PYTHONPATH"] = f"{HOME}:{path}".rstrip(":")
+    return spark
+
 
 def session(master: str = "local[*]", partitions: int = 8, **more: str) -> SparkSession:
     builder = SparkSession.builder.master(master).appName("offerloom")
@@ -15,4 +28,4 @@ def session(master: str = "local[*]", partitions: int = 8, **more: str) -> Spark
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
-    return builder.config(map=settings | more).getOrCreate()
+    return importable(builder.config(map=settings | more).getOrCreate())
