@@ -8,10 +8,13 @@ similarity is estimated from equal registers, corrected for registers that agree
 chance, candidates far below the limit go, and the rest are confirmed on full sets.
 
 Copies are folded first: documents with equal sets form a class, and only its smallest id is
-compared. Within a band's bucket, rounds compare all members with one member, chosen anew
-each round; confirmed links merge components, and only buckets that still hold
-several components go on. When the pairs left over are few they are all compared, so a group of
-near copies costs its size, not its square, and no candidate is dropped.
+compared. Then every bucket of every band compares its members with its most central one,
+and confirmed links make components. What is left are buckets with several components.
+The largest component of such a bucket is its hub; a hub's members and the members of all
+components that meet it in a bucket are laid out in blocks of bounded size, and each
+pair of blocks is one task that confirms all links between components at once, by a
+product of membership matrices. Rows are counted in blocks, so a group of near copies
+costs rows in proportion to its size, and no candidate is dropped.
 
 With 32 bands of 4 registers a pair at the limit of 0.75 is missed with a probability
 of 5e-6, less above it. The estimate is cut at 0.55, five standard errors below the limit.
@@ -38,10 +41,12 @@ BUCKETS = 128
 ROWS_PER_BAND = 4
 MANTISSA = 10
 LEAST_ESTIMATE = 0.55
-STAR_ROUNDS = 8
-REMEMBER = 500_000
+#: Sets, and shingles, that a block may hold.
+BLOCK_SETS = 400
+BLOCK_SHINGLES = 1_500_000
+REMEMBER = 300_000
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, registers binary"
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
 
 
@@ -92,7 +97,7 @@ def registers(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, registers; the last three null for the empty set."""
+    """doc_id, n_shingles, a 128-bit digest of the set, registers as bands of four in a long; the last three null for the empty set."""
     import pyarrow as pa
     from xxhash import xxh3_128_digest
 
@@ -111,9 +116,9 @@ def sketched(docs: DataFrame) -> DataFrame:
                 if len(some):
                     starts = np.cumsum(size[some]) - size[some]
                     for i, r in zip(some, registers(np.concatenate([sets[i] for i in some]), starts)):
-                        regs[i] = r.tobytes()
+                        regs[i] = r.view("i8")
                         digest[i] = tuple(np.frombuffer(xxh3_128_digest(sets[i].tobytes()), "i8").tolist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array([a for a, _ in digest], pa.int64()), pa.array([b for _, b in digest], pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "set_a", "set_b", "registers"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array([a for a, _ in digest], pa.int64()), pa.array([b for _, b in digest], pa.int64()), pa.array(regs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, SKETCH)
 
@@ -145,6 +150,12 @@ def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return out / (1 << MANTISSA)
 
 
+def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity that a share of equal registers tells, without those equal by chance."""
+    c = chance(n, m)
+    return (equal - c) / (1 - c)
+
+
 def estimated(pairs: DataFrame) -> DataFrame:
     """(u, v) of the pairs (u, v, n, m, ru, rv) whose corrected estimate leaves the limit within reach."""
     import pyarrow as pa
@@ -154,81 +165,154 @@ def estimated(pairs: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             n, m = (batch.column(i).to_numpy().astype("f8") for i in (2, 3))
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "u2").reshape(-1, BUCKETS) for i in (4, 5))
-            c = chance(n, m)
-            j = ((a == b).mean(1) - c) / (1 - c)
-            yield batch.select(["u", "v"]).filter(pa.array(j >= LEAST_ESTIMATE))
+            a, b = (batch.column(i).flatten().to_numpy().view("u2").reshape(-1, BUCKETS) for i in (4, 5))
+            yield batch.select(["u", "v"]).filter(pa.array(estimate((a == b).mean(1), n, m) >= LEAST_ESTIMATE))
 
     return pairs.where("4 * least(n, m) >= 3 * greatest(n, m)").select("u", "v", "n", "m", "ru", "rv").mapInArrow(likely, "u long, v long")
 
 
+def sets_for(needed: DataFrame, docs: DataFrame) -> DataFrame:
+    """A staged table of the sets of the documents in ``needed`` (doc_id)."""
+    needed = stage(needed.distinct(), "needed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_enough(needed), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return stage(shingle_sets(texts), "sets")
+
+
 def confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """A staged table of the pairs (u, v) that hold on full sets."""
-    a = sketches.select(F.col("rep").alias("u"), F.col("n_shingles").alias("n"), F.col("registers").alias("ru"))
-    b = sketches.select(F.col("rep").alias("v"), F.col("n_shingles").alias("m"), F.col("registers").alias("rv"))
+    a = sketches.select(F.col("rep").alias("u"), F.col("n_shingles").alias("n"), F.col("bands").alias("ru"))
+    b = sketches.select(F.col("rep").alias("v"), F.col("n_shingles").alias("m"), F.col("bands").alias("rv"))
     likely = stage(estimated(pairs.join(a, "u").join(b, "v")), "likely")
-    needed = stage(likely.select(F.col("u").alias("doc_id")).union(likely.select(F.col("v").alias("doc_id"))).distinct(), "needed")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_enough(needed), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sets = stage(shingle_sets(texts), "sets")
+    sets = sets_for(likely.select(F.col("u").alias("doc_id")).union(likely.select(F.col("v").alias("doc_id"))), docs)
     both = likely.join(sets.select(F.col("doc_id").alias("u"), F.col("members").alias("mu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("members").alias("mv")), "v")
     shared = F.size(F.array_intersect("mu", "mv"))
     out = stage(both.withColumn("shared", shared).where(100 * F.col("shared") >= percent * (F.size("mu") + F.size("mv") - F.col("shared"))).select("u", "v"), "links")
-    unstage(likely, needed, sets)
+    unstage(likely, sets)
+    return out
+
+
+def links_between(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (of positions) of linked sets, enough of them to join all components that links between ``left`` and ``right`` join."""
+    size = np.array([len(x) for x in sets])
+    regs = registers(np.concatenate(sets), np.cumsum(size) - size)
+    near = np.zeros((len(left), len(right)), bool)
+    for i, x in enumerate(left):
+        other = component[right] != component[x]
+        near[i] = other & (estimate((regs[right] == regs[x]).mean(1), np.full(len(right), size[x], "f8"), size[right].astype("f8")) >= LEAST_ESTIMATE)
+    if not near.any():
+        return []
+    # verification: shared members by products of membership matrices, some columns at a time
+    rows, columns = near.any(1), near.any(0)
+    left, right, near = left[rows], right[columns], near[np.ix_(rows, columns)]
+    used = np.union1d(left, right)
+    owner = np.repeat(used, size[used])
+    value, index, count = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1
+    keep = count[index] > 1
+    owner, column = owner[keep], rank[index[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    place = np.zeros(len(sets), "i8")
+    place[left] = np.arange(len(left))
+    side = np.zeros(len(sets), "i8")
+    side[right] = np.arange(len(right))
+    in_left, in_right = np.isin(owner, left), np.isin(owner, right)
+    shared = np.zeros((len(left), len(right)), "f4")
+    step = 4096
+    for at in range(0, int((count > 1).sum()), step):
+        lo, hi = np.searchsorted(column, [at, at + step])
+        a, b = np.zeros((len(left), step), "f4"), np.zeros((len(right), step), "f4")
+        m = slice(lo, hi)
+        a[place[owner[m][in_left[m]]], column[m][in_left[m]] - at] = 1
+        b[side[owner[m][in_right[m]]], column[m][in_right[m]] - at] = 1
+        shared += a @ b.T
+    hit = near & (100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared))
+    parent = {c: c for c in component.tolist()}
+
+    def find(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out = []
+    for i, j in zip(*np.nonzero(hit)):
+        x, y = find(int(component[left[i]])), find(int(component[right[j]]))
+        if x != y:
+            parent[x] = y
+            out.append((int(left[i]), int(right[j])))
+    return out
+
+
+def links_in_blocks(current: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame | None:
+    """A staged table of links (u, v) between components that share a bucket; None if none do. ``current``: (rep, band, key, component)."""
+    per = current.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
+    hubs = per.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("h")).where("parts > 1")
+    meets = stage(per.join(hubs.select("band", "key", (-F.col("h.c")).alias("hub")), ["band", "key"]).where("component <> hub").select("hub", "component").distinct(), "meets")
+    if meets.isEmpty():
+        unstage(meets)
+        return None
+    members = stage(current.select("rep", "component").distinct().join(sketches.select("rep", "n_shingles"), "rep"), "members")
+    others = meets.join(members, "component").select("hub", "rep", "component", "n_shingles")
+    own = meets.select(F.col("hub").alias("component")).distinct().join(members, "component").select(F.col("component").alias("hub"), "rep", "component", "n_shingles")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    counts = stage(others.groupBy("hub").agg(blocks.alias("bo")).join(own.groupBy("hub").agg(blocks.alias("bh")), "hub"), "blocks")
+
+    def laid(rows: DataFrame, mine: str) -> DataFrame:
+        return rows.join(counts, "hub").withColumn("block", F.pmod(F.xxhash64("rep"), F.col(mine)))
+
+    def upto(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    o, h = laid(others, "bo"), laid(own, "bh")
+    keep = ["hub", "rep", "component"]
+    tasks = o.withColumn("i", upto("bh")).select(*keep, F.lit(0).alias("kind"), "i", F.col("block").alias("j"), F.lit(1).alias("side"))
+    tasks = tasks.union(h.withColumn("j", upto("bo")).select(*keep, F.lit(0), F.col("block"), "j", F.lit(0)))
+    twin = o.withColumn("with", upto("bo"))
+    tasks = tasks.union(twin.select(*keep, F.lit(1), F.least("block", "with"), F.greatest("block", "with"), F.when(F.col("block") <= F.col("with"), 0).otherwise(1)))
+    sets = sets_for(tasks.select(F.col("rep").alias("doc_id")), docs)
+    rows = tasks.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("hub", "kind", "i", "j", "side", "rep", "component", "members")
+
+    def evaluate(group):
+        import pyarrow as pa
+
+        rep, component, side = (group.column(c).to_numpy() for c in ("rep", "component", "side"))
+        data = [x.values.to_numpy().view("u8") for x in group.column("members")]
+        same = group.column("i")[0].as_py() == group.column("j")[0].as_py() and group.column("kind")[0].as_py() == 1
+        left, right = (np.arange(len(rep)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        found = links_between(data, component, left, right, percent) if len(left) and len(right) else []
+        return pa.table({"u": pa.array([int(rep[a]) for a, _ in found], pa.int64()), "v": pa.array([int(rep[b]) for _, b in found], pa.int64())})
+
+    out = stage(rows.groupBy("hub", "kind", "i", "j").applyInArrow(evaluate, "u long, v long"), "block-links")
+    unstage(meets, members, counts, sets)
     return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
     sketch = stage(sketched(docs), "sketch")
-    classes = sketch.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    classes = stage(classes, "classes")
-    reps = stage(sketch.join(classes, ["set_a", "set_b"]).where("doc_id = rep").dropDuplicates(["set_a", "set_b"]).select("rep", "n_shingles", "registers"), "reps")
-
-    # 4 registers of 16 bits are one band: 8 bytes, 16 hex digits
-    digits = 4 * ROWS_PER_BAND
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // ROWS_PER_BAND - 1)), lambda i: F.struct(i.alias("band"), F.conv(F.substring(F.hex("registers"), i * digits + 1, F.lit(digits)), 16, -10).cast("long").alias("key")))
-    bands = reps.select("rep", F.inline(keys))
-    shared = bands.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    bands = stage(bands.join(shared, ["band", "key"]).select("rep", "band", "key"), "bands")
-    rows = bands.count()
-
-    links: DataFrame | None = None
-    labels = None
-    current = bands.withColumn("component", F.col("rep"))
-    for turn in range(STAR_ROUNDS + 1):
-        if labels is not None:
-            current = bands.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        per = current.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
-        open_ = per.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("squares")).where("parts > 1")
-        open_ = stage(open_.withColumn("pairs", (F.col("all") * F.col("all") - F.col("squares")) / 2), "open")
-        left = open_.agg(F.sum("pairs")).first()[0] or 0
-        if not left:
-            unstage(open_)
-            break
-        active = stage(current.join(open_.select("band", "key"), ["band", "key"]), "active")
-        last = left <= max(rows, 1000) or turn == STAR_ROUNDS
-        if last:
-            x, y = active.alias("x"), active.alias("y")
-            pairs = x.join(y, ["band", "key"]).where("x.component < y.component").select(F.least("x.rep", "y.rep").alias("u"), F.greatest("x.rep", "y.rep").alias("v"))
-        else:
-            order = F.xxhash64(F.lit(turn), "rep") if turn else F.col("rep")
-            centre = active.groupBy("band", "key").agg(F.min(F.struct(order.alias("o"), F.col("rep").alias("rep"), F.col("component").alias("component"))).alias("c"))
-            pairs = active.join(centre, ["band", "key"]).where("component <> c.component").select(F.least("rep", "c.rep").alias("u"), F.greatest("rep", "c.rep").alias("v"))
-        found = confirmed(pairs.distinct(), reps, docs, percent)
-        unstage(open_, active)
-        if labels is not None:
-            old = labels
-            links = stage(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).where("u <> v").union(found), "all-links")
-            unstage(found, old)
-        else:
-            links = found
-        labels = components(links)
-        unstage(links)
-        if last:
-            break
-    of_rep = classes if labels is None else classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-    of_set = of_rep.select("set_a", "set_b", F.coalesce("component", "rep").alias("component") if labels is not None else F.col("rep").alias("component"))
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    classes = stage(sketch.where(linkable).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
+    reps = stage(sketch.where(linkable).join(classes, ["set_a", "set_b"]).where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n_shingles", "bands"), "reps")
+
+    rows = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    shared = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    bands = stage(rows.join(shared, ["band", "key"]).select("rep", "band", "key", "members"), "bands")
+    central = bands.groupBy("rep").agg(F.sum("members").alias("weight"))
+    centre = bands.join(central, "rep").groupBy("band", "key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("c"))
+    star = bands.join(centre.select("band", "key", (-F.col("c.r")).alias("hub")), ["band", "key"]).where("rep <> hub")
+    links = confirmed(star.select(F.least("rep", "hub").alias("u"), F.greatest("rep", "hub").alias("v")).distinct(), reps, docs, percent)
+    labels = components(links)
+
+    current = bands.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "band", "key", F.coalesce("component", "rep").alias("component"))
+    more = links_in_blocks(current, reps, docs, percent)
+    if more is not None:
+        all_links = stage(links.union(more), "all-links")
+        unstage(labels, more)
+        labels = components(all_links)
+        unstage(all_links)
+    unstage(links, bands, reps)
+    of_set = classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("set_a", "set_b", F.coalesce("component", "rep").alias("component"))
     linked = sketch.where(linkable).join(of_set, ["set_a", "set_b"]).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     alone = sketch.where(~linkable).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
