@@ -33,7 +33,9 @@ SCALE = 64
 EVERY = 20
 CANDIDATES = 8192
 QUERIES = 512
-STEP = 8
+STEP = 16
+#: Candidates of a block whose whole scores set the first bound.
+SEED = 256
 
 ORACLE = f"""
 WITH v AS (
@@ -104,45 +106,49 @@ def best(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.n
         squares = np.add.reduceat(a.astype("f8") ** 2, np.arange(0, len(a), STEP), axis=0) if len(a) else np.zeros((0, a.shape[1]))
         return np.sqrt(np.vstack([np.cumsum(squares[::-1], 0)[::-1], np.zeros((1, a.shape[1]))]))
 
-    query_left, data_left = left(q), left(x)
+    query_left, data_left = (a.astype(q.dtype) for a in (left(q), left(x)))
     own = query_ids[:, None] == ids[None, :]
+    # the bound to beat: the k-th best whole score among the first candidates
+    cut = kth(np.where(own[:, :SEED], -np.inf, q.T @ x[:, :SEED]), k)
     total = np.zeros((q.shape[1], x.shape[1]), q.dtype)
-    columns, at, of, part, steps = np.arange(x.shape[1]), None, None, None, len(query_left) - 1
+    columns, steps = np.arange(x.shape[1]), len(query_left) - 1
+    at = of = part = None
     for s in range(steps):
         dims = slice(s * STEP, (s + 1) * STEP)
         if at is None:  # still dense: all queries with the candidates that some query needs
             total += q[dims].T @ x[dims][:, columns]
             if s + 1 == steps:
                 break
-            reach = (query_left[s + 1][:, None] * data_left[s + 1][columns][None, :] * (1 + 1e-6) + 0.5).astype(total.dtype)
-            low = np.where(own, -np.inf, total - reach)
-            if low.shape[1] <= k:
-                continue
-            cut = np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k]
-            alive = (total + reach >= cut[:, None]) & ~own
-            needed = alive.any(0)
-            if not needed.all():
-                columns, total, own, alive = columns[needed], total[:, needed], own[:, needed], alive[:, needed]
-            if alive.mean() < 0.15:
-                at, of = np.nonzero(alive)
+            reach = np.outer(query_left[s + 1] * q.dtype.type(1 + 1e-5) + q.dtype.type(1e-3), data_left[s + 1][columns])
+            reach += total
+            alive = reach >= cut[:, None] - 0.5
+            share = alive.mean()
+            if share < 0.9:
+                needed = alive.any(0)
+                if needed.mean() < 0.9:
+                    columns, total, own, alive = columns[needed], total[:, needed], own[:, needed], alive[:, needed]
+            if share < 0.1:
+                at, of = np.nonzero(alive & ~own)
                 part, of = total[at, of], columns[of]
         else:  # compacted: the pairs that are left
             for d in range(dims.start, min(dims.stop, len(q))):
                 part += q[d, at] * x[d, of]
-            reach = query_left[s + 1][at] * data_left[s + 1][of] * (1 + 1e-6) + 0.5
-            by = np.lexsort((-(part - reach), at))
-            place = np.arange(len(by)) - np.searchsorted(at[by], at[by])
-            cut = np.full(q.shape[1], -np.inf)
-            kth = by[place == k - 1]
-            cut[at[kth]] = (part - reach)[kth]
-            keep = part + reach >= cut[at]
+            keep = part + query_left[s + 1][at] * data_left[s + 1][of] * (1 + 1e-5) + 0.5 >= cut[at]
             at, of, part = at[keep], of[keep], part[keep]
     if at is None:
-        at, of = np.nonzero(~own)
+        total[own] = -np.inf
+        at, of = np.nonzero((total >= np.maximum(cut, kth(total, k))[:, None]) & ~own)
         part, of = total[at, of], columns[of]
     return _first(at, of, np.rint(part).astype("i8"), ids, k)
 
 
+def kth(score: np.ndarray, k: int) -> np.ndarray:
+    """The k-th largest of each row; minus infinity if it has fewer."""
+    if score.shape[1] < k:
+        return np.full(len(score), -np.inf, score.dtype)
+    return np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+
+
 def _first(at: np.ndarray, of: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     by = np.lexsort((ids[of], -score, at))
     at, of, score = at[by], of[by], score[by]
