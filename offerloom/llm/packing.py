@@ -31,7 +31,7 @@ from .token_counts import byte_symbols
 
 CAPACITY = 2048
 #: Chunks whose ids a worker remembers before it starts afresh.
-REMEMBER = 600_000
+REMEMBER = 300_000
 #: Pieces that one salted group should hold.
 GROUP_ROWS = 20_000
 
@@ -60,9 +60,8 @@ class ChunkEncoder:
 
         import regex
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"]
         byte_of = {s: b for b, s in enumerate(byte_symbols())}
@@ -73,7 +72,11 @@ class ChunkEncoder:
 
     def _encode(self, text: str) -> bytes:
         if "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return array("I", self.plain.encode_ordinary(text)).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
