@@ -279,6 +279,23 @@ def test_forest_tells_junk_from_prose():
     assert quality.calibrated(score[label], label[label]) == float("inf") and (quality.Forest(x).score(x) == score).all()
 
 
+@pytest.mark.parametrize(("sf", "good_kept"), [("sf0.01", 0.97), ("sf0.1", 0.98)])
+def test_labelled_junk_is_rejected(spark, sf, good_kept):
+    at = f"/root/testdata/{sf}"
+    labels = spark.read.parquet(f"{at}/labels.parquet")
+    docs = spark.read.parquet(f"{at}/documents.parquet").join(labels.select("doc_id"), "doc_id", "left_semi")
+    rows = quality.judge(docs, labels).where(f"n_words >= {quality.LEAST_WORDS}").join(labels, "doc_id").collect()
+    good, bad = ([r.kept for r in rows if r.quality == q] for q in (1, 0))
+    assert sum(good) >= good_kept * len(good) and sum(bad) <= 0.002 * len(bad)
+
+
+def test_cut_lies_between_the_labels():
+    import numpy as np
+
+    score, good = np.array([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]), np.array([1, 1, 1, 1, 0, 0, 1], bool)
+    assert quality.calibrated(score, good) == pytest.approx(0.45)
+
+
 def test_lm_scoring(spark, docs, none):
     got = lm_scoring.score(docs).collect()
     assert len(got) == len(ROWS)
