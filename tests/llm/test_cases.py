@@ -289,6 +289,19 @@ def test_labelled_junk_is_rejected(spark, sf, good_kept):
     assert sum(good) >= good_kept * len(good) and sum(bad) <= 0.002 * len(bad)
 
 
+def test_accepted_goes_by_each_row(spark, small):
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    given = spark.read.parquet(f"{small}/documents.parquet")
+    rows = given.collect()
+    kept = {r.doc_id for r in quality.judge(given, labels).collect() if r.kept}
+    clean = next(r.text for r in rows if r.doc_id in kept)
+    more = spark.createDataFrame([(None, clean, "it", "a", 1), (None, "x " * 99, "it", "a", 1), (-1, clean, "it", "a", 1), (-1, "x " * 99, "it", "a", 1), (None, None, None, None, None)], DOCS)
+    docs = given.select(more.columns).union(more).withColumns({c: F.lit("x") for c in CLASH})
+    got = Counter((r.doc_id, r.text) for r in quality.accepted(docs, labels).collect())
+    assert got == Counter([(r.doc_id, r.text) for r in rows if r.doc_id in kept] + [(None, clean), (-1, clean)])
+    assert quality.accepted(docs.limit(0), labels).count() == 0
+
+
 def test_cut_lies_between_the_labels():
     import numpy as np
 
