@@ -20,7 +20,8 @@ With 32 bands of 4 registers a pair at the limit of 0.75 is missed with a probab
 of 5e-6, less above it. The estimate is cut at 0.55, five standard errors below the limit.
 
 Cases: null, empty and blank texts have the empty set, size 0, and are linked with nothing;
-fewer than five words make one shingle; repeated rows with one id are one document; rows
+fewer than five words make one shingle; repeated rows with one id are one document, of which
+one row stays; rows
 without an id are never linked and are kept; an empty table gives an empty result; extra
 columns are ignored; texts are read whole.
 """
@@ -319,7 +320,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` that are kept: one document of each component."""
-    found = stage(near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "kept")
-    kept = docs.join(small_enough(found), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` that are kept: one document of each component, one row of each kept id and text."""
+    by_id = near_duplicates(docs, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    found = stage(by_id.where("kept").select("doc_id", (F.col("rows") > 1).alias("repeated")), "kept")
+    more = stage(found.where("repeated").select("doc_id"), "repeated")
+    kept = docs.join(small_enough(found.select("doc_id")), "doc_id", "left_semi").select(*docs.columns)
+    if not more.isEmpty():  # only rows of repeated ids are shuffled with their texts
+        again = kept.join(small_enough(more), "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+        kept = kept.join(small_enough(more), "doc_id", "left_anti").select(*docs.columns).unionByName(again)
     return kept.unionByName(docs.where("doc_id IS NULL"))

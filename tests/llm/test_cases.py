@@ -191,6 +191,15 @@ def test_near_duplicates(docs, none):
     assert kept.columns == docs.columns and Counter(r.doc_id for r in kept.collect()) == Counter({1: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, None: 2})
 
 
+def test_one_row_of_a_kept_id_and_text_stays(spark):
+    text = "uno due tre quattro cinque sei sette"
+    rows = [(1, text), (1, text), (2, text), (3, "altro testo"), (4, None), (4, None), (None, text), (None, text)]
+    docs = spark.createDataFrame([(i, t, "it", "a", 1) for i, t in rows], DOCS).withColumns({c: F.lit("x") for c in CLASH}).repartition(3)
+    kept = near_dedup.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter({(1, text): 1, (3, "altro testo"): 1, (4, None): 1, (None, text): 2})
+
+
 def sets_of(texts):
     out = {}
     for i, t in texts.items():
