@@ -10,6 +10,10 @@ removed from every page of the host, unless they are the host's main content. Pa
 alone on their host, and branches whose purpose their element, role or class names
 (navigation, adverts, forms, comments, ...) tell, don't need the tree.
 
+Branches seen on fewer than ``LEAST_PAGES`` pages of their host are never removed: a site of
+2 to 7 pages keeps repeated blocks that no element, role or class name tells, and the same
+page may give a shorter text once its host has more pages.
+
 Entropies are sums over (host, branch, word), aggregated before and by the shuffle, so a host
 of any size is never in one task; only the list of removed branches meets the pages.
 
