@@ -32,6 +32,9 @@ from .token_counts import byte_symbols
 CAPACITY = 2048
 #: Chunks whose ids a worker remembers before it starts afresh.
 REMEMBER = 300_000
+#: Characters of a chunk that is encoded by the library, and that is remembered, at most.
+LONG = 20_000
+SHORT = 200
 #: Pieces that one salted group should hold.
 GROUP_ROWS = 20_000
 
@@ -46,10 +49,10 @@ class ChunkEncoder:
 
     White space runs only begin pre-tokens of this tokenizer and never end inside one,
     so a text can be cut before any space that follows a non-space, and each chunk
-    encoded alone, once per distinct chunk. A text with a space after other white space
-    is encoded whole. Plain chunks go to a small encoder that holds the file's own
+    encoded alone, once per distinct chunk. Plain chunks go to a small encoder that holds the file's own
     vocabulary as ranks, which gives the library's ids at less cost a call; whatever may
-    hold a special string goes to the library.
+    hold a special string, or is longer than ``LONG`` characters without such a place, goes to
+    the library, whose stack doesn't grow with a run of white space. Only short chunks are remembered.
     """
 
     def __init__(self, path: str, remember: int = REMEMBER):
@@ -68,10 +71,11 @@ class ChunkEncoder:
         self.plain = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={bytes(byte_of[c] for c in s): i for s, i in vocab.items()}, special_tokens={})
         self.known: dict[str, bytes] = {}
         self.remember = remember
-        self.uncut = regex.compile(r"\s ")
+        self.run = regex.compile(r"\s ")
+        self.place = regex.compile(r"(?<=\S)(?= )")
 
     def _encode(self, text: str) -> bytes:
-        if "<|" in text:
+        if len(text) > LONG or "<|" in text:
             if self.library is None:
                 from tokenizers import Tokenizer
 
@@ -87,8 +91,8 @@ class ChunkEncoder:
             if not text:
                 parts.append([])
                 continue
-            if " " not in text or text[0] == " " or self.uncut.search(text):
-                chunks = [text]
+            if text[0] == " " or self.run.search(text):
+                chunks = self.place.split(text)
             else:
                 head, *tail = text.split(" ")
                 chunks = [head, *[" " + c for c in tail]]
@@ -98,7 +102,11 @@ class ChunkEncoder:
                     fresh[c] = None
         if fresh:
             known.update(zip(fresh, map(self._encode, fresh)))
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in parts]
+        out = [b"".join(map(known.__getitem__, chunks)) for chunks in parts]
+        for c in fresh:
+            if len(c) > SHORT:
+                del known[c]
+        return out
 
 
 def cut(ids: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:

@@ -6,11 +6,14 @@ pre-tokens of a batch lie end to end in one array of symbol ids. In each round e
 word looks up the ranks of its adjacent pairs, takes its lowest, and merges all
 places of that pair at once, left to right; words without a pair left are done, and
 their symbols are counted. A merge only ever makes pairs of a higher rank, so this gives
-what merging one place at a time gives.
+what merging one place at a time gives. Words of more than ``LONG`` symbols, which stay alive
+for many rounds, keep the places of every rank instead: a round reads and ranks anew only
+the places it merges and their neighbours, so the work grows with the word's length.
 
 Words are separated by white space before anything else happens to a text, and
 normalization never reaches across white space, so each distinct white-space-free chunk is
-counted once per worker.
+counted once per worker. Chunks with characters that Python's Unicode tables don't know are
+cut into words by the library's own normalizer and pre-tokenizer, as its tables are newer.
 
 Cases: null and empty texts have no tokens; the strings of special tokens inside a text
 count one each and split the text, as the library has it by default; symbols that the
@@ -22,6 +25,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -31,6 +35,7 @@ from .common import utf8
 
 LIMIT = 2048
 REMEMBER = 600_000
+LONG = 512
 NONE = np.int64(1) << 40
 
 COUNTS = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
@@ -46,7 +51,7 @@ def byte_symbols() -> list[str]:
     return out
 
 
-SPACE, LETTER, DIGIT, OTHER = range(4)
+SPACE, LETTER, DIGIT, OTHER, UNKNOWN = range(5)
 
 #: The characters that the library's patterns take as white space.
 WHITE = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
@@ -55,8 +60,8 @@ WHITE = frozenset("\t\n\v\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005
 def kind(c: str) -> int:
     if c in WHITE:
         return SPACE
-    category = unicodedata.category(c)[0]
-    return LETTER if category == "L" else DIGIT if category == "N" else OTHER
+    category = unicodedata.category(c)
+    return {"L": LETTER, "N": DIGIT}.get(category[0], UNKNOWN if category == "Cn" else OTHER)
 
 
 def fold(text: str) -> str:
@@ -108,6 +113,7 @@ class WordMerger:
         pattern = next(p["pattern"]["Regex"] for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern)
         symbols = byte_symbols()
+        self.path, self.library, self.byte_of = path, None, {s: b for b, s in enumerate(symbols)}
         self.inner = np.array([vocab.get(s, -1) for s in symbols], "i8")
         self.last = np.array([vocab.get(s + end, -1) for s in symbols], "i8")
         pairs = [(a, b) if not isinstance(x, str) else tuple(x.split(" ")) for x in model["merges"] for a, b in [x if not isinstance(x, str) else x.split(" ")]]
@@ -121,6 +127,11 @@ class WordMerger:
         symbol = np.where(np.append(owner[1:] != owner[:-1], True), self.last[raw], self.inner[raw]) if len(raw) else raw
         known = symbol >= 0
         symbol, owner = symbol[known], owner[known]
+        size = np.bincount(owner, minlength=words) if len(owner) else out
+        if size.max(initial=0) > LONG:
+            long = size[owner] > LONG
+            out += self.count_long(symbol[long], owner[long], words)
+            symbol, owner = symbol[~long], owner[~long]
         while len(symbol):
             pair = symbol[:-1] << 20 | symbol[1:]
             rank = np.where(owner[:-1] == owner[1:], self.find(pair), NONE)
@@ -144,9 +155,64 @@ class WordMerger:
             symbol, owner = symbol[gone], owner[gone]
         return out
 
+    def count_long(self, symbol: np.ndarray, owner: np.ndarray, words: int) -> np.ndarray:
+        """As count, over symbols: each round takes the lowest rank of all, at all its places."""
+        n = len(symbol)
+        symbol, alive = symbol.copy(), np.ones(n + 1, bool)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)  # n and -1, which are one place: none
+        last = np.append(owner[1:] != owner[:-1], True)
+        after[last] = n
+        before[np.append(True, last[:-1])] = n
+        rank = np.full(n + 1, NONE)
+        places: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def rank_anew(at: np.ndarray) -> None:
+            paired = after[at] < n
+            rank[at[~paired]] = NONE
+            at = at[paired]
+            found = self.find(symbol[at] << 20 | symbol[after[at]])
+            rank[at] = found
+            hit = found < NONE
+            at, found = at[hit], found[hit]
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            first = np.flatnonzero(np.append(True, found[1:] != found[:-1])) if len(found) else found
+            for r, part in zip(found[first].tolist(), np.split(at, first[1:])):
+                if r not in places:
+                    places[r] = []
+                    heappush(queue, r)
+                places[r].append(part)
+
+        rank_anew(np.arange(n))
+        while queue:
+            r = heappop(queue)
+            at = np.unique(np.concatenate(places.pop(r)))
+            at = at[alive[at] & (rank[at] == r)]
+            if not len(at):
+                continue
+            run = np.append(True, after[at[:-1]] != at[1:])  # overlapping places merge every other one
+            at = at[(np.arange(len(at)) - np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))) % 2 == 0]
+            gone = after[at]
+            symbol[at], alive[gone], rank[gone] = self.made[r], False, NONE
+            after[at] = after[gone]
+            linked = after[at] < n
+            before[after[at[linked]]] = at[linked]
+            left = before[at]
+            rank_anew(np.unique(np.append(at, left[left < n])))
+        return np.bincount(owner[alive[:n]], minlength=words)
+
     def pre_tokens(self, text: str) -> list[bytes]:
         """The words of any text, by the file's own pattern."""
-        return [w.encode() for w in self.words.findall(fold(text))]
+        folded = fold(text)
+        if folded.isascii() or not any(unicodedata.category(c) == "Cn" for c in set(folded)):
+            return [w.encode() for w in self.words.findall(folded)]
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        pieces = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
+        return [bytes(map(self.byte_of.__getitem__, piece)) for piece, _ in pieces]
 
     def count_words(self, words: list[bytes]) -> np.ndarray:
         return self.count(np.frombuffer(b"".join(words), "u1"), np.repeat(np.arange(len(words)), [len(w) for w in words]), len(words))
@@ -158,7 +224,9 @@ class WordMerger:
         totals = np.zeros(len(chunks), "i8")
         plain = np.array([i for i in range(len(chunks)) if i not in skip], "i8")
         if len(plain):
-            totals[plain] = self._count_plain([chunks[i] for i in plain] if odd else chunks)
+            totals[plain], unknown = self._count_plain([chunks[i] for i in plain] if odd else chunks)
+            odd += plain[unknown].tolist()
+            totals[plain[unknown]] = 0
         words, of = [], []
         for i in odd:
             parts = self.split_special.split(chunks[i].decode("utf-8", "replace"))
@@ -171,8 +239,8 @@ class WordMerger:
             np.add.at(totals, of, self.count_words(words))
         return totals.tolist()
 
-    def _count_plain(self, chunks: list[bytes]) -> np.ndarray:
-        """As count_chunks, all in arrays: without apostrophes, words are runs of letters, of symbols, and single digits."""
+    def _count_plain(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As count_chunks, all in arrays: without apostrophes, words are runs of letters, of symbols, and single digits; and the chunks that hold unknown characters."""
         text = fold(b"\n".join(chunks).decode("utf-8", "replace"))
         code = np.frombuffer(text.encode("utf-32-le"), "<u4")
         kinds = self.kinds[np.minimum(code, 0xFFFF)]
@@ -185,8 +253,9 @@ class WordMerger:
         char = np.cumsum((raw & 0xC0) != 0x80) - 1
         used = inside[char]
         n = self.count(raw[used], word[char[used]], int(begins.sum()))
-        chunk = np.cumsum(code == 10)[begins]
-        return np.bincount(chunk, n, len(chunks)).astype("i8")
+        chunk = np.cumsum(code == 10)
+        unknown = np.unique(chunk[kinds == UNKNOWN])
+        return np.bincount(chunk[begins], n, len(chunks)).astype("i8"), unknown
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFrame:

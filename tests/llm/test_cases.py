@@ -154,6 +154,40 @@ def test_chunks_encode_as_whole_texts():
     assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [reference.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+@pytest.mark.parametrize("run", [" " * 5_000_000, "\n" * 1_500_000, " \n\t" * 500_000, "x" * 1_000_000, "!?" * 300_000, "1234567" * 100_000])
+def test_long_runs_encode_and_count_as_in_the_library(run):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+    text = "a" + run + "b c"
+    assert np.frombuffer(packing.ChunkEncoder(path)([text])[0], "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    path = tokenizer("word_bpe_49k.json")
+    merger = token_counts.WordMerger(path)
+    assert sum(merger.count_chunks(text.encode().split())) == len(Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+
+
+def test_long_words_merge_as_short_ones():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    reference, merger, rng = Tokenizer.from_file(path), token_counts.WordMerger(path), random.Random(6)
+    words = ["".join(rng.choices(rng.choice(["ab", "abc", "theaing", "é日a", "=-"]), k=rng.randint(1, 2000))) for _ in range(150)]
+    assert merger.count_chunks([w.encode() for w in words]) == [len(reference.encode(w, add_special_tokens=False).ids) for w in words]
+
+
+def test_every_character_counts_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    path = tokenizer("word_bpe_49k.json")
+    reference, merger = Tokenizer.from_file(path), token_counts.WordMerger(path)
+    texts = [form.replace("?", chr(c)) for c in [*range(0x80, 0xD800, 3), *range(0xA7C0, 0xA7E0), *range(0x10D40, 0x10D90), *range(0x13430, 0x14600, 2)] for form in ("a?b", "=?=") if not chr(c).isspace()]
+    texts = [t for t in texts if len(t.split()) == 1]
+    assert merger.count_chunks([t.encode() for t in texts]) == [len(x.ids) for x in reference.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_counts(docs, none):
     from tokenizers import Tokenizer
 
