@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..registry import written
+
 
 def scrubbed(text: str) -> str:
     """A search text without wildcards: % _ and , become spaces, spaces collapse."""
@@ -72,12 +74,24 @@ def paged(segments: Sequence[DataFrame], key: str, size: int = 10_000, most: int
 
 
 def numbered(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """Adds ``place``, the row number from 0 in the order of ``key``: ordered within value ranges, ranges added up."""
-    ranged = df.repartitionByRange(buckets, F.col(key)).withColumn("_part", F.spark_partition_id())
-    inside = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
+    """Adds ``place``, the row number from 0 in the order of ``key``: ordered within value ranges, ranges added up.
+
+    The ranges are written once, with their number, and read by both sides: planned twice they
+    could be cut at different bounds. Equal keys go by a hash of their row, so a key with many rows is
+    cut as well.
+    """
+    tied = df.withColumn("_tie", F.xxhash64(*df.columns))
+    ranged = written(tied.repartitionByRange(buckets, F.col(key), F.col("_tie")).withColumn("_part", F.spark_partition_id()), "ranges")
+    inside = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(key, "_tie")))
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return inside.join(F.broadcast(before), "_part").withColumn("place", F.col("_k") - 1 + F.col("_before")).drop("_part", "_k", "_before")
+    placed = inside.join(F.broadcast(before), "_part").withColumn("place", F.col("_k") - 1 + F.col("_before"))  # at most ``buckets`` rows
+    return placed.select(*df.columns, "place")
+
+
+def chunk_count(total: int, size: int = 10_000, most: int = 32) -> int:
+    """How many chunks a listing of ``total`` rows has; a total of 0 is one that isn't known, so all are offered."""
+    return min(-(-total // size), most) if total else most
 
 
 def round_robin(df: DataFrame, group: str, order: Sequence[Column], group_order: Sequence[Column], limit: int) -> DataFrame:

@@ -106,7 +106,7 @@ def _(t: Tables) -> DataFrame:
     return S.basket_text(r)
 
 
-@query("s_18_sitemap", "SELECT chunk, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 10000 AS chunk FROM orders) GROUP BY 1")
+@query("s_18_sitemap", "SELECT chunk, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 10000 AS chunk FROM orders) WHERE chunk < 32 GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     path = t.scratch("sitemap")
     urls = R.paged([t.orders.select("o_orderkey")], "o_orderkey").select("chunk", F.concat(F.lit("https://x.org/o?a=1&id="), F.col("o_orderkey").cast("string")).alias("loc"))

@@ -124,7 +124,14 @@ def basket_text(lines: DataFrame) -> DataFrame:
     return out.select("basket_id", F.concat_ws("\n", F.array_join(F.transform("rows", lambda x: x["row"]), "\n"), F.concat(F.lit("Totale "), money(F.col("total")))).alias("text"))
 
 
+def escaped(text):
+    """Text as XML has it, apostrophes and quotes included."""
+    for mark, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ("'", "apos"), ('"', "quot")):
+        text = F.replace(text, F.lit(mark), F.lit(f"&{name};"))
+    return text
+
+
 def sitemap(urls: DataFrame, path: str, size: int = 10_000) -> None:
     """URL sets as XML, a file per chunk. urls: (chunk, loc)."""
-    body = F.concat(F.lit("<url><loc>"), F.replace("loc", F.lit("&"), F.lit("&amp;")), F.lit("</loc></url>"))
+    body = F.concat(F.lit("<url><loc>"), escaped(F.col("loc")), F.lit("</loc></url>"))
     urls.select("chunk", body.alias("value")).repartition("chunk").sortWithinPartitions("chunk", "value").write.partitionBy("chunk").text(path)

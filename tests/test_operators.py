@@ -6,6 +6,7 @@ import random
 import unicodedata
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from offerloom.functions import answers, shuffle, teeth
 from offerloom.functions import names as N
@@ -95,6 +96,21 @@ def test_numbered_and_paged(spark):
     assert [tuple(r) for r in pages] == [(i, 100) for i in range(5)]
 
 
+def test_numbering_many_rows_with_further_columns(spark):
+    n = 2_000_000
+    df = spark.range(n, numPartitions=7).select(F.pmod(F.xxhash64("id"), F.lit(n // 2)).alias("k"), F.md5(F.col("id").cast("string")).alias("more"))
+    out = R.written(R.numbered(df, "k"), "numbered")
+    places = out.agg(F.count(F.lit(1)), F.countDistinct("place"), F.min("place"), F.max("place")).first()
+    assert tuple(places) == (n, n, 0, n - 1)
+    assert out.groupBy((F.col("place") / 1000).cast("int").alias("c")).agg(F.min("k").alias("lo"), F.max("k").alias("hi")).orderBy("c").select((F.col("lo") >= F.lag("hi").over(Window.orderBy("c"))).alias("ok")).where("NOT ok").count() == 0
+    hot = R.numbered(df.withColumn("k", F.lit(1)), "k", 16)
+    assert hot.agg(F.countDistinct("place")).first()[0] == n
+
+
+def test_chunk_count():
+    assert [R.chunk_count(n) for n in (0, 1, 10_000, 10_001, 10**7)] == [32, 1, 1, 2, 32]
+
+
 def test_fold(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
     changes = spark.createDataFrame([(1, "c", 1, "UPDATE"), (2, "b", 2, "DELETE"), (3, "d", 3, "INSERT"), (1, "e", 4, "UPDATE")], "id int, v string, n int, op string")
