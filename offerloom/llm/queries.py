@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +43,8 @@ def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(table(spark, sf_dir, "documents"), store=f"{shared_dir(spark)}/slot-map")
+    name = zlib.crc32(sf_dir.encode())  # a map of its own for every table
+    return shard_documents(table(spark, sf_dir, "documents"), store=f"{shared_dir(spark)}/slot-map-{name}")
 
 
 def op6_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,26 +4,31 @@ Every row hashes into one of a fixed number of virtual slots. Bytes and rows are
 summed per slot, which is a table of proven size (``SLOTS`` rows), and a versioned
 slot-to-shard map says where each slot lives. Rebalancing edits the map, never the
 hash: slots move from heavy to light shards until no move helps. Growing by a shard
-moves slots into the new shard only.
+moves slots into the new shard only. A run with a store edits the latest map there, for the
+sizes it finds, and appends it as the next version; no version is ever overwritten, and
+of two runs at once the later one takes the number after.
 
 Cases: a null text has no bytes and costs the 16 bytes of its row; null ids hash like
-any value; repeated rows share a slot and take successive places in it; an empty
-table gives an empty result; extra columns are ignored by the assignment.
+any value; repeated rows (id and text) share a slot, which is never split, and take successive
+places in it; an empty table gives an empty result; extra columns are ignored by the assignment.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import stage
+
 SLOTS = 8192
 ROW_BYTES = 16
 
-MAP_SCHEMA = "version int, virtual_slot int, shard int, slot_bytes long, slot_rows long"
+MAP_SCHEMA = "version int, shards int, virtual_slot int, shard int, slot_bytes long, slot_rows long"
 
 
 @dataclass(frozen=True)
@@ -88,16 +93,39 @@ class SlotMap:
         return SlotMap(self.version + 1, self.shards + 1, tuple(shard_of), self.slot_bytes, self.slot_rows)
 
     def rows(self) -> list[tuple]:
-        return [(self.version, i, *x) for i, x in enumerate(zip(self.shard_of, self.slot_bytes, self.slot_rows))]
+        return [(self.version, self.shards, i, *x) for i, x in enumerate(zip(self.shard_of, self.slot_bytes, self.slot_rows))]
+
+    def save(self, spark: SparkSession, path: str) -> "SlotMap":
+        """Append this map to the versions at ``path`` under the first free number from its own on; what was written."""
+        now = self
+        while True:
+            if now.version not in SlotMap.versions(spark, path):
+                try:
+                    spark.createDataFrame(now.rows(), MAP_SCHEMA).coalesce(1).write.mode("errorifexists").parquet(f"{path}/map_version={now.version}")
+                    return now
+                except AnalysisException as e:
+                    if e.getCondition() != "PATH_ALREADY_EXISTS":
+                        raise
+            now = replace(now, version=now.version + 1)
+
+    @staticmethod
+    def versions(spark: SparkSession, path: str) -> list[int]:
+        """The versions at ``path`` that were written whole."""
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = [s.getPath() for s in fs.listStatus(where)] if fs.exists(where) else []
+        whole = [p.getName() for p in found if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        return sorted(int(n.split("=")[1]) for n in whole if n.startswith("map_version="))
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Add this version to the table of versions at ``path``; earlier versions stay readable."""
-        spark.createDataFrame(self.rows(), MAP_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/map_version={self.version}")
+    @staticmethod
+    def latest(spark: SparkSession, path: str) -> "SlotMap | None":
+        found = SlotMap.versions(spark, path)
+        return SlotMap.load(spark, path, found[-1]) if found else None
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int) -> "SlotMap":
         rows = sorted(spark.read.schema(MAP_SCHEMA).parquet(f"{path}/map_version={version}").collect(), key=lambda r: r.virtual_slot)
-        return SlotMap(version, max(r.shard for r in rows) + 1, tuple(r.shard for r in rows), tuple(r.slot_bytes for r in rows), tuple(r.slot_rows for r in rows))
+        return SlotMap(version, rows[0].shards, tuple(r.shard for r in rows), tuple(r.slot_bytes for r in rows), tuple(r.slot_rows for r in rows))
 
 
 def with_slots(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -130,21 +158,27 @@ def assign(slotted: DataFrame, slot_map: SlotMap) -> DataFrame:
     return (
         slotted.withColumn("n", F.row_number().over(inside))
         .join(where, "virtual_slot")
-        .select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("n") - 1).cast("long").alias("slot"), "virtual_slot", F.lit(slot_map.version).alias("map_version"))
+        .select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("n") - 1).cast("long").alias("slot"), "virtual_slot")
     )
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, store: str | None = None) -> DataFrame:
-    """Balanced shards of ``docs``; with ``store``, both versions of the map are kept there."""
-    slotted = with_slots(docs, slots)
-    first = measure(slotted, shards, slots)
-    final = first.rebalanced()
+    """Balanced shards of ``docs``; with ``store``, from the latest map there, whose next version is kept there too."""
+    spark, slotted = docs.sparkSession, stage(with_slots(docs, slots), "slotted")
+    now = measure(slotted, shards, slots)
+    known = SlotMap.latest(spark, store) if store else None
+    if known and (known.shards, len(known.shard_of)) == (shards, slots):  # the map in use, with the sizes of today
+        now = replace(now, version=known.version, shard_of=known.shard_of)
+    elif known:
+        now = replace(now, version=known.version + 1)
+    if store and not known:
+        now = now.save(spark, store)
+    final = now.rebalanced()
     if store:
-        for m in (first, final):
-            m.save(docs.sparkSession, store)
+        final = final.save(spark, store)
     return (
         assign(slotted, final)
         .withColumn("law", F.lit("bytes"))
         .withColumn("grown_shard", F.lit(None).cast(T.IntegerType()))
-        .select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot", "map_version")
+        .select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")
     )

@@ -59,11 +59,28 @@ def test_slot_maps(spark, tmp_path):
     third = second.grown()
     assert all(b in (a, 10) for a, b in zip(second.shard_of, third.shard_of)) and max(third.loads()) - min(third.loads()) < 0.05 * sum(sizes) / 11
     path = f"file://{tmp_path}/maps"
-    for m in (first, second, third):
-        m.save(spark, path)
+    assert [m.save(spark, path).version for m in (first, second, third)] == [1, 2, 3]
     assert [sharding.SlotMap.load(spark, path, v).shard_of for v in (1, 2, 3)] == [first.shard_of, second.shard_of, third.shard_of]
 
 
+def test_runs_append_versions_of_the_map(spark, docs, tmp_path):
+    path = f"file://{tmp_path}/maps"
+    one = sharding.shard_documents(docs, 3, 64, store=path)
+    first = sorted(map(tuple, one.collect()), key=str)
+    assert sharding.SlotMap.versions(spark, path) == [1, 2]
+    kept = sharding.SlotMap.load(spark, path, 2)
+    assert sorted(map(tuple, sharding.shard_documents(docs, 3, 64, store=path).collect()), key=str) == first
+    assert sharding.SlotMap.versions(spark, path) == [1, 2, 3] and sharding.SlotMap.latest(spark, path).shard_of == kept.shard_of
+    more = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 100))
+    sharding.shard_documents(more, 3, 64, store=path).count()
+    edited = sharding.SlotMap.latest(spark, path)
+    assert edited.version == 4 and sharding.SlotMap.load(spark, path, 2) == kept
+    assert sum(a != b for a, b in zip(edited.shard_of, kept.shard_of)) < 20
+    assert edited.save(spark, path).version == 5  # a number that is taken is never written again
+    sharding.shard_documents(docs, 4, 64, store=path).count()
+    assert sharding.SlotMap.latest(spark, path).shards == 4
+
+
 def test_mixing(docs, none):
     got = mixing.mix(docs).collect()
     size = {"a": 21, "b": 60_004, "c": 4, None: 0}
