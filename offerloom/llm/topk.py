@@ -1,20 +1,22 @@
 """Exact top-k search by columnar branch and bound.
 
-Vectors are quantized and packed into blocks in vertical layout: one row per dimension.
-A block of queries meets a block of candidates in one task. Scores are accumulated a few
+Vectors are quantized and packed into blocks in vertical layout: one row per dimension, in the
+smallest integer type that holds them. A block of queries meets a block of candidates in one task. Scores are accumulated a few
 dimensions at a time, heaviest first; what the dimensions left can add to an inner
 product is at most the product of the masses left on both sides. Candidates whose upper
 bound is below the k-th best lower bound are dropped, and the survivors are compacted
 before the next dimensions are read. The best k of each pair of blocks are merged.
 
-Queries are a stated subset of the rows; query blocks and candidate blocks are joined
-block by block, and neither side is collected or broadcast.
+Queries are a stated subset of the rows; neither side is collected or broadcast. Candidate
+blocks are numbered where they lie, by task and count, move once, and every block of queries,
+the smaller side, is sent to each of them.
 
 Cases: null vectors and vectors with null or non-finite components take no part, nor do
 rows without an id; vectors of unequal length are taken as if filled up with zeros;
 ties go to the smaller id; rows that share an id are each a candidate, but one query; a
 query is never its own candidate, so an only vector gets no row; an empty table gives an
-empty result; extra columns are ignored.
+empty result; extra columns are ignored. Vectors too large for exact floating point are scored
+in limbs of 21 bits, alone, not with their block; a score beyond +-(2^63 - 1) is that.
 """
 
 from __future__ import annotations
@@ -48,7 +50,9 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= {K}
 """
 
-BLOCK = "size int, width int, ids binary, data binary"
+BLOCK = "task int, k int, size int, width int, kind string, ids binary, data binary"
+LIMB = 21
+PARTS = ("size", "width", "kind", "ids", "data")
 
 
 def usable(vector: Column) -> Column:
@@ -61,6 +65,9 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
     import pyarrow as pa
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        task, k = TaskContext.get().partitionId(), 0
         ids, vectors = [], []
 
         def block() -> pa.RecordBatch:
@@ -68,10 +75,13 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
             data = np.zeros((width, len(vectors)))
             for i, v in enumerate(vectors):
                 data[: len(v), i] = v
-            out = pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([width], pa.int32()), pa.array([np.array(ids, "i8").tobytes()], pa.binary()), pa.array([np.floor(SCALE * data).tobytes()], pa.binary())], names=["size", "width", "ids", "data"])
+            data = np.floor(SCALE * data)
+            most = np.abs(data).max(initial=0)
+            kind = next((t for t in ("i1", "i2", "i4") if most <= np.iinfo(t).max), "f8")
+            row = (task, k, len(ids), width, kind, np.array(ids, "i8").tobytes(), data.astype(kind).tobytes())
             ids.clear()
             vectors.clear()
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["task", "k", "size", "width", "kind", "ids", "data"])
 
         for batch in batches:
             offsets, flat = batch.column(1).offsets.to_numpy(), batch.column(1).values.to_numpy(zero_copy_only=False)
@@ -80,6 +90,7 @@ def packed(rows: DataFrame, size: int) -> DataFrame:
                 vectors.append(flat[offsets[i] : offsets[i + 1]])
                 if len(ids) == size:
                     yield block()
+                    k += 1
         if ids:
             yield block()
 
@@ -90,15 +101,24 @@ def best(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.n
     """(query, candidate, score) of the k best candidates of every query; vectors are columns of ``queries`` and ``data``."""
     width = max(len(queries), len(data))
     queries, data = (np.pad(x, ((0, width - len(x)), (0, 0))) for x in (queries, data))
-    largest = max(float(np.abs(queries).max(initial=0)), float(np.abs(data).max(initial=0)))
-    if largest**2 * max(width, 1) >= 2.0**53:  # beyond exact floating point
-        exact = [[sum(int(a) * int(b) for a, b in zip(q, c)) for c in data.T] for q in queries.T]
-        score = np.array([[min(max(s, -(2**63)), 2**63 - 1) for s in row] for row in exact], "i8").reshape(queries.shape[1], data.shape[1])
-        at, of = np.nonzero(query_ids[:, None] != ids[None, :])
-        return _first(at, of, score[at, of], ids, k)
+    # products of larger components than this may not be exact in floating point
+    exact = (2.0**53 / max(width, 1)) ** 0.5
+    large_q, large_x = (np.abs(a).max(0, initial=0) >= exact for a in (queries, data))
+    if large_q.any() or large_x.any():
+        parts = []
+        for a, b, whole in ((~large_q, ~large_x, False), (large_q, np.ones_like(large_x), True), (~large_q, large_x, True)):
+            rows, columns = np.flatnonzero(a), np.flatnonzero(b)
+            if len(rows) and len(columns):
+                x = queries[:, rows], query_ids[rows], data[:, columns], ids[columns]
+                at, of, score = in_limbs(*x) if whole else best(*x, k)
+                parts.append((rows[at], columns[of], score))
+        if not parts:
+            return (np.zeros(0, "i8"),) * 3
+        at, of, score = (np.concatenate(p) for p in zip(*parts))
+        return _first(at, of, score, ids, k)
     order = np.argsort(-(data**2).sum(1), kind="stable")
     queries, data = queries[order], data[order]
-    small = largest**2 * max(width, 1) < 2.0**24
+    small = max(np.abs(a).max(initial=0) for a in (queries, data)) ** 2 * max(width, 1) < 2.0**24
     q, x = (np.ascontiguousarray(a.astype("f4" if small else "f8")) for a in (queries, data))
 
     def left(a: np.ndarray) -> np.ndarray:
@@ -142,6 +162,27 @@ def best(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.n
     return _first(at, of, np.rint(part).astype("i8"), ids, k)
 
 
+def in_limbs(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, ...]:
+    """All pairs and their exact scores, as sums of products of 21-bit limbs, which floating point holds exactly."""
+
+    def limbs(a: np.ndarray) -> list[np.ndarray]:
+        out, left = [], np.abs(a)
+        while left.any():
+            rest = np.floor(left / 2.0**LIMB)
+            out.append((left - rest * 2.0**LIMB) * np.sign(a))
+            left = rest
+        return out
+
+    total = np.zeros((queries.shape[1], data.shape[1]), object)
+    for i, q in enumerate(limbs(queries)):
+        for j, x in enumerate(limbs(data)):
+            for d in range(0, len(q), 1024):
+                total += (q[d : d + 1024].T @ x[d : d + 1024]).astype("i8").astype(object) << LIMB * (i + j)
+    score = np.array([min(max(s, 1 - 2**63), 2**63 - 1) for s in total.ravel().tolist()], "i8").reshape(total.shape)
+    at, of = np.nonzero(query_ids[:, None] != ids[None, :])
+    return at, of, score[at, of]
+
+
 def kth(score: np.ndarray, k: int) -> np.ndarray:
     """The k-th largest of each row; minus infinity if it has fewer."""
     if score.shape[1] < k:
@@ -160,31 +201,37 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k best of ``vectors`` (id, vector) for each row of ``queries`` (id, vector)."""
     import pyarrow as pa
 
-    asked = packed(queries.dropDuplicates(["id"]).repartition(F.col("id")), QUERIES)
-    asked = stage(asked.withColumn("block", F.row_number().over(Window.orderBy("size", "ids")) - 1), "queries")  # a row a block
-    blocks = asked.count()
+    asked = stage(packed(queries.dropDuplicates(["id"]).repartition(F.col("id")), QUERIES), "queries")
     given = stage(packed(vectors, CANDIDATES), "candidates")
-    pairs = given.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)))).withColumnsRenamed({c: f"c_{c}" for c in ("size", "width", "ids", "data")}).join(asked, "block")
-    cores = spark_cores(vectors)
-    pairs = pairs.repartition(max(cores, blocks), F.xxhash64("block", "c_ids")).select("size", "width", "ids", "data", "c_size", "c_width", "c_ids", "c_data")
+    # one narrow row a task: where its blocks begin in the numbering of all
+    tasks = given.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
+    begins = tasks.select("task", F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
+    blocks = given.count()
+    at = F.broadcast(stage(begins, "begins"))
+    numbered = given.join(at, "task").select((F.col("first") + F.col("k")).alias("block"), *(F.col(c).alias(f"c_{c}") for c in PARTS))
+    sent = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1)))).select(F.col("block").cast("long").alias("block"), *PARTS)
+    parts = max(2 * blocks, 2)
+    pairs = sent.repartition(parts, "block").join(numbered.repartition(parts, "block").hint("merge"), "block").select("block", *PARTS, *(f"c_{c}" for c in PARTS))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read(batch: pa.RecordBatch, i: int, first: int) -> tuple[np.ndarray, np.ndarray]:
+            n, width, kind, ids, data = (batch.column(first + j)[i].as_py() for j in range(5))
+            return np.frombuffer(ids, "i8"), np.frombuffer(data, kind).reshape(width, n).astype("f8")
+
+        last = candidates = None
         for batch in batches:
             for i in range(batch.num_rows):
-                n, w, ids, data, cn, cw, c_ids, c_data = (batch.column(j)[i].as_py() for j in range(8))
-                q_ids, x_ids = np.frombuffer(ids, "i8"), np.frombuffer(c_ids, "i8")
-                at, of, score = best(np.frombuffer(data).reshape(w, n), q_ids, np.frombuffer(c_data).reshape(cw, cn), x_ids, k)
-                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(x_ids[of]), pa.array(score)], names=["query_id", "vec_id", "score"])
+                if batch.column(0)[i].as_py() != last:
+                    last, candidates = batch.column(0)[i].as_py(), read(batch, i, 6)
+                q_ids, q = read(batch, i, 1)
+                at, of, score = best(q, q_ids, candidates[1], candidates[0], k)
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[at]), pa.array(candidates[0][of]), pa.array(score)], names=["query_id", "vec_id", "score"])
 
     found = pairs.mapInArrow(find, "query_id long, vec_id long, score long")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def spark_cores(df: DataFrame) -> int:
-    return max(2, df.sparkSession.sparkContext.defaultParallelism) * 2
-
-
 def nearest(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     """The search whose queries are the rows with an id divisible by ``every``."""
     rows = embeddings.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
