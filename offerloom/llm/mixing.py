@@ -8,12 +8,13 @@ cap / weight: the first source that the level reached so far doesn't clamp sets
 
 A source's rows are taken whole-number times, and a seeded part of them once more.
 The part is exact without ordering a source in one task: rows hash into 65,536
-buckets a source, bucket sums are added up in hash order, and only the bucket in which
-the wanted words run out is cut, at the row that comes nearest.
+buckets a source, bucket sums are added up in hash order in two steps of 256, and only the
+bucket in which the wanted words run out is cut, at the row that comes nearest. One task orders
+the sources, a narrow row each; no other order holds more than one bucket's rows.
 
 Cases: a null text has no words and is taken as often as its neighbours, for 0 words;
 a source without words gets the target 0; rows that repeat share a hash and are taken
-as separate rows; an empty table gives an empty result; other columns can be carried.
+as separate rows, in the order of what they carry besides; an empty table gives an empty result; other columns can be carried.
 """
 
 from __future__ import annotations
@@ -72,9 +73,15 @@ def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2,
     goal = targets(sums.groupBy("mix_key").agg(F.sum("bucket_size").alias("source_size")), max_epochs, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.withColumn("whole", F.least(F.floor(rate), F.lit(max_epochs)).cast("long")).withColumn("more", F.col("target") - F.col("whole") * F.col("source_size"))
-    earlier = Window.partitionBy("mix_key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    plan = sums.withColumn("earlier", F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0))).join(goal, "mix_key").select("mix_key", "bucket", "source_size", "target", "whole", (F.col("more") - F.col("earlier")).alias("room"))
-    running = Window.partitionBy("mix_key", "bucket").orderBy("mix_hash", "mix_id").rowsBetween(Window.unboundedPreceding, 0)
+    fine = sums.withColumn("high", F.shiftright("bucket", BUCKET_BITS // 2))
+    coarse = fine.groupBy("mix_key", "high").agg(F.sum("bucket_size").alias("high_size"))
+    above = Window.partitionBy("mix_key").orderBy("high").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("mix_key", "high").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    coarse = coarse.withColumn("high_before", F.coalesce(F.sum("high_size").over(above), F.lit(0))).join(goal, "mix_key").drop("high_size")
+    before = F.col("high_before") + F.coalesce(F.sum("bucket_size").over(within), F.lit(0))
+    plan = fine.join(coarse, ["mix_key", "high"]).withColumn("before", before).select("mix_key", "bucket", "source_size", "target", "whole", (F.col("more") - F.col("before")).alias("room"))
+    ties = [F.xxhash64(*(f"carry_{i}" for i in range(len(carry))))] if carry else []
+    running = Window.partitionBy("mix_key", "bucket").orderBy("mix_hash", "mix_id", *ties).rowsBetween(Window.unboundedPreceding, 0)
     return (
         rows.join(plan, ["mix_key", "bucket"])
         .withColumn("run", F.sum("mix_size").over(running))
