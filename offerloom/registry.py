@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+#: Paths handed out below the shared folder that are still there.
+SCRATCH: list[str] = []
 
 
 class Tables:
@@ -29,9 +31,19 @@ class Tables:
 def scratch(spark: SparkSession, name: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="offerloom-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    return f"{shared.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}"
+    SCRATCH.append(f"{shared.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch tables of this process but the first ``since``: for when their results are written or no longer wanted."""
+    while len(SCRATCH) > since:
+        where = spark._jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
