@@ -8,10 +8,11 @@ text and the span to train on, so a dialogue of any length needs no task of its
 are sums over blocks of ``TURNS`` turns, then within a block.
 
 Cases: a null text is empty; a null role is the speaker "unknown"; turns without a
-number come first; turns that share a number are ordered by role, then text; rows without a dialogue
-id are one dialogue; a dialogue of system turns alone has no participant and no row; marks inside
-a text are broken up, so that they never read as marks; an empty table gives an empty
-result; extra columns are ignored.
+number come first; turns that share a number, or have none, are ordered by role, then text,
+within one task; rows without a dialogue id are one dialogue; a dialogue of system turns alone has no
+participant and no row; marks inside a text or role are broken up, and line breaks inside a role
+become spaces, so that they never read as marks; texts of any length are rendered whole; an empty table
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ rendered AS (
     CASE WHEN speaker <> 'system' AND speaker <> perspective THEN speaker END AS name
   FROM said s JOIN people p ON s.conv_id IS NOT DISTINCT FROM p.conv_id
 ), texts AS (
-  SELECT *, '{BEGIN}' || role || coalesce(' name=' || name, '') || chr(10) AS head, content || '{END}' || chr(10) AS body FROM rendered
+  SELECT *, '{BEGIN}' || role || coalesce(' name=' || replace(replace(replace(name, '<|', '< |'), chr(10), ' '), chr(13), ' '), '') || chr(10) AS head, content || '{END}' || chr(10) AS body FROM rendered
 ), placed AS (
   SELECT *, head || body AS rendered_text,
     row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, content) - 1 AS position,
@@ -57,7 +58,7 @@ def rotated(conversations: DataFrame) -> DataFrame:
         said.join(people, F.col("conv_id").eqNullSafe(F.col("of")))
         .withColumn("role", role)
         .withColumn("name", name)
-        .withColumn("head", F.concat(F.lit(BEGIN), "role", F.coalesce(F.concat(F.lit(" name="), "name"), F.lit("")), F.lit("\n")))
+        .withColumn("head", F.concat(F.lit(BEGIN), "role", F.coalesce(F.concat(F.lit(" name="), F.translate(F.replace("name", F.lit("<|"), F.lit("< |")), "\n\r", "  ")), F.lit("")), F.lit("\n")))
         .withColumn("rendered_text", F.concat("head", "content", F.lit(END + "\n")))
         .withColumn("size", F.length("rendered_text").cast("long"))
         .withColumn("block", F.coalesce(F.floor(F.col("turn") / TURNS), F.lit(-(1 << 62))))
