@@ -46,8 +46,10 @@ def char_grams(norm: Column, least: int = 3, most: int = 5) -> Column:
     def of(n: int) -> Column:
         return F.when(F.length(p) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(p) - n + 1, F.lit(1))), lambda i: F.substring(p, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
-    parts = [F.transform(F.filter(of(n), lambda g: ~g.rlike("^[0-9 ]*$")), lambda g, n=n: F.concat(F.lit(f"c{n}:"), g)) for n in range(least, most + 1)]
-    return F.concat(*parts)
+    def marked(n: int) -> Column:
+        return F.transform(F.filter(of(n), lambda g: ~g.rlike("^[0-9 ]*$")), lambda g: F.concat(F.lit(f"c{n}:"), g))
+
+    return F.concat(*map(marked, range(least, most + 1)))
 
 
 #: Words that say nothing of a product's type, quantities with units, and codes.

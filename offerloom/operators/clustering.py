@@ -208,6 +208,24 @@ def profiles(labels: DataFrame, tokens: DataFrame, names: DataFrame, n_docs: int
     return out.select("cluster", "label", "size", F.round(100.0 * F.col("size") / n_docs, 1).alias("pct"), F.round("cohesion", 4).alias("cohesion"), "top_tokens", "examples")
 
 
+#: The beginnings of product types by which a run is judged.
+PROBES = ("mascher", "camice", "fresa", "frese", "bracket", "denti", "gutta", "guant", "corone", "siring")
+
+
+def probes(names: DataFrame, labels: DataFrame, titles: DataFrame, stems=PROBES, least: int = 3) -> DataFrame:
+    """Per stem that at least ``least`` names (doc, norm) hold: n, the share without a cluster, its largest cluster's label and share.
+
+    Of clusters of one size the smallest counts. titles: (cluster, label).
+    """
+    found = names.select("doc", F.explode(F.filter(F.array(*map(F.lit, stems)), lambda s: F.col("norm").contains(s))).alias("stem"))
+    per = found.join(labels.select("doc", "cluster"), "doc").groupBy("stem", "cluster").agg(F.count(F.lit(1)).alias("c")).join(titles, "cluster", "left")
+    typed = F.col("cluster") >= 0
+    top = F.max(F.when(typed, F.struct("c", (-F.col("cluster")).alias("k"), "label")))
+    whole = per.groupBy("stem").agg(F.sum("c").alias("n"), F.coalesce(F.sum(F.when(~typed, F.col("c"))), F.lit(0)).alias("brand"), top.alias("top")).where(F.col("n") >= least)
+    share = lambda c: F.round(100.0 * F.coalesce(c, F.lit(0)) / F.col("n"), 1)
+    return whole.select("stem", "n", share(F.col("brand")).alias("in_brand_pct"), F.col("top.label").alias("top_cluster_label"), share(F.col("top.c")).alias("top_cluster_pct"))
+
+
 def summary(profile: DataFrame, n_docs: int) -> DataFrame:
     n = F.col("size")
     return profile.agg(F.count_if(n >= 25).alias("solid"), F.count_if((n >= 8) & (n < 25)).alias("medium"), F.count_if((n >= 2) & (n < 8)).alias("small"), F.count_if(F.col("cohesion") >= 0.25).alias("homogeneous"), F.round(100.0 * F.coalesce(F.sum(n), F.lit(0)) / n_docs, 1).alias("coverage_pct"))

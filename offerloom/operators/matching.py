@@ -28,6 +28,25 @@ def gram_pairs(products: DataFrame, least_shared: int = 1) -> DataFrame:
     return pairs.where(F.col("shared") >= least_shared)
 
 
+def rare_heads(sets: DataFrame, frequency: DataFrame, share: float) -> DataFrame:
+    """(id, n, gram): the rarest n - ceil(share n) + 1 grams of each set, by how many sets have them."""
+    exploded = sets.select("id", F.explode("grams").alias("gram"))
+    ranked = exploded.join(frequency, "gram").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("grams"))
+    n = F.size("grams")
+    head = F.greatest(n - F.ceil(F.lit(share) * n - 1e-9) + 1, F.lit(1)).cast("int")
+    return ranked.select("id", n.alias("n"), F.explode(F.slice("grams", F.lit(1), head)).alias("gram"))
+
+
+def frequencies(sets: DataFrame) -> DataFrame:
+    return sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+
+
+def head_pairs(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
+    """(a, b) of heads (id, n, gram) that share a gram and whose sizes allow a Dice of share = t / (2 - t)."""
+    a, b = left.select(F.col("id").alias("a"), F.col("n").alias("na"), "gram"), right.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
+    return a.join(b, "gram").where(F.least("na", "nb") >= share * F.greatest("na", "nb") - 1e-9).select("a", "b").distinct()
+
+
 def similar(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, score) of distinct names (id, grams) with a Dice of at least ``threshold``, a < b.
 
@@ -35,16 +54,9 @@ def similar(names: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     those are joined: no pair is lost, and frequent grams, which would pair everything, are
     seldom among them.
     """
-    exploded = names.select("id", F.explode("grams").alias("gram"))
-    frequency = exploded.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ranked = exploded.join(frequency, "gram").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "gram"))), lambda x: x["gram"]).alias("grams"))
-    n = F.size("grams")
-    head = n - F.ceil(F.lit(threshold / (2 - threshold)) * n - 1e-9) + 1
-    rare = ranked.select("id", n.alias("n"), F.explode(F.slice("grams", F.lit(1), F.greatest(head, F.lit(1)).cast("int"))).alias("gram"))
-    a, b = rare.select(F.col("id").alias("a"), F.col("n").alias("na"), "gram"), rare.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")
-    # a Dice of t bounds the ratio of sizes by t / (2 - t)
-    t = threshold / (2 - threshold)
-    pairs = a.join(b, "gram").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= t * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    share = threshold / (2 - threshold)
+    rare = rare_heads(names, frequencies(names), share)
+    pairs = head_pairs(rare, rare, share).where("a < b")
     sets = names.select("id", "grams")
     scored = pairs.join(sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("id").alias("b"), F.col("grams").alias("gb")), "b")
     return scored.select("a", "b", N.dice(F.col("ga"), F.col("gb")).alias("score")).where(F.col("score") + EPSILON >= threshold)
@@ -119,11 +131,19 @@ def redirects(inactive: DataFrame, active: DataFrame) -> DataFrame:
 
 
 def retrieve(queries: DataFrame, catalog: DataFrame, most: int = 1000, least: float = 0.15) -> DataFrame:
-    """Trigram retrieval for many queries at once. queries: (query_index, grams); catalog: (id, price, grams)."""
-    q = queries.select("query_index", F.size("grams").alias("nq"), F.explode("grams").alias("gram"))
-    c = catalog.select("id", "price", F.size("grams").alias("nc"), F.explode("grams").alias("gram"))
-    hits = q.join(c, "gram").groupBy("query_index", "id", "price", "nq", "nc").agg(F.count(F.lit(1)).alias("shared"))
-    scored = hits.select("query_index", "id", "price", (2.0 * F.col("shared") / (F.col("nq") + F.col("nc"))).alias("similarity")).where(F.col("similarity") >= least)
+    """Trigram retrieval for many queries at once. queries: (query_index, grams); catalog: (id, price, grams).
+
+    Only the rarest grams of both sides are joined, by their frequency in the catalog, as many as
+    the least similarity asks for; what they pair is compared on whole sets.
+    """
+    share = least / (2 - least)
+    asked = queries.select(F.col("query_index").alias("id"), "grams").where("size(grams) > 0")
+    given = catalog.select("id", "grams").where("size(grams) > 0")
+    known = frequencies(given)
+    unseen = asked.select(F.explode("grams").alias("gram")).distinct().join(known, "gram", "left").select("gram", F.coalesce("df", F.lit(0)).alias("df"))
+    pairs = head_pairs(rare_heads(asked, unseen, share), rare_heads(given, known, share), share)
+    both = pairs.join(asked.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(catalog.select(F.col("id").alias("b"), "price", F.col("grams").alias("gb")), "b")
+    scored = both.select(F.col("a").alias("query_index"), F.col("b").alias("id"), "price", N.dice(F.col("ga"), F.col("gb")).alias("similarity")).where(F.col("similarity") >= least)
     w = Window.partitionBy("query_index").orderBy(F.desc("similarity"), "price", "id")
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
@@ -131,7 +151,8 @@ def retrieve(queries: DataFrame, catalog: DataFrame, most: int = 1000, least: fl
 def layered(queries: DataFrame, catalog: DataFrame, most: int = 1000, least: float = 0.15) -> DataFrame:
     """Layered retrieval: equal names, then all tokens, then any token, then grams; the first layer that finds an offer keeps it.
 
-    queries: (query_index, norm), catalog: (id, price, norm).
+    queries: (query_index, norm), catalog: (id, price, norm). The layer of any token gives every offer
+    that shares a word, so its rows are those of the answer before the cut.
     """
     words = lambda c: F.array_distinct(F.split(c, " "))
     q, c = queries.withColumn("tokens", words("norm")), catalog.withColumn("tokens", words("norm"))

@@ -31,19 +31,24 @@ def tables(t: Tables) -> DataFrame:
 SIM_SQL = "hit AS (SELECT r.basket_id, r.query_index, o.shop_id, o.product_id * 1000 + o.shop_id AS offer_id, o.price, 1 - o.discount * 0.1 AS similarity FROM request r JOIN offer o USING (product_id))"
 
 
+def matched(t: Tables) -> DataFrame:
+    return offers(t).select("product_id", "shop_id", "price", (F.col("product_id") * 1000 + F.col("shop_id")).alias("offer_id"), (1 - F.col("discount") * 0.1).alias("similarity"))
+
+
 def hits(t: Tables) -> DataFrame:
-    o = offers(t).select("product_id", "shop_id", "price", (F.col("product_id") * 1000 + F.col("shop_id")).alias("offer_id"), (1 - F.col("discount") * 0.1).alias("similarity"))
-    return requests(t).join(o, "product_id").select("basket_id", "query_index", "shop_id", "offer_id", "price", "similarity")
+    return requests(t).join(matched(t), "product_id").select("basket_id", "query_index", "shop_id", "offer_id", "price", "similarity")
 
 
 @query("w_01_best_offer", with_sql(OFFER_SQL, REQUEST_SQL, SIM_SQL) + "SELECT basket_id, query_index, shop_id, offer_id, price FROM hit WHERE similarity >= 0.15 QUALIFY row_number() OVER (PARTITION BY basket_id, query_index ORDER BY similarity DESC, price, offer_id) = 1")
 def _(t: Tables) -> DataFrame:
-    return B.best_offer(hits(t), ["basket_id", "query_index"]).select("basket_id", "query_index", "shop_id", "offer_id", "price")
+    # a request asks for one product, so its best offer is its product's: ranked before the join
+    best = B.best_offer(matched(t), ["product_id"])
+    return requests(t).join(best, "product_id").select("basket_id", "query_index", "shop_id", "offer_id", "price")
 
 
 @query("w_02_top20", with_sql(OFFER_SQL, REQUEST_SQL, SIM_SQL) + "SELECT basket_id, query_index, offer_id, row_number() OVER (PARTITION BY basket_id, query_index ORDER BY similarity DESC, price, offer_id) AS place FROM hit WHERE similarity >= 0.15 QUALIFY place <= 20")
 def _(t: Tables) -> DataFrame:
-    return B.candidates(hits(t), ["basket_id", "query_index"]).select("basket_id", "query_index", "offer_id", "place")
+    return requests(t).join(B.candidates(matched(t), ["product_id"]), "product_id").select("basket_id", "query_index", "offer_id", "place")
 
 
 @query("a_02_shop_table", with_sql(*ALL, TABLE_SQL) + "SELECT * FROM shop_table")
@@ -110,7 +115,22 @@ def _(t: Tables) -> DataFrame:
     return cart(t).where("query_index % 2 = 0").groupBy("basket_id").agg(F.sum("line").alias("total"))
 
 
-@query("g_07_cheapest_mix")
+FIT = "CASE WHEN {0} > 0 THEN coalesce(list_filter(c.tiers, lambda x: {0} >= x.lo AND (x.hi IS NULL OR {0} <= x.hi))[1].cost, 0) ELSE 0 END"
+
+#: Per request in turn the shop that adds least: its line and what it changes of the shipping of what was spent there before.
+MIX_SQL = """choice AS (SELECT l.basket_id, dense_rank() OVER (PARTITION BY l.basket_id ORDER BY l.query_index) AS turn, l.query_index, l.shop_id, s.shop_name, s.tier_set, l.price * l.quantity AS line FROM line l JOIN shop s USING (shop_id) WHERE available),
+costs AS (SELECT tier_set, list({'lo': min_value, 'hi': max_value, 'cost': cost} ORDER BY pos) AS tiers FROM tier GROUP BY 1),
+per AS (SELECT basket_id, turn, any_value(query_index) AS query_index, list({'name': shop_name, 'shop': shop_id, 'line': line, 'tiers': tiers} ORDER BY shop_name, shop_id) AS choices FROM choice JOIN costs USING (tier_set) GROUP BY 1, 2),
+fold AS (
+  SELECT basket_id, 0 AS turn, MAP([]::BIGINT[], []::BIGINT[]) AS spent, NULL::STRUCT(added BIGINT, name VARCHAR, shop BIGINT, line BIGINT) AS best, NULL::INTEGER AS query_index FROM (SELECT DISTINCT basket_id FROM per)
+  UNION ALL
+  SELECT basket_id, turn, map_concat(spent, MAP([best.shop], [coalesce(spent[best.shop], 0) + best.line])), best, query_index FROM (
+    SELECT f.basket_id, p.turn, f.spent, p.query_index, list_sort(list_transform(p.choices, lambda c: {'added': CAST(c.line + (""" + FIT.format("coalesce(f.spent[c.shop], 0) + c.line") + """) - (""" + FIT.format("coalesce(f.spent[c.shop], 0)") + """) AS BIGINT), 'name': c.name, 'shop': CAST(c.shop AS BIGINT), 'line': CAST(c.line AS BIGINT)}))[1] AS best
+    FROM fold f JOIN per p ON p.basket_id = f.basket_id AND p.turn = f.turn + 1)
+)"""
+
+
+@query("g_07_cheapest_mix", with_sql(*ALL, MIX_SQL) + "SELECT basket_id, query_index, best.shop AS shop_id, best.line AS line, best.added AS added FROM fold WHERE turn > 0")
 def _(t: Tables) -> DataFrame:
     return B.cheapest_mix(lines(t), shops(t), tiers(t.spark))
 

@@ -120,7 +120,12 @@ def _(t: Tables) -> DataFrame:
     return M.match(p).withColumn("product_ids", F.array_join("product_ids", ","))
 
 
-@query("j_09_redirect_targets")
+REDIRECT_SQL = """mem AS (SELECT 'c' || component AS slug, component, id, shop, mean_score AS score FROM member), gone AS (SELECT * FROM mem WHERE component % 2 = 0),
+need AS (SELECT slug, count(DISTINCT shop) AS need FROM gone GROUP BY 1 HAVING count(DISTINCT shop) >= 2), have AS (SELECT slug AS target, count(DISTINCT shop) AS shops, max(score) AS score FROM mem GROUP BY 1),
+cover AS (SELECT g.slug, m.slug AS target, count(DISTINCT g.shop) AS common FROM gone g JOIN mem m ON m.shop = g.shop GROUP BY 1, 2), both_ AS (SELECT g.slug, m.slug AS target, count(DISTINCT g.id) AS shared FROM gone g JOIN mem m ON m.id = g.id GROUP BY 1, 2)"""
+
+
+@query("j_09_redirect_targets", with_sql(PRODUCT_SQL, PAIR_SQL, LINK_SQL, COMPONENT_SQL, MEMBER_SQL, REDIRECT_SQL) + "SELECT slug, target, coalesce(shared, 0) AS shared FROM cover JOIN need USING (slug) JOIN have USING (target) LEFT JOIN both_ USING (slug, target) WHERE common = need QUALIFY row_number() OVER (PARTITION BY slug ORDER BY coalesce(shared, 0) DESC, score DESC, shops, target) = 1")
 def _(t: Tables) -> DataFrame:
     p = products(t)
     e = written(M.edges(p), "links")
@@ -198,11 +203,15 @@ def _(t: Tables) -> DataFrame:
     return title_tokens(t)[1].groupBy("doc").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("x_22_char_grams", with_sql(PRODUCT_SQL) + "SELECT id AS doc, CAST(greatest(length(norm), 0) + greatest(length(norm) - 1, 0) + greatest(length(norm) - 2, 0) AS BIGINT) AS most FROM normed WHERE length(norm) > 2")
+def gram_sql() -> str:
+    sizes = " UNION ".join(f"SELECT id, 'c{n}:' || substr(p, CAST(unnest(range(1, length(p) - {n} + 2)) AS INTEGER), {n}) AS g FROM padded" for n in (3, 4, 5))
+    return f"SELECT id AS doc, count(*) AS n, string_agg(g, '|' ORDER BY g) AS grams FROM ({sizes}) WHERE NOT regexp_full_match(substr(g, 4), '[0-9 ]*') GROUP BY 1"
+
+
+@query("x_22_char_grams", with_sql(PRODUCT_SQL, "padded AS (SELECT id, ' ' || regexp_replace(norm, '[^a-z0-9]', ' ', 'g') || ' ' AS p FROM normed)") + gram_sql())
 def _(t: Tables) -> DataFrame:
-    n = F.length("norm")
-    g = products(t).where("length(norm) > 2").withColumn("g", N.char_grams(F.col("norm")))
-    return g.where(F.size("g") <= 3 * n - 3).select(F.col("id").alias("doc"), (n + n - 1 + n - 2).cast("long").alias("most"))
+    g = products(t).select(F.col("id").alias("doc"), F.array_distinct(N.char_grams(F.col("norm"))).alias("g")).where("size(g) > 0")
+    return g.select("doc", F.size("g").cast("long").alias("n"), F.array_join(F.array_sort("g"), "|").alias("grams"))
 
 
 @query("j_07_block_pairs", with_sql(TITLE_SQL, "keys AS (SELECT term FROM tdf WHERE df >= 2 AND df <= 0.2 * (SELECT count(*) FROM product)), kt AS (SELECT DISTINCT doc, term FROM tok JOIN keys USING (term))") + "SELECT x.doc AS a, y.doc AS b, count(*) AS shared FROM kt x JOIN kt y ON x.term = y.term AND x.doc < y.doc GROUP BY ALL")
@@ -277,7 +286,10 @@ def _(t: Tables) -> DataFrame:
     return C.mechanical_labels(hosted(t), plain_tokens(t))
 
 
-@query("a_15_profiles")
+@query("a_15_profiles", with_sql(TITLE_SQL, HOSTED, COHESION_SQL, LABEL_SQL, """lab AS (SELECT cluster, term AS label FROM per JOIN num USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY (c / n >= 0.35) DESC, CASE WHEN c / n >= 0.35 THEN round(c / n / ln(2.0 + df), 9) ELSE c END DESC, term) = 1),
+top AS (SELECT cluster, string_agg(term, ',' ORDER BY c DESC, term) AS top_tokens FROM (SELECT * FROM per QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY c DESC, term) <= 8) GROUP BY 1),
+ex AS (SELECT cluster, string_agg(substr(name, 1, 90), '|' ORDER BY doc) AS examples FROM (SELECT h.cluster, h.doc, p.name FROM hosted h JOIN product p ON p.id = h.doc QUALIFY row_number() OVER (PARTITION BY h.cluster ORDER BY h.doc) <= 5) GROUP BY 1),
+coh AS (SELECT h.cluster, count(*) AS size, coalesce(any_value(c), 1.0) AS cohesion FROM hosted h LEFT JOIN jac j ON j.cluster = h.cluster GROUP BY 1)""") + "SELECT cluster, coalesce(label, 'cluster') AS label, size, round(100.0 * size / (SELECT count(*) FROM product), 1) AS pct, round(cohesion, 4) AS cohesion, top_tokens, examples FROM coh LEFT JOIN lab USING (cluster) LEFT JOIN top USING (cluster) LEFT JOIN ex USING (cluster)")
 def _(t: Tables) -> DataFrame:
     p = products(t)
     return C.profiles(hosted(t), plain_tokens(t), p.select(F.col("id").alias("doc"), "name"), p.count())
@@ -289,12 +301,12 @@ def _(t: Tables) -> DataFrame:
     return C.summary(C.profiles(hosted(t), plain_tokens(t), p.select(F.col("id").alias("doc"), "name"), p.count()), p.count())
 
 
-@query("a_17_probes", with_sql(PRODUCT_SQL) + "SELECT stem, count(*) AS n, CAST(max(c) AS BIGINT) AS top FROM (SELECT stem, shop, count(*) OVER (PARTITION BY stem, shop) AS c FROM normed JOIN (VALUES ('the'), ('ion'), ('ent'), ('ung')) v(stem) ON contains(norm, stem)) GROUP BY 1 HAVING count(*) >= 3")
+@query("a_17_probes", with_sql(TITLE_SQL, HOSTED, LABEL_SQL, "lab AS (SELECT cluster, term AS label FROM per JOIN num USING (cluster) QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY (c / n >= 0.35) DESC, CASE WHEN c / n >= 0.35 THEN round(c / n / ln(2.0 + df), 9) ELSE c END DESC, term) = 1)", "hit AS (SELECT stem, CASE WHEN cluster % 3 = 0 THEN -1 ELSE cluster END AS cluster FROM normed n JOIN hosted h ON h.doc = n.id JOIN (VALUES ('the'), ('ion'), ('ent'), ('ung'), ('mascher'), ('re'), ('th'), ('ou'), ('er'), ('qq')) v(stem) ON contains(norm, stem))", "counted AS (SELECT stem, cluster, count(*) AS c FROM hit GROUP BY ALL)")
+    + "SELECT stem, CAST(sum(c) AS BIGINT) AS n, round(100.0 * coalesce(sum(CASE WHEN cluster < 0 THEN c END), 0) / sum(c), 1) AS in_brand_pct, any_value(top_label) AS top_cluster_label, round(100.0 * coalesce(max(CASE WHEN cluster >= 0 THEN c END), 0) / sum(c), 1) AS top_cluster_pct FROM counted LEFT JOIN (SELECT stem, label AS top_label FROM counted JOIN lab USING (cluster) WHERE cluster >= 0 QUALIFY row_number() OVER (PARTITION BY stem ORDER BY c DESC, cluster) = 1) USING (stem) GROUP BY 1 HAVING sum(c) >= 3")
 def _(t: Tables) -> DataFrame:
-    stems = F.array(*(F.lit(s) for s in ("the", "ion", "ent", "ung")))
-    hit = products(t).select("shop", F.explode(F.filter(stems, lambda s: F.col("norm").contains(s))).alias("stem"))
-    per = hit.groupBy("stem", "shop").agg(F.count(F.lit(1)).alias("c"))
-    return per.groupBy("stem").agg(F.sum("c").alias("n"), F.max("c").alias("top")).where("n >= 3")
+    p, labels = products(t), hosted(t)
+    brand = labels.select("doc", F.when(F.col("cluster") % 3 == 0, -1).otherwise(F.col("cluster")).alias("cluster"))
+    return C.probes(p.select(F.col("id").alias("doc"), "norm"), brand, C.mechanical_labels(labels, plain_tokens(t)), ["the", "ion", "ent", "ung", "mascher", "re", "th", "ou", "er", "qq"])
 
 
 @query("a_12_centroids", with_sql(TITLE_SQL, HOSTED, "tv AS (SELECT * FROM tdf WHERE df >= 2 ORDER BY df DESC, term LIMIT 900), raw AS (SELECT doc, term, count(*) * (ln((1.0 + (SELECT count(*) FROM product)) / (1 + any_value(v.df))) + 1) AS x FROM tok JOIN tv v USING (term) GROUP BY ALL), vec AS (SELECT doc, term, x / sqrt(sum(x * x) OVER (PARTITION BY doc)) AS w FROM raw), cen AS (SELECT cluster, term, sum(w) AS s FROM vec JOIN hosted USING (doc) GROUP BY ALL)") + "SELECT cluster AS doc, term, round(s / sqrt(sum(s * s) OVER (PARTITION BY cluster)), 5) AS w FROM cen")

@@ -134,26 +134,45 @@ def answer():
     )
 
 
-@query("x_29_tags", "SELECT p_partkey, replace(lower(CASE WHEN replace(p_brand, '-', ' ') = replace(p_type, '-', ' ') THEN p_brand ELSE p_brand || '|' || p_type END), '-', ' ') AS tags FROM part")
+def answers(t: Tables) -> DataFrame:
+    """Answers of five shapes, by the part's number: whole; without a description mark; with a page's tail; unfinished; a page of results."""
+    p, short = F.col("p_name"), F.col("p_brand")
+    told = F.concat(F.lit("Un prodotto di qualità per lo studio e per il laboratorio, adatto a ogni uso quotidiano: "), p, F.lit("."))
+    tag_line = F.concat(F.lit("TAG: #["), short, F.lit("] #["), F.col("p_type"), F.lit("] #[salute dentale]\n"))
+    ask = lambda n: F.concat(F.lit(f"D{n}: A che cosa serve al {n} "), p, F.lit(f"?\nR{n}: Serve a lavorare bene, ogni giorno {n}."))
+    faq = F.concat(F.lit("\nFAQ:\n"), ask(1), F.lit("\n"), ask(2), F.lit("\n"), ask(3))
+    hint = F.lit("DESCRIZIONE:\n<tre o quattro frasi sul prodotto>\nTAG:\n#[nome tag]\n\n")
+    shapes = [
+        F.concat(hint, F.lit("DESCRIZIONE:\n"), told, F.lit("\n"), tag_line, faq, F.lit("\nD4: no\nR4: corta\nFINE\n")),
+        F.concat(F.lit("MISSIONE: rispondi\n"), told, F.lit("\n"), tag_line, faq, F.lit("\nFINE")),
+        F.concat(F.lit("DESCRIZIONE:\n"), told, F.lit("\n\nAltro paragrafo.\n"), tag_line, faq, F.lit(" Le risposte dell'AI possono contenere errori.\nFINE\n")),
+        F.concat(F.lit("DESCRIZIONE:\n"), told, F.lit("\n"), tag_line, F.lit("AI Mode sta pensando")),
+        F.concat(F.lit("Ha cercato 12 siti\nRisultati: www.x.it "), p),
+    ]
+    return t.part.select("p_partkey", "p_name", F.element_at(F.array(*shapes), F.col("p_partkey").cast("int") % 5 + 1).alias("text"))
+
+
+@query("x_29_tags", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN '' ELSE replace(lower(CASE WHEN replace(p_brand, '-', ' ') = replace(p_type, '-', ' ') THEN p_brand ELSE p_brand || '|' || p_type END), '-', ' ') END AS tags FROM part")
 def _(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", F.array_join(A.parsed_tags(answer()), "|").alias("tags"))
+    return answers(t).select("p_partkey", F.array_join(A.parsed(F.col("text"))["tags"], "|").alias("tags"))
 
 
-@query("x_30_description", "SELECT p_partkey, 'Un prodotto di qualità per lo studio, adatto a ogni uso: ' || p_name || '.' AS text FROM part")
+@query("x_30_description", "SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN '' ELSE 'Un prodotto di qualità per lo studio e per il laboratorio, adatto a ogni uso quotidiano: ' || p_name || '.' END AS text FROM part")
 def _(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", A.parsed_description(answer()).alias("text"))
+    return answers(t).select("p_partkey", A.parsed(F.col("text"))["description"].alias("text"))
 
 
-@query("x_31_faq", "SELECT p_partkey, 1 AS pairs, 'A che cosa serve ' || p_name || '?' AS question FROM part")
+@query("x_31_faq", "SELECT p_partkey, CASE WHEN p_partkey % 5 < 3 THEN 3 ELSE 0 END AS pairs, CASE WHEN p_partkey % 5 < 3 THEN 'A che cosa serve al 3 ' || p_name || '?' END AS question, CASE WHEN p_partkey % 5 < 3 THEN 'Serve a lavorare bene, ogni giorno 3.' END AS answer FROM part")
 def _(t: Tables) -> DataFrame:
-    q = A.parsed_questions(answer())
-    return t.part.select("p_partkey", F.size(q).alias("pairs"), q[0]["question"].alias("question"))
+    faq = A.parsed(F.col("text"))["faq"]
+    last = F.get(F.col("faq"), F.lit(2))
+    return answers(t).select("p_partkey", faq.alias("faq")).select("p_partkey", F.size("faq").alias("pairs"), last["question"].alias("question"), last["answer"].alias("answer"))
 
 
-@query("x_32_complete", "SELECT p_partkey, p_partkey % 2 = 0 AS ended FROM part")
+@query("x_32_complete", "SELECT p_partkey, p_partkey % 5 < 3 AS ended, p_partkey % 5 = 3 AS generating, p_partkey % 5 = 4 AS results, p_partkey % 5 < 3 AS complete FROM part")
 def _(t: Tables) -> DataFrame:
-    text = F.when(F.col("p_partkey") % 2 == 0, answer()).otherwise(F.lit("DESCRIZIONE:\nnon finita"))
-    return t.part.select("p_partkey", A.ended(text).alias("ended"))
+    text = F.col("text")
+    return answers(t).select("p_partkey", A.ended(text).alias("ended"), A.generating(text).alias("generating"), A.result_page(text).alias("results"), A.complete(text).alias("complete"))
 
 
 @query("x_33_card_key", "SELECT l_orderkey, (l_linenumber - 1) || '-' || l_suppkey || '-' || l_partkey AS card FROM lineitem")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import server as D
 from ..registry import Tables, query
+from ..sources.adapters import with_sql
+from .matching import PRODUCT_SQL
 
 
 def landed(t: Tables) -> DataFrame:
@@ -30,7 +32,12 @@ def _(t: Tables) -> DataFrame:
     return D.type_lander_by_slug(landed(t), first).select("slug", "product_count", "priced_count", "min_price", "max_price")
 
 
-@query("d_02_trigram_batch")
+BATCH_SQL = PRODUCT_SQL + """, ask AS (SELECT query_index, trim(regexp_replace(lower(strip_accents(text)), '\\s+', ' ', 'g')) AS norm FROM (VALUES (0, 'the and of'), (1, 'La règle'), (2, '')) v(query_index, text)),
+qgram AS (SELECT DISTINCT query_index, substr('  ' || norm || ' ', CAST(unnest(range(1, length(norm) + 2)) AS INTEGER), 3) AS gram FROM ask WHERE length(norm) > 0), qsize AS (SELECT query_index, count(*) AS n FROM qgram GROUP BY 1),
+found AS (SELECT q.query_index, g.id, any_value(g.price) AS price, 2.0 * count(*) / (any_value(qs.n) + any_value(s.n)) AS similarity FROM qgram q JOIN gram g USING (gram) JOIN qsize qs USING (query_index) JOIN size s ON s.id = g.id GROUP BY ALL)"""
+
+
+@query("d_02_trigram_batch", with_sql(BATCH_SQL) + "SELECT query_index, id, row_number() OVER (PARTITION BY query_index ORDER BY round(similarity, 9) DESC, price, id) AS place FROM found WHERE similarity >= 0.15 QUALIFY place <= 1000")
 def _(t: Tables) -> DataFrame:
     from .matching import products
 

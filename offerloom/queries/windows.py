@@ -75,7 +75,10 @@ def _(t: Tables) -> DataFrame:
 SLUG_SQL = "base AS (SELECT p_partkey, CASE WHEN p_partkey % 11 = 0 THEN replace(p_name, ' ', '-') || '-2' ELSE replace(p_name, ' ', '-') END AS base FROM part)"
 
 
-@query("w_20_slugs")
+@query("w_20_slugs", "WITH " + SLUG_SQL + """, n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY p_partkey) AS k FROM base),
+taken AS (SELECT regexp_replace(base, '-[0-9]+$', '') AS base, CAST(regexp_extract(base, '-([0-9]+)$', 1) AS INTEGER) AS t FROM (SELECT DISTINCT base FROM base) WHERE regexp_matches(base, '-[0-9]{1,9}$')),
+free AS (SELECT b.base, i, row_number() OVER (PARTITION BY b.base ORDER BY i) + 1 AS k FROM (SELECT base, count(*) AS n FROM base GROUP BY 1) b, LATERAL (SELECT unnest(range(2, b.n + 3 + (SELECT count(*) FROM taken t WHERE t.base = b.base))) AS i) WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.base = b.base AND t.t = i))
+SELECT p_partkey, CASE WHEN n.k = 1 THEN n.base ELSE n.base || '-' || f.i END AS slug FROM n LEFT JOIN free f ON f.base = n.base AND f.k = n.k""")
 def _(t: Tables) -> DataFrame:
     name = F.replace("p_name", F.lit(" "), F.lit("-"))
     base = t.part.select("p_partkey", F.when(F.col("p_partkey") % 11 == 0, F.concat(name, F.lit("-2"))).otherwise(name).alias("base"))
