@@ -81,3 +81,13 @@ def display_name(name: Column) -> Column:
     loud = (F.upper(x) == x) & x.rlike(r"\p{L}") & ~x.rlike(r"\p{Ll}")
     rest = F.lower(F.substring(x, 2, 1 << 30))
     return F.when(F.length(x) == 0, "Prodotto").when(loud, F.concat(F.upper(F.substring(x, 1, 1)), rest)).otherwise(x)
+
+
+def packed_trigram(gram: Column) -> Column:
+    """Three characters in 32 bits. Lossy: the first two keep what 32 bits leave of them, the third its low ten bits; beyond U+FFFF all are one."""
+
+    def code(i: int) -> Column:
+        c = F.ascii(F.substring(gram, i, 1)).cast("long")
+        return F.when(c > 0xFFFF, 0xFFFD).otherwise(c)
+
+    return F.shiftleft(code(1), 21).bitwiseOR(F.shiftleft(code(2), 10)).bitwiseOR(code(3).bitwiseAND(F.lit(0x3FF))).bitwiseAND(F.lit(0xFFFFFFFF))

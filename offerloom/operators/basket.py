@@ -40,7 +40,7 @@ def shipping(subtotal: Column, tiers: Column) -> Column:
 
 def with_tiers(df: DataFrame, shops: DataFrame, tiers: DataFrame) -> DataFrame:
     """Adds the tiers array of each row's shop; an unknown shop has none and goes by its id."""
-    known = shops.join(F.broadcast(tier_lists(tiers)), "tier_set", "left").select("shop_id", "shop_name", "tiers")
+    known = shops.join(tier_lists(tiers), "tier_set", "left").select("shop_id", "shop_name", "tiers")
     return df.join(known, "shop_id", "left").withColumn("shop_name", F.coalesce("shop_name", F.col("shop_id").cast("string")))
 
 

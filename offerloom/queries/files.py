@@ -175,3 +175,46 @@ def _(t: Tables) -> DataFrame:
 
     stream.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", t.scratch("state")).trigger(availableNow=True).start().awaitTermination()
     return t.spark.read.parquet(out).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+@query("s_07_products", "SELECT page_id, 'S' || p_partkey AS sku, p_name AS name, p_brand AS brand, CAST(p_size * 10 + 0.5 AS DOUBLE) AS price, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_size * 20 AS DOUBLE) END AS old_price, 'https://shop.it/p/' || p_partkey AS url FROM (SELECT *, p_partkey // 8 AS page_id FROM part) WHERE p_partkey % 5 > 0")
+def _(t: Tables) -> DataFrame:
+    """Pages of eight cards each, some of them twice, some without a payload, prices in the payload or in the card."""
+    from ..sources.shops import product_cards
+
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    odd = F.col("p_partkey") % 2 == 1
+    special = F.when(odd, F.concat(F.lit(', "specialPrice": "'), (size * 10).cast("string"), F.lit(',50"'))).otherwise(F.lit(""))
+    told = F.concat(F.lit('{"sku": "S'), key, F.lit('", "name": "'), "p_name", F.lit('", "brand": "'), "p_brand", F.lit('"'), special, F.lit("}"))
+    shown = F.when(odd, F.lit("")).otherwise(F.concat(F.lit("<b>Da "), (size * 10).cast("string"), F.lit(",50 €</b>")))
+    was = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit('<s class="product-card__final-price-with-save">'), (size * 20).cast("string"), F.lit(",00 €</s>"))).otherwise(F.lit(""))
+    call = F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit("<i onclick='setGoogleTagManagerProductClick("), told, F.lit(")'></i>"))).otherwise(F.lit(""))
+    card = F.concat(F.lit('<li><a class="product-card__product-link" href="/p/'), key, F.lit('">'), "p_name", F.lit("</a>"), call, shown, was, F.lit("</li>"))
+    pages = t.part.groupBy(F.floor(F.col("p_partkey") / 8).alias("page_id")).agg(F.array_join(F.collect_list(F.concat(card, card)), "").alias("html"))
+    got = product_cards(pages, "https://shop.it")
+    return got.select("page_id", "sku", "name", "brand", F.col("price").cast("double").alias("price"), F.col("old_price").cast("double").alias("old_price"), "url")
+
+
+PAGES_SQL = "item AS (SELECT p_brand AS source, p_partkey AS id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS k, count(*) OVER (PARTITION BY p_brand) AS n FROM part)"
+
+
+@query("s_10_paged", "WITH RECURSIVE " + PAGES_SQL + ", page AS (SELECT source, 1 + k // 4 AS page, id, n FROM item UNION SELECT source, 2 + k // 4, id, n FROM item WHERE k % 4 = 3), stop AS (SELECT source, n, CASE WHEN source LIKE '%1' THEN 5 ELSE n END AS total FROM item GROUP BY ALL), ok AS (SELECT source, 1 AS page, total, (SELECT count(DISTINCT id) FROM page p WHERE p.source = s.source AND p.page <= 1) AS known FROM stop s UNION ALL SELECT o.source, o.page + 1, o.total, (SELECT count(DISTINCT id) FROM page p WHERE p.source = o.source AND p.page <= o.page + 1) FROM ok o WHERE o.known < o.total AND EXISTS (SELECT 1 FROM page p WHERE p.source = o.source AND p.page = o.page + 1)) SELECT p.source, min(p.page) AS page, p.id FROM page p JOIN (SELECT source, max(page) AS last FROM ok GROUP BY 1) USING (source) WHERE p.page <= last GROUP BY p.source, p.id")
+def _(t: Tables) -> DataFrame:
+    """Recorded pages of four ids, each with the last id of the page before; some sources announce five ids only."""
+    from pyspark.sql.window import Window
+
+    from ..sources.shops import paged_items
+
+    w = Window.partitionBy("p_brand")
+    item = t.part.select(F.col("p_brand").alias("source"), F.col("p_partkey").alias("id"), (F.row_number().over(w.orderBy("p_partkey")) - 1).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
+    own = item.select("source", (1 + F.floor(F.col("k") / 4)).alias("page"), "id", "n")
+    again = item.where("k % 4 = 3").select("source", (2 + F.floor(F.col("k") / 4)).alias("page"), "id", "n")
+    total = F.when(F.col("source").endswith("1"), 5).otherwise(F.max("n"))
+    return paged_items(own.union(again).groupBy("source", "page").agg(total.alias("total"), F.collect_list("id").alias("ids")))
+
+
+@query("s_17_markdown", "WITH l AS (SELECT p_type AS title, max(p_size) AS n, CASE max(p_size) % 3 WHEN 0 THEN 'hub' WHEN 1 THEN 'enrich' ELSE 'skip' END AS action FROM part GROUP BY 1), r AS (SELECT *, row_number() OVER (PARTITION BY action ORDER BY n DESC, title) AS k FROM l) SELECT '# Shortlist' || chr(10) || chr(10) || (SELECT 'hub **' || count(CASE WHEN action = 'hub' THEN 1 END) || '** · enrich **' || count(CASE WHEN action = 'enrich' THEN 1 END) || '** · skip **' || count(CASE WHEN action = 'skip' THEN 1 END) || '**' FROM l) || coalesce((SELECT string_agg(line, '' ORDER BY CASE action WHEN 'hub' THEN 0 WHEN 'enrich' THEN 1 ELSE 2 END, k) FROM (SELECT action, 0 AS k, chr(10) || chr(10) || '## ' || action || chr(10) || chr(10) || '| # | title | n |' || chr(10) || '|---|---|---:|' AS line FROM r GROUP BY action UNION ALL SELECT action, k, chr(10) || '| ' || k || ' | ' || title || ' | ' || n || ' |' FROM r WHERE k <= 20)), '') AS text")
+def _(t: Tables) -> DataFrame:
+    action = F.element_at(F.array(F.lit("hub"), F.lit("enrich"), F.lit("skip")), F.col("n").cast("int") % 3 + 1)
+    labels = t.part.groupBy(F.col("p_type").alias("title")).agg(F.max("p_size").alias("n")).withColumn("action", action)
+    return S.markdown_report(labels, "Shortlist", ["hub", "enrich", "skip"], 20)

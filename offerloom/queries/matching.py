@@ -50,6 +50,11 @@ def _(t: Tables) -> DataFrame:
     return g.select("id", F.size("grams").alias("n"), F.array_join(F.array_sort("grams"), "|").alias("grams"))
 
 
+@query("x_05_packed_trigrams", with_sql(PRODUCT_SQL) + "SELECT id, gram, ((ord(substr(gram, 1, 1))::BIGINT << 21) | (ord(substr(gram, 2, 1))::BIGINT << 10) | (ord(substr(gram, 3, 1))::BIGINT & 1023)) & 4294967295 AS packed FROM gram")
+def _(t: Tables) -> DataFrame:
+    return with_grams(products(t)).select("id", F.explode("grams").alias("gram")).select("id", "gram", N.packed_trigram(F.col("gram")).alias("packed"))
+
+
 @query("j_05_gram_pairs", with_sql(PRODUCT_SQL, PAIR_SQL) + "SELECT * FROM pair WHERE shared >= 3")
 def _(t: Tables) -> DataFrame:
     return M.gram_pairs(with_grams(products(t)), 3)

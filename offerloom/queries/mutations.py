@@ -119,7 +119,7 @@ def _(t: Tables) -> DataFrame:
 @query("m_15_patch_labels", "SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'hub' WHEN 1 THEN 'enrich' ELSE 'skip' END AS action FROM part")
 def _(t: Tables) -> DataFrame:
     labels = t.spark.createDataFrame([(0, "hub"), (1, "enrich")], "k int, action string")
-    return t.part.withColumn("k", F.col("p_size") % 4).join(F.broadcast(labels), "k", "left").select("p_partkey", F.coalesce("action", F.lit("skip")).alias("action"))
+    return t.part.withColumn("k", F.col("p_size") % 4).join(labels, "k", "left").select("p_partkey", F.coalesce("action", F.lit("skip")).alias("action"))
 
 
 FEED = "CASE WHEN event_type IN ('view', 'signup') THEN 'INSERT' WHEN event_type = 'error' THEN 'DELETE' ELSE 'UPDATE' END"

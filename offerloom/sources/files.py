@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 PRODUCT_SCHEMA = "id string, product_name string, brand string, ecommerce_id string, final_price double, pub_slug string"
 
@@ -135,3 +136,20 @@ def sitemap(urls: DataFrame, path: str, size: int = 10_000) -> None:
     """URL sets as XML, a file per chunk. urls: (chunk, loc)."""
     body = F.concat(F.lit("<url><loc>"), escaped(F.col("loc")), F.lit("</loc></url>"))
     urls.select("chunk", body.alias("value")).repartition("chunk").sortWithinPartitions("chunk", "value").write.partitionBy("chunk").text(path)
+
+
+def markdown_report(labels: DataFrame, title: str, actions: list[str], most: int = 40) -> DataFrame:
+    """A report as one text: how many labels each action has, then a table per action of its largest. labels: (title, n, action).
+
+    Only ``most`` rows of each action reach the text, so one row holds it.
+    """
+    place = F.row_number().over(Window.partitionBy("action").orderBy(F.desc("n"), "title"))
+    top = labels.withColumn("k", place).where(F.col("k") <= most)
+    row = F.concat(F.lit("\n| "), F.col("k").cast("string"), F.lit(" | "), F.replace("title", F.lit("|"), F.lit("\\|")), F.lit(" | "), F.col("n").cast("string"), F.lit(" |"))
+    rows = top.groupBy("action").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    counts = labels.groupBy("action").agg(F.count(F.lit(1)).alias("c"))
+    of = lambda column, a: F.max(F.when(F.col("action") == a, F.col(column)))
+    both = counts.join(rows, "action").agg(*(of("c", a).alias(f"c{i}") for i, a in enumerate(actions)), *(of("rows", a).alias(f"r{i}") for i, a in enumerate(actions)))
+    head = F.array_join(F.array(*(F.concat(F.lit(f"{a} **"), F.coalesce(f"c{i}", F.lit(0)).cast("string"), F.lit("**")) for i, a in enumerate(actions))), " · ")
+    parts = [F.coalesce(F.concat(F.lit(f"\n\n## {a}\n\n| # | title | n |\n|---|---|---:|"), f"r{i}"), F.lit("")) for i, a in enumerate(actions)]
+    return both.select(F.concat(F.lit(f"# {title}\n\n"), head, *parts).alias("text"))
