@@ -149,4 +149,42 @@ def compare(requests: DataFrame, matches: DataFrame, shops: DataFrame, tiers: Da
     return {"candidates": top, "tables": ranked_shops(tables), "mix": mix, "mix_totals": scenario_totals(mix, shops, tiers), "single": single_shop(tables)}
 
 
+INPUT = """struct<prodotti_richiesti:array<string>,risultati_db:array<struct<query_index:int,id:string,product_name:string,final_price:double,ecommerce_id:string,similarity:double>>,
+catalogo_ecommerce:array<struct<id:string,name:string,shipping_tiers:array<struct<min_value:double,max_value:double,shipping_cost:double>>>>,min_similarity:double>"""
+
+
+def compared_json(inputs: DataFrame) -> DataFrame:
+    """(id, output) from (id, input): the whole comparison of each request, JSON in and JSON out, all requests at once.
+
+    The output holds the requested names, the shop tables in order, the cheapest mix and the best
+    single shop, with the names of the input's language; money in euros. What is no JSON of
+    the right shape gives a null output.
+    """
+    cents = lambda c: F.round(c * 100).cast("long")
+    read = inputs.select("id", F.from_json("input", INPUT).alias("i")).where("i.prodotti_richiesti IS NOT NULL")
+    key = F.struct("id", F.col("s.id").alias("shop"))  # shops and their tiers are each request's own
+    shop_rows = read.select("id", F.explode("i.catalogo_ecommerce").alias("s")).select(F.to_json(key).alias("shop_id"), F.col("s.name").alias("shop_name"), F.to_json(key).alias("tier_set"), "s.shipping_tiers")
+    tier_rows = shop_rows.select("tier_set", F.posexplode("shipping_tiers").alias("pos", "t")).select("tier_set", "pos", cents(F.col("t.min_value")).alias("min_value"), cents(F.col("t.max_value")).alias("max_value"), cents(F.col("t.shipping_cost")).alias("cost"))
+    asked = read.select(F.col("id").alias("basket_id"), F.posexplode("i.prodotti_richiesti").alias("query_index", "text")).withColumn("quantity", F.lit(1).cast("long"))
+    found = read.select(F.col("id").alias("basket_id"), F.coalesce("i.min_similarity", F.lit(LEAST_SIMILARITY)).alias("least"), F.explode("i.risultati_db").alias("m")).where("m.similarity >= least")
+    matches = found.select("basket_id", "m.query_index", F.to_json(F.struct(F.col("basket_id").alias("id"), F.col("m.ecommerce_id").alias("shop"))).alias("shop_id"), F.col("m.id").alias("offer_id"), cents(F.col("m.final_price")).alias("price"), "m.similarity")
+    out = compare(asked.select("basket_id", "query_index", "quantity"), matches, shop_rows.drop("shipping_tiers"), tier_rows, 0.0)
+    euros = lambda c: F.coalesce(F.col(c), F.lit(0)) / 100.0
+    wanted = asked.groupBy("basket_id").agg(F.array_sort(F.collect_list("query_index")).alias("indices"))
+
+    def money(*more):
+        return [euros("products").alias("prezzo_prodotti"), euros("shipping").alias("prezzo_spedizione"), euros("total").alias("prezzo_totale"), F.coalesce("coverage", F.lit(0)).alias("copertura"), F.size("indices").alias("copertura_totale"), *more]
+
+    shop = F.get_json_object("shop_id", "$.shop").alias("ecommerce_id")
+    tables = out["tables"].join(wanted, "basket_id").groupBy("basket_id").agg(F.array_sort(F.collect_list(F.struct("place", F.struct(shop, F.col("shop_name").alias("ecommerce_name"), *money()).alias("t")))).alias("rows"))
+    tables = tables.select("basket_id", F.transform("rows", lambda x: x["t"]).alias("tabelle_ecommerce"))
+    covered = out["mix"].groupBy("basket_id").agg(F.collect_set("query_index").alias("found"))
+    mix = wanted.join(out["mix_totals"], "basket_id", "left").join(covered, "basket_id", "left").select("basket_id", F.struct(*money(F.array_except("indices", F.coalesce("found", F.array().cast("array<int>"))).alias("prodotti_mancanti_indices"))).alias("scenario_risparmio"))
+    single = wanted.join(out["single"], "basket_id", "left").select("basket_id", F.struct(shop, F.col("shop_name").alias("ecommerce_name"), *money()).alias("scenario_monopolista"))
+    names = read.select(F.col("id").alias("basket_id"), F.col("i.prodotti_richiesti").alias("prodotti_richiesti"))
+    whole = names.join(tables, "basket_id", "left").join(mix, "basket_id", "left").join(single, "basket_id", "left")
+    text = whole.select(F.col("basket_id").alias("id"), F.to_json(F.struct("prodotti_richiesti", F.coalesce("tabelle_ecommerce", F.array()).alias("tabelle_ecommerce"), "scenario_risparmio", "scenario_monopolista")).alias("output"))
+    return inputs.select("id").join(text, "id", "left")
+
+
 LINE_TYPES = T.StructType([T.StructField("basket_id", T.LongType()), T.StructField("query_index", T.IntegerType()), T.StructField("shop_id", T.LongType()), T.StructField("price", T.LongType()), T.StructField("quantity", T.LongType()), T.StructField("available", T.BooleanType())])

@@ -26,10 +26,13 @@ def vocabulary(tokens: DataFrame, most: int, least_df: int) -> DataFrame:
 
 
 def tfidf(tokens: DataFrame, n_docs: int, most: int = 900, least_df: int = 3) -> DataFrame:
-    """Normalized vectors: tf * (ln((1 + n) / (1 + df)) + 1) over the vocabulary."""
-    vocab = vocabulary(tokens, most, least_df)
-    tf = tokens.join(F.broadcast(vocab), "term").groupBy("doc", "term", "df").agg(F.count(F.lit(1)).alias("tf"))  # at most `most` terms
-    raw = tf.select("doc", "term", (F.col("tf") * (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1)).alias("w"))
+    """Normalized vectors: tf * (ln((1 + n) / (1 + df)) + 1) over the vocabulary.
+
+    Tokens are counted once, per document and term; vocabulary and vectors are made of the counts.
+    """
+    tf = written(tokens.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    vocab = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_df).orderBy(F.desc("df"), "term").limit(most)
+    raw = tf.join(F.broadcast(vocab), "term").select("doc", "term", (F.col("tf") * (F.log(F.lit(1.0 + n_docs) / (1 + F.col("df"))) + 1)).alias("w"))
     return raw.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc"))))
 
 
@@ -153,32 +156,34 @@ def centroid_pairs(centres: DataFrame, least: float = 0.0) -> DataFrame:
     return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")).where(F.col("sim") >= least)
 
 
-def morph_merge(labels: DataFrame, vectors: DataFrame, n_docs: int, least: float = 0.92) -> DataFrame:
-    """Greedy union of clusters by centroid similarity, most similar first, sizes capped at max(80, 1 %).
+def greedy_union(pairs: DataFrame, sizes: DataFrame, cap: int) -> DataFrame:
+    """(cluster, into) after joining pairs (a, b, sim), most similar first, wherever both sides together have at most ``cap``.
 
-    Only pairs of clusters above ``least`` reach the driver, where the greedy order is settled.
+    In every round the pairs go that are the first of both their sides; what came before them
+    no longer fits, and sizes only grow, so this is what one pass over all pairs in order
+    gives. Rounds are written tables; only their numbers of pairs reach the driver.
     """
-    cap = max(80, int(n_docs * 0.01))
-    size = {r.cluster: r.n for r in labels.where("cluster >= 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= cap).collect()}
-    pairs = centroid_pairs(centroids(labels, vectors), least).orderBy(F.desc(F.round("sim", 9)), "a", "b").collect()
-    parent = {c: c for c in size}
-
-    def find(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    for r in pairs:
-        if r.a in parent and r.b in parent:
-            x, y = sorted((find(r.a), find(r.b)))
-            if x != y and size[x] + size[y] <= cap:
-                parent[y] = x
-                size[x] += size.pop(y)
-    moved = [(c, find(c)) for c in parent if find(c) != c]
-    if not moved:
-        return labels
-    to = labels.sparkSession.createDataFrame(moved, "cluster long, into long")
+    root = written(sizes.where(F.col("n") <= cap).select(F.col("cluster").alias("c"), F.col("cluster").alias("root"), "n"), "roots")
+    left = written(pairs.select("a", "b", F.struct((-F.round("sim", 9)).alias("s"), "a", "b").alias("order")), "pairs")
+    while True:
+        size = root.groupBy("root").agg(F.sum("n").alias("size"))
+        known = root.join(size, "root").select("c", "root", "size")
+        both = left.join(known.select(F.col("c").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na")), "a").join(known.select(F.col("c").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb")), "b")
+        open_ = both.where((F.col("ra") != F.col("rb")) & (F.col("na") + F.col("nb") <= cap))
+        left = written(open_.select("a", "b", "order", F.least("ra", "rb").alias("x"), F.greatest("ra", "rb").alias("y")), "pairs")
+        if left.isEmpty():
+            return root.select(F.col("c").alias("cluster"), F.col("root").alias("into"))
+        first = left.select(F.col("x").alias("side"), "order").union(left.select("y", "order")).groupBy("side").agg(F.min("order").alias("first"))
+        chosen = left.join(first.select(F.col("side").alias("x"), F.col("first").alias("fx")), "x").join(first.select(F.col("side").alias("y"), F.col("first").alias("fy")), "y")
+        joined = chosen.where((F.col("order") == F.col("fx")) & (F.col("order") == F.col("fy"))).select(F.col("y").alias("root"), F.col("x").alias("into"))
+        root = written(root.join(joined, "root", "left").select("c", F.coalesce("into", "root").alias("root"), "n"), "roots")
+        left = left.select("a", "b", "order")
+
+
+def morph_merge(labels: DataFrame, vectors: DataFrame, n_docs: int, least: float = 0.92) -> DataFrame:
+    """Greedy union of clusters by centroid similarity, most similar first, sizes capped at max(80, 1 %)."""
+    sizes = labels.where("cluster >= 0").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    to = greedy_union(centroid_pairs(centroids(labels, vectors), least), sizes, max(80, int(n_docs * 0.01)))
     return labels.join(to, "cluster", "left").select("doc", F.coalesce("into", "cluster").alias("cluster"))
 
 

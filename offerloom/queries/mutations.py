@@ -177,3 +177,14 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     a, b = F.when(F.col("price") % 2 == 0, F.col("price")), F.when(F.col("note") != "N", F.col("price"))
     return priced(t).select("aic", F.col("published").cast("string").alias("published"), F.coalesce(a, b).alias("reference"), F.coalesce(b, a).alias("public"))
+
+
+@query("t_04_claim", "SELECT p_partkey AS id, CASE WHEN n <= 8 THEN 'claimed' ELSE 'pending' END AS status, CASE WHEN n <= 5 THEN 'w1' WHEN n <= 8 THEN 'w2' END AS worker FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS n FROM part)")
+def _(t: Tables) -> DataFrame:
+    from ..operators import work
+
+    path = t.scratch("queue")
+    work.build(t.part.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), path)
+    work.claim(t.spark, path, "w1", 5)
+    work.claim(t.spark, path, "w2", 3)
+    return work.latest(t.spark, path)[1].select("id", "status", "worker")

@@ -67,3 +67,28 @@ def test_greedy_mix(spark):
                 spent[s] = spent.get(s, 0) + line
                 want.add((b, q, s, line, added))
     assert {tuple(r) for r in got} == want
+
+
+def test_comparison_as_json(spark):
+    import json
+
+    given = {
+        "prodotti_richiesti": ["guanti", "frese", "nulla"],
+        "risultati_db": [
+            {"query_index": 0, "id": "g1", "product_name": "Guanti", "final_price": 10.0, "ecommerce_id": "A", "similarity": 0.9},
+            {"query_index": 0, "id": "g2", "product_name": "Guanti", "final_price": 8.0, "ecommerce_id": "B", "similarity": 0.9},
+            {"query_index": 1, "id": "f1", "product_name": "Frese", "final_price": 5.5, "ecommerce_id": "A", "similarity": 0.8},
+            {"query_index": 1, "id": "f2", "product_name": "Frese", "final_price": 1.0, "ecommerce_id": "B", "similarity": 0.1},
+        ],
+        "catalogo_ecommerce": [
+            {"id": "A", "name": "Alfa", "shipping_tiers": [{"min_value": 0, "max_value": 12.0, "shipping_cost": 4.0}, {"min_value": 12.01, "max_value": None, "shipping_cost": 0}]},
+            {"id": "B", "name": "Beta", "shipping_tiers": [{"min_value": 0, "max_value": None, "shipping_cost": 3.0}]},
+        ],
+    }
+    rows = [("x", json.dumps(given)), ("y", json.dumps(given | {"risultati_db": []})), ("z", "no json")]
+    got = {r.id: r.output and json.loads(r.output) for r in B.compared_json(spark.createDataFrame(rows, "id string, input string")).collect()}
+    assert got["z"] is None and got["y"]["tabelle_ecommerce"] == [] and got["y"]["scenario_risparmio"]["prodotti_mancanti_indices"] == [0, 1, 2]
+    x = got["x"]
+    assert [(t["ecommerce_id"], t["prezzo_prodotti"], t["prezzo_spedizione"], t["prezzo_totale"], t["copertura"], t["copertura_totale"]) for t in x["tabelle_ecommerce"]] == [("A", 15.5, 0.0, 15.5, 2, 3), ("B", 8.0, 3.0, 11.0, 1, 3)]
+    assert x["scenario_risparmio"]["prodotti_mancanti_indices"] == [2] and x["scenario_risparmio"]["copertura"] == 2
+    assert x["scenario_monopolista"]["ecommerce_name"] == "Alfa" and x["prodotti_richiesti"][0] == "guanti"

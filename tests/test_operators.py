@@ -172,3 +172,39 @@ def test_dbscan_and_split(spark):
     merged = labels.withColumn("cluster", F.when(F.col("cluster") >= 0, 0).otherwise(-1).cast("long"))
     parts = {r.doc: r.cluster for r in C.split_weak(merged, vectors, tokens, len(docs), least_size=8, least_cohesion=0.4).collect()}
     assert len({parts[i] for i in range(6)}) == 1 and len({parts[i] for i in range(10, 16)}) == 1 and parts[0] != parts[10] and parts[20] == -1
+
+
+def test_greedy_union_is_one_pass_in_order(spark):
+    from offerloom.operators import clustering as C
+
+    rng = random.Random(12)
+    size = {c: rng.randint(1, 30) for c in range(40)}
+    pairs = [(a, b, round(rng.uniform(0.9, 1), 3)) for a in range(40) for b in range(a + 1, 40) if rng.random() < 0.15]
+    parent, total = {c: c for c in size}, dict(size)
+
+    def find(c):
+        while parent[c] != c:
+            c = parent[c]
+        return c
+
+    for a, b, _ in sorted(pairs, key=lambda p: (-p[2], p[0], p[1])):
+        x, y = sorted((find(a), find(b)))
+        if x != y and total[x] + total[y] <= 80:
+            parent[y] = x
+            total[x] += total[y]
+    got = C.greedy_union(spark.createDataFrame(pairs, "a long, b long, sim double"), spark.createDataFrame(list(size.items()), "cluster long, n long"), 80)
+    assert {r.cluster: r["into"] for r in got.collect()} == {c: find(c) for c in size}
+
+
+def test_queue_gives_each_task_once(spark, tmp_path):
+    from offerloom.operators import work
+
+    path = f"file://{tmp_path}/queue"
+    work.build(spark.createDataFrame([(1, "a"), (2, ""), (3, "c"), (4, "d"), (None, "x")], "id long, name string"), path)
+    one = sorted(r.id for r in work.claim(spark, path, "w1", 2).collect())
+    two = [r.id for r in work.claim(spark, path, "w2", 2).collect()]
+    assert (one, two) == ([1, 3], [4]) and work.claim(spark, path, "w1").count() == 0
+    work.finish(spark, path, spark.createDataFrame([(1, True), (3, False), (9, True)], "id long, ok boolean"))
+    assert {r.status: r.n for r in work.counts(work.latest(spark, path)[1]).collect()} == {"done": 1, "claimed": 1, "failed": 3}
+    work.build(spark.createDataFrame([(7, "g")], "id long, name string"), path)
+    assert [r.id for r in work.claim(spark, path, "w1").collect()] == [7] and len(work.versions(spark, path)) == 6
