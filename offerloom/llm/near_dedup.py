@@ -10,14 +10,17 @@ chance, candidates far below the limit go, and the rest are confirmed on full se
 Copies are folded first: documents with equal sets form a class, and only its smallest id is
 compared. Then every bucket of every band compares its members with its most central one,
 and confirmed links make components. What is left are buckets with several components.
-The largest component of such a bucket is its hub; a hub's members and the members of all
-components that meet it in a bucket are laid out in blocks of bounded size, and each
-pair of blocks is one task that confirms all links between components at once, by a
-product of membership matrices. Rows are counted in blocks, so a group of near copies
-costs rows in proportion to its size, and no candidate is dropped.
+The largest component of such a bucket is its hub. Of its members and of those of the
+components that meet it, only the documents that lie in such a bucket themselves are laid
+out in blocks of bounded size; documents of two components besides the hub only where a
+bucket holds three or more. Each pair of blocks is one task, which looks at pairs of
+different components that share a bucket and confirms their links by a product of
+membership matrices. n documents left over by the first comparison cost n / ``BLOCK_SETS``
+copies of each of their sets, and no candidate is dropped.
 
 With 32 bands of 4 registers a pair at the limit of 0.75 is missed with a probability
-of 5e-6, less above it. The estimate is cut at 0.55, five standard errors below the limit.
+of 5e-6, less above it; lower limits are refused, as the bands would lose links. The
+estimate is cut five standard errors below the limit.
 
 Cases: null, empty and blank texts have the empty set, size 0, and are linked with nothing;
 fewer than five words make one shingle; repeated rows with one id are one document, of which
@@ -41,7 +44,8 @@ SHINGLE = 5
 BUCKETS = 128
 ROWS_PER_BAND = 4
 MANTISSA = 10
-LEAST_ESTIMATE = 0.55
+LEAST_PERCENT = 75
+ERRORS = 5
 #: Sets, and shingles, that a block may hold.
 BLOCK_SETS = 400
 BLOCK_SHINGLES = 1_500_000
@@ -157,19 +161,27 @@ def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (equal - c) / (1 - c)
 
 
-def estimated(pairs: DataFrame) -> DataFrame:
+def least_estimate(percent: int) -> float:
+    """Where the estimate is cut: so many standard errors below the limit."""
+    j = percent / 100
+    return j - ERRORS * (j * (1 - j) / BUCKETS) ** 0.5
+
+
+def estimated(pairs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """(u, v) of the pairs (u, v, n, m, ru, rv) whose corrected estimate leaves the limit within reach."""
     import pyarrow as pa
 
+    least = least_estimate(percent)
+
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             n, m = (batch.column(i).to_numpy().astype("f8") for i in (2, 3))
             a, b = (batch.column(i).flatten().to_numpy().view("u2").reshape(-1, BUCKETS) for i in (4, 5))
-            yield batch.select(["u", "v"]).filter(pa.array(estimate((a == b).mean(1), n, m) >= LEAST_ESTIMATE))
+            yield batch.select(["u", "v"]).filter(pa.array(estimate((a == b).mean(1), n, m) >= least))
 
-    return pairs.where("4 * least(n, m) >= 3 * greatest(n, m)").select("u", "v", "n", "m", "ru", "rv").mapInArrow(likely, "u long, v long")
+    return pairs.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select("u", "v", "n", "m", "ru", "rv").mapInArrow(likely, "u long, v long")
 
 
 def sets_for(needed: DataFrame, docs: DataFrame) -> DataFrame:
@@ -183,7 +195,7 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, percent: i
     """A staged table of the pairs (u, v) that hold on full sets."""
     a = sketches.select(F.col("rep").alias("u"), F.col("n_shingles").alias("n"), F.col("bands").alias("ru"))
     b = sketches.select(F.col("rep").alias("v"), F.col("n_shingles").alias("m"), F.col("bands").alias("rv"))
-    likely = stage(estimated(pairs.join(a, "u").join(b, "v")), "likely")
+    likely = stage(estimated(pairs.join(a, "u").join(b, "v"), percent), "likely")
     sets = sets_for(likely.select(F.col("u").alias("doc_id")).union(likely.select(F.col("v").alias("doc_id"))), docs)
     both = likely.join(sets.select(F.col("doc_id").alias("u"), F.col("members").alias("mu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("members").alias("mv")), "v")
     shared = F.size(F.array_intersect("mu", "mv"))
@@ -196,10 +208,11 @@ def links_between(sets: list[np.ndarray], component: np.ndarray, left: np.ndarra
     """Pairs (of positions) of linked sets, enough of them to join all components that links between ``left`` and ``right`` join."""
     size = np.array([len(x) for x in sets])
     regs = registers(np.concatenate(sets), np.cumsum(size) - size)
-    near = np.zeros((len(left), len(right)), bool)
+    bands = regs.view("i8")
+    near, least = np.zeros((len(left), len(right)), bool), least_estimate(percent)
     for i, x in enumerate(left):
-        other = component[right] != component[x]
-        near[i] = other & (estimate((regs[right] == regs[x]).mean(1), np.full(len(right), size[x], "f8"), size[right].astype("f8")) >= LEAST_ESTIMATE)
+        met = np.flatnonzero((component[right] != component[x]) & (bands[right] == bands[x]).any(1))
+        near[i, met] = estimate((regs[right[met]] == regs[x]).mean(1), np.full(len(met), size[x], "f8"), size[right[met]].astype("f8")) >= least
     if not near.any():
         return []
     # verification: shared members by products of membership matrices, some columns at a time
@@ -249,13 +262,13 @@ def links_in_blocks(current: DataFrame, sketches: DataFrame, docs: DataFrame, pe
     """A staged table of links (u, v) between components that share a bucket; None if none do. ``current``: (rep, band, key, component)."""
     per = current.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("n"))
     hubs = per.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("h")).where("parts > 1")
-    meets = stage(per.join(hubs.select("band", "key", (-F.col("h.c")).alias("hub")), ["band", "key"]).where("component <> hub").select("hub", "component").distinct(), "meets")
-    if meets.isEmpty():
-        unstage(meets)
+    met = current.join(hubs.select("band", "key", (F.col("parts") > 2).alias("several"), (-F.col("h.c")).alias("hub")), ["band", "key"])
+    met = met.groupBy("hub", "rep", "component").agg(F.max(F.col("several")).alias("several"))
+    members = stage(met.join(sketches.select("rep", "n_shingles"), "rep"), "members")
+    if members.isEmpty():
+        unstage(members)
         return None
-    members = stage(current.select("rep", "component").distinct().join(sketches.select("rep", "n_shingles"), "rep"), "members")
-    others = meets.join(members, "component").select("hub", "rep", "component", "n_shingles")
-    own = meets.select(F.col("hub").alias("component")).distinct().join(members, "component").select(F.col("component").alias("hub"), "rep", "component", "n_shingles")
+    others, own = members.where("component <> hub"), members.where("component = hub")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
     counts = stage(others.groupBy("hub").agg(blocks.alias("bo")).join(own.groupBy("hub").agg(blocks.alias("bh")), "hub"), "blocks")
 
@@ -267,9 +280,10 @@ def links_in_blocks(current: DataFrame, sketches: DataFrame, docs: DataFrame, pe
 
     o, h = laid(others, "bo"), laid(own, "bh")
     keep = ["hub", "rep", "component"]
+    several = o.where("several")  # where a third component shares a bucket
     tasks = o.withColumn("i", upto("bh")).select(*keep, F.lit(0).alias("kind"), "i", F.col("block").alias("j"), F.lit(1).alias("side"))
     tasks = tasks.union(h.withColumn("j", upto("bo")).select(*keep, F.lit(0), F.col("block"), "j", F.lit(0)))
-    twin = o.withColumn("with", upto("bo"))
+    twin = several.withColumn("with", upto("bo"))
     tasks = tasks.union(twin.select(*keep, F.lit(1), F.least("block", "with"), F.greatest("block", "with"), F.when(F.col("block") <= F.col("with"), 0).otherwise(1)))
     sets = sets_for(tasks.select(F.col("rep").alias("doc_id")), docs)
     rows = tasks.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("hub", "kind", "i", "j", "side", "rep", "component", "members")
@@ -285,12 +299,14 @@ def links_in_blocks(current: DataFrame, sketches: DataFrame, docs: DataFrame, pe
         return pa.table({"u": pa.array([int(rep[a]) for a, _ in found], pa.int64()), "v": pa.array([int(rep[b]) for _, b in found], pa.int64())})
 
     out = stage(rows.groupBy("hub", "kind", "i", "j").applyInArrow(evaluate, "u long, v long"), "block-links")
-    unstage(meets, members, counts, sets)
+    unstage(members, counts, sets)
     return out
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document."""
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"the bands are laid out for limits of {LEAST_PERCENT} percent or more")
     sketch = stage(sketched(docs), "sketch")
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = stage(sketch.where(linkable).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
@@ -319,7 +335,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     return linked.union(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicated(docs: DataFrame, percent: int = 75) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     """The rows of ``docs`` that are kept: one document of each component, one row of each kept id and text."""
     by_id = near_duplicates(docs, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
     found = stage(by_id.where("kept").select("doc_id", (F.col("rows") > 1).alias("repeated")), "kept")
