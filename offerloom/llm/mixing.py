@@ -7,7 +7,7 @@ stays clamped, that fixed point is found in one pass over the sources in order o
 cap / weight: the first source that the level reached so far doesn't clamp sets it.
 
 A source's rows are taken whole-number times, and a seeded part of them once more.
-The part is exact without ordering a source in one task: rows hash into 65,536
+The part is exact without ordering a source in one task: rows hash (by MD5) into 65,536
 buckets a source, bucket sums are added up in hash order in two steps of 256, and only the
 bucket in which the wanted words run out is cut, at the row that comes nearest. One task orders
 the sources, a narrow row each; no other order holds more than one bucket's rows.
@@ -25,7 +25,25 @@ from pyspark.sql.window import Window
 
 from .common import WORD, stage
 
-BUCKET_BITS = 16
+#: Buckets are the first hexadecimal digits of a row's hash, in two steps.
+BUCKET_DIGITS = 4
+HASH_DIGITS = 16
+SEED = 20240607
+
+ORACLE = f"""
+WITH row_ AS (
+  SELECT doc_id, coalesce('0' || source, '1') AS k, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size, substr(md5('{SEED}-' || coalesce(CAST(doc_id AS VARCHAR), '') || '-' || coalesce(text, '')), 1, {HASH_DIGITS}) AS h FROM documents
+), source_ AS (SELECT k, sum(size)::BIGINT AS source_size FROM row_ GROUP BY 1),
+weighed AS (SELECT *, 1.0::DOUBLE + (row_number() OVER (ORDER BY k) - 1) % 3 AS weight, 3.0::DOUBLE * source_size AS most FROM source_),
+level AS (SELECT *, most / weight AS level,
+    (sum(source_size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY most / weight, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS reached FROM weighed),
+goal AS (SELECT k, source_size, least(most, coalesce(weight * (SELECT arg_min(reached, struct_pack(level, k)) FROM level WHERE reached <= level), most)) AS target FROM level),
+rate AS (SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END::BIGINT AS whole FROM goal),
+run AS (SELECT r.*, t.source_size, t.target, t.whole, t.target - t.whole * t.source_size AS more, sum(size) OVER (PARTITION BY k ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM row_ r JOIN rate t USING (k)),
+bucket AS (SELECT k, substr(h, 1, {BUCKET_DIGITS}) AS b, coalesce(sum(sum(size)) OVER (PARTITION BY k ORDER BY substr(h, 1, {BUCKET_DIGITS}) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM row_ GROUP BY 1, 2)
+SELECT doc_id, size::BIGINT AS size, source_size, target, copies, (size * copies)::BIGINT AS taken
+FROM (SELECT r.*, whole + CASE WHEN more - before > 0 AND upto - size / 2 <= more THEN 1 ELSE 0 END AS copies FROM run r JOIN bucket b ON b.k = r.k AND b.b = substr(r.h, 1, {BUCKET_DIGITS}))
+"""
 
 
 def n_words(text: Column) -> Column:
@@ -58,22 +76,22 @@ def targets(sums: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1,
     )
 
 
-def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = 20240607, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, max_epochs: int = 3, weights: tuple[int, ...] = (1, 2, 3), seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, copies, taken, and the columns in ``carry``, for every row of ``docs``."""
     base = docs.select(
         F.col("doc_id").alias("mix_id"),
         source_key(F.col("source")).alias("mix_key"),
         n_words(F.col("text")).alias("mix_size"),
-        F.xxhash64(F.lit(seed), "doc_id", "text").alias("mix_hash"),
+        F.substring(F.md5(F.concat(F.lit(f"{seed}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("-"), F.coalesce("text", F.lit("")))), 1, HASH_DIGITS).alias("mix_hash"),
         *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)),
-    ).withColumn("bucket", F.shiftrightunsigned("mix_hash", 64 - BUCKET_BITS).cast("int"))
+    ).withColumn("bucket", F.conv(F.substring("mix_hash", 1, BUCKET_DIGITS), 16, 10).cast("int"))
     light = stage(base.select("mix_id", "mix_key", "mix_size", "mix_hash", "bucket"), "mix")
     rows = base if carry else light
     sums = stage(light.groupBy("mix_key", "bucket").agg(F.sum("mix_size").alias("bucket_size")), "mix-sums")
     goal = targets(sums.groupBy("mix_key").agg(F.sum("bucket_size").alias("source_size")), max_epochs, weights)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     goal = goal.withColumn("whole", F.least(F.floor(rate), F.lit(max_epochs)).cast("long")).withColumn("more", F.col("target") - F.col("whole") * F.col("source_size"))
-    fine = sums.withColumn("high", F.shiftright("bucket", BUCKET_BITS // 2))
+    fine = sums.withColumn("high", F.shiftright("bucket", 2 * BUCKET_DIGITS))
     coarse = fine.groupBy("mix_key", "high").agg(F.sum("bucket_size").alias("high_size"))
     above = Window.partitionBy("mix_key").orderBy("high").rowsBetween(Window.unboundedPreceding, -1)
     within = Window.partitionBy("mix_key", "high").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)

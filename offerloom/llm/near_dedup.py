@@ -51,6 +51,18 @@ BLOCK_SETS = 400
 BLOCK_SHINGLES = 1_500_000
 REMEMBER = 300_000
 
+ORACLE = """
+WITH RECURSIVE text_ AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingle AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM text_),
+held AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY 1),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both_ FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM pair JOIN held x ON x.doc_id = a JOIN held y ON y.doc_id = b WHERE 100 * both_ >= 75 * (x.n + y.n - both_)),
+ends AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(node, root) AS (SELECT a, a FROM ends UNION SELECT e.b, r.root FROM reach r JOIN ends e ON e.a = r.node WHERE r.root < e.b),
+label AS (SELECT node, least(node, min(root)) AS component FROM reach GROUP BY node)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM text_ LEFT JOIN held USING (doc_id) LEFT JOIN label ON node = doc_id
+"""
+
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_dir, table
-from . import chat, topk
+from . import chat, mixing, near_dedup, topk
 from .html_extract import extract
 from .lm_scoring import score
 from .mixing import mix
@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_branch_and_bound": topk.ORACLE, "op4_perspectives": chat.ORACLE}
+    return {"op3_branch_and_bound": topk.ORACLE, "op4_perspectives": chat.ORACLE, "op7_hyperminhash": near_dedup.ORACLE, "op10_water_filling": mixing.ORACLE}
