@@ -109,9 +109,48 @@ def described(members: DataFrame, links: DataFrame) -> DataFrame:
     return out.withColumn("n", n).withColumn("slug", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), tail))).drop("n", "base")
 
 
+def name_classes(products: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Products by equal names: (id, shop, text_id), class sizes (text_id, shop, n), and links of classes (a, b, score), each both ways and with itself.
+
+    A name that many products share is one class, so its products are never paired.
+    """
+    byname = written(products.groupBy("norm").agg(F.min("id").alias("text_id")).withColumn("grams", N.trigrams(F.col("norm"))).where("size(grams) > 0"), "names")
+    links = written(similar(byname.select(F.col("text_id").alias("id"), "grams"), threshold), "name-links")
+    every = links.union(links.select("b", "a", "score")).union(byname.select(F.col("text_id").alias("a"), F.col("text_id").alias("b"), F.lit(1.0).alias("score")))
+    of = written(products.select("id", "shop", "norm").join(byname.select("norm", "text_id"), "norm").select("id", "shop", "text_id"), "classes")
+    return of, written(of.groupBy("text_id", "shop").agg(F.count(F.lit(1)).alias("n")), "class-sizes"), every
+
+
+def class_clusters(products: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """What ``clusters`` gives for ``edges``, with the links of the chosen members, without making the edges.
+
+    A product's links are those of its class: with every product of a linked class, or of its
+    own, that another shop has. So mean scores come from class sizes, and products of a class that
+    has any such link are in one component.
+    """
+    of, sizes, links = name_classes(products, threshold)
+    whole = sizes.groupBy(F.col("text_id").alias("b")).agg(F.sum("n").alias("all"))
+    mine = links.join(sizes.select(F.col("text_id").alias("a"), "shop"), "a").join(whole, "b")
+    same = sizes.select(F.col("text_id").alias("b"), "shop", F.col("n").alias("same"))
+    met = mine.join(same, ["b", "shop"], "left").withColumn("others", F.col("all") - F.coalesce("same", F.lit(0))).where("others > 0")
+    met = written(met.select("a", "b", "shop", "score", "others"), "class-links")
+    means = met.groupBy(F.col("a").alias("text_id"), "shop").agg(F.round(F.sum(F.col("score") * F.col("others")) / F.sum("others"), 9).alias("mean_score"))
+    labels = connected_components(met.select("a", "b"))
+    linked = means.join(labels.withColumnRenamed("node", "text_id"), "text_id", "left").withColumn("component", F.coalesce("component", "text_id"))
+    rows = products.join(of.select("id", "text_id"), "id").join(linked, ["text_id", "shop"])
+    best = rows.withColumn("k", F.row_number().over(Window.partitionBy("component", "shop").orderBy(F.desc("mean_score"), F.desc("id")))).where("k = 1").drop("k")
+    # a component goes by its smallest product, as in clusters
+    least = rows.groupBy("component").agg(F.min("id").alias("least"))
+    members = best.withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("component"))).where("members >= 2").join(least, "component")
+    members = written(members.withColumn("component", F.col("least")).drop("least"), "members")
+    x, y = (members.select("component", F.col("id").alias(i), F.col("shop").alias(f"s{i}"), F.col("text_id").alias(f"t{i}")) for i in "ab")
+    inside = x.join(links.select(F.col("a").alias("ta"), F.col("b").alias("tb"), "score"), "ta").join(y, ["component", "tb"]).where("a < b AND sa <> sb").select("a", "b", "score")
+    return members, inside
+
+
 def match(products: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    links = written(edges(products, threshold), "links")
-    return described(clusters(products, links), links)
+    members, links = class_clusters(products, threshold)
+    return described(members, links)
 
 
 def redirects(inactive: DataFrame, active: DataFrame) -> DataFrame:

@@ -300,6 +300,11 @@ def _(t: Tables) -> DataFrame:
     return C.profiles(hosted(t), plain_tokens(t), p.select(F.col("id").alias("doc"), "name"), p.count())
 
 
+@query("g_06_settled_hosts", with_sql(TITLE_SQL, HOSTED, COHESION_SQL) + "SELECT h.doc, CASE WHEN n.size = 1 OR (n.size >= 4 AND coalesce(j.c, 1.0) < 0.02) THEN -1 ELSE h.cluster END AS cluster FROM hosted h JOIN (SELECT cluster, count(*) AS size FROM hosted GROUP BY 1) n USING (cluster) LEFT JOIN jac j ON j.cluster = h.cluster")
+def _(t: Tables) -> DataFrame:
+    return C.settled(hosted(t), plain_tokens(t), 4, 0.02)
+
+
 @query("a_16_summary", with_sql(TITLE_SQL, HOSTED, COHESION_SQL) + ", prof AS (SELECT h.cluster, count(*) AS size, coalesce(any_value(c), 1.0) AS cohesion FROM hosted h LEFT JOIN jac j ON j.cluster = h.cluster GROUP BY 1) SELECT count(CASE WHEN size >= 25 THEN 1 END) AS solid, count(CASE WHEN size >= 8 AND size < 25 THEN 1 END) AS medium, count(CASE WHEN size >= 2 AND size < 8 THEN 1 END) AS small, count(CASE WHEN round(cohesion, 4) >= 0.25 THEN 1 END) AS homogeneous, round(100.0 * sum(size) / (SELECT count(*) FROM product), 1) AS coverage_pct FROM prof")
 def _(t: Tables) -> DataFrame:
     p = products(t)

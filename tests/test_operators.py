@@ -208,3 +208,27 @@ def test_queue_gives_each_task_once(spark, tmp_path):
     assert {r.status: r.n for r in work.counts(work.latest(spark, path)[1]).collect()} == {"done": 1, "claimed": 1, "failed": 3}
     work.build(spark.createDataFrame([(7, "g")], "id long, name string"), path)
     assert [r.id for r in work.claim(spark, path, "w1").collect()] == [7] and len(work.versions(spark, path)) == 7
+
+
+def test_clusters_by_name_classes_are_those_of_the_edges(spark, small):
+    from offerloom.operators import matching as M
+    from offerloom.queries.matching import products
+    from offerloom.registry import Tables
+
+    own = products(Tables(spark, small))
+    rng = random.Random(5)
+    some = [r.norm for r in own.collect()][:12]
+    more = [(1000 + i, f"shop{rng.randrange(4)}", n, 100, n) for i, n in enumerate(rng.choices(some, k=60))]
+    for rows in (own, own.unionByName(spark.createDataFrame(more, own.schema))):
+        links = M.edges(rows)
+        want = M.described(M.clusters(rows, links), links)
+        got = M.match(rows)
+        assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_popular_name_makes_no_pairs(spark):
+    from offerloom.operators import matching as M
+
+    rows = [(i, f"s{i % 3}", "guanti in lattice", 1, "guanti in lattice") for i in range(6000)]
+    got = M.match(spark.createDataFrame(rows, "id long, shop string, name string, price int, norm string")).collect()
+    assert len(got) == 1 and got[0].members == 3 and got[0].product_ids == ["5997", "5998", "5999"]
