@@ -50,12 +50,34 @@ def block_pairs(tokens: DataFrame, n_docs: int, least_df: int = 5, most_share: f
     return x.select(F.col("doc").alias("a"), "term").join(x.select(F.col("doc").alias("b"), "term"), "term").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def cosine_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """(a, b, sim) of unit vectors (doc, term, w) with a dot product of at least ``least`` > 0, a < b.
+
+    Of each vector only the rarest terms are joined, down to where the rest is shorter than
+    ``least``: the rarest term that two such vectors share lies in both heads, so no pair is lost.
+    """
+    frequency = vectors.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    rest = Window.partitionBy("doc").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
+    heads = vectors.join(frequency, "term").withColumn("rest", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))).where(F.col("rest") >= least - 1e-9).select("doc", "term")
+    pairs = heads.select(F.col("doc").alias("a"), "term").join(heads.select(F.col("doc").alias("b"), "term"), "term").where("a < b").select("a", "b").distinct()
+    return dot(pairs, vectors).where(F.col("sim") >= least)
+
+
+def shared_tokens(pairs: DataFrame, tokens: DataFrame, n_docs: int, least_df: int, most_share: float) -> DataFrame:
+    """Adds ``shared`` to pairs: how many tokens neither rare nor frequent both have; pairs with none go."""
+    keys = document_frequency(tokens).where((F.col("df") >= least_df) & (F.col("df") <= most_share * n_docs)).select("term")
+    x = tokens.distinct().join(keys, "term")
+    both = pairs.select("a", "b").join(x.select(F.col("doc").alias("a"), "term"), "a").join(x.select(F.col("doc").alias("b"), "term"), ["b", "term"])
+    return pairs.join(both.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")), ["a", "b"])
+
+
 def dbscan(docs: DataFrame, tokens: DataFrame, vectors: DataFrame, n_docs: int, eps: float = 0.26, least: int = 5, least_df: int = 5, most_share: float = 0.045) -> DataFrame:
     """(doc, cluster): neighbours share two block tokens and are within eps, or one and are closer by 0.10.
 
-    Border documents go to the cluster of their first core neighbour.
+    Pairs are found by their similarity first, which frequent block tokens can't blow up. Border
+    documents go to the cluster of their first core neighbour.
     """
-    near = dot(block_pairs(tokens, n_docs, least_df, most_share), vectors)
+    near = shared_tokens(written(cosine_pairs(vectors, 1 - eps), "close"), tokens, n_docs, least_df, most_share)
     near = written(near.where(((F.col("shared") >= 2) & (F.col("sim") >= 1 - eps)) | (F.col("sim") >= 1 - eps + 0.10)).select("a", "b"), "near")
     both = near.union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
     core = written(both.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") + 1 >= least).select(F.col("a").alias("core")), "core")
@@ -151,7 +173,9 @@ def centroids(labels: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def centroid_pairs(centres: DataFrame, least: float = 0.0) -> DataFrame:
-    """(a, b, sim) of clusters that share a term, a < b."""
+    """(a, b, sim) of clusters that share a term, a < b; above a limit by ``cosine_pairs``."""
+    if least > 0:
+        return cosine_pairs(centres, least)
     a, b = centres.select(F.col("doc").alias("a"), "term", F.col("w").alias("wa")), centres.select(F.col("doc").alias("b"), "term", F.col("w").alias("wb"))
     return a.join(b, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("sim")).where(F.col("sim") >= least)
 

@@ -232,3 +232,53 @@ def test_a_popular_name_makes_no_pairs(spark):
     rows = [(i, f"s{i % 3}", "guanti in lattice", 1, "guanti in lattice") for i in range(6000)]
     got = M.match(spark.createDataFrame(rows, "id long, shop string, name string, price int, norm string")).collect()
     assert len(got) == 1 and got[0].members == 3 and got[0].product_ids == ["5997", "5998", "5999"]
+
+
+def test_cosine_pairs_against_all_pairs(spark):
+    from offerloom.operators import clustering as C
+
+    rng = random.Random(7)
+    docs = {}
+    for d in range(80):
+        terms = {rng.choice("abcdefghijklmnopqrstuvwxyz"): rng.random() + 0.1 for _ in range(rng.randint(1, 8))} | {"common": rng.random()}
+        norm = sum(w * w for w in terms.values()) ** 0.5
+        docs[d] = {t: w / norm for t, w in terms.items()}
+    df = spark.createDataFrame([(d, t, w) for d, v in docs.items() for t, w in v.items()], "doc long, term string, w double")
+    for least in (0.3, 0.74, 0.92):
+        want = {(a, b) for a in docs for b in docs if a < b and sum(w * docs[b].get(t, 0) for t, w in docs[a].items()) >= least}
+        assert {(r.a, r.b) for r in C.cosine_pairs(df, least).collect()} == want
+
+
+def test_dbscan_against_a_plain_run(spark):
+    from offerloom.operators import clustering as C
+
+    rng = random.Random(8)
+    bases = [rng.sample([f"t{i}" for i in range(60)], 5) for _ in range(12)]
+    docs = {d: list(dict.fromkeys(rng.sample(bases[d % 12], rng.randint(3, 5)) + ([f"t{rng.randrange(60)}"] if rng.random() < 0.4 else []))) for d in range(120)}
+    tokens = spark.createDataFrame([(d, t) for d, ts in docs.items() for t in ts], "doc long, term string")
+    vectors = C.written(C.tfidf(tokens, 120, 900, 1), "v")
+    v = {}
+    for r in vectors.collect():
+        v.setdefault(r.doc, {})[r.term] = r.w
+    df = {t: sum(t in ts for ts in docs.values()) for ts in docs.values() for t in ts}
+    keys = {t for t, n in df.items() if 5 <= n <= 0.2 * 120}
+    near = {d: set() for d in docs}
+    for a in docs:
+        for b in docs:
+            sim = sum(w * v[b].get(t, 0) for t, w in v[a].items())
+            shared = len(set(docs[a]) & set(docs[b]) & keys)
+            if a != b and ((shared >= 2 and sim >= 0.74) or (shared >= 1 and sim >= 0.84)):
+                near[a].add(b)
+    core = {d for d in docs if len(near[d]) + 1 >= 5}
+    want = {}
+    for d in sorted(core):
+        if d not in want:
+            todo, seen = [d], {d}
+            while todo:
+                for n in near[todo.pop()] & core - seen:
+                    seen.add(n)
+                    todo.append(n)
+            want |= dict.fromkeys(seen, min(seen))
+    border = {d: want[min(near[d] & core)] for d in docs if d not in core and near[d] & core}
+    got = C.dbscan(spark.createDataFrame([(d,) for d in docs], "doc long"), tokens, vectors, 120, most_share=0.2)
+    assert {r.doc: r.cluster for r in got.collect()} == {d: want.get(d, border.get(d, -1)) for d in docs}
