@@ -6,12 +6,18 @@ with the bits of the byte so far, and holds how often a 0 and a 1 followed in tr
 Each node has its Krichevsky-Trofimov estimate, and the weighted probability of a
 context is half its own estimate and half the product of its extensions', so that the
 prediction mixes all depths by how well each has coded the training texts. A context
-that training never saw leaves the prediction to the longest suffix it saw.
-
-Counts are cells (context and byte in one 64-bit key), gathered from all documents by a
-shuffle. Cells of one two-byte context go to one task, which holds that whole subtree;
-the nodes above are at most 256 * 255 + 255 and are joined on the driver. The outcome is
-the log probability of every cell that any document has. It is looked up in arrays on
+that training never saw leaves the prediction to the longest suffix it saw, whose estimate then
+stands alone instead of being mixed with the even odds of its unseen extension; it is still a
+distribution. All depths means all up to ``DEPTH``: a cell has five bytes of context besides
+its own byte, so that it is one 64-bit key.
+
+Counts are cells (context and byte in one key), gathered from all documents by a shuffle.
+Cells of one two-byte context are dealt by their third byte into as many parts as their
+number asks for; a task holds the whole subtrees below the three bytes. What they weigh is summed
+by two-byte context in a shuffle, and by one byte and none on the driver, where
+at most 256 * 255 + 255 nodes arrive. The outcome is the log probability of every cell that any
+document has, in single precision; a text's score is their sum in double precision, so it is
+right to about seven digits. It is looked up in arrays on
 the workers while it has at most ``MODEL_CELLS`` cells, which is counted first; a larger
 table is joined with the documents' cells by a shuffle instead.
 
@@ -95,7 +101,10 @@ class Level:
 
     def mix(self, parent: np.ndarray, weighted: np.ndarray) -> None:
         """Join the extensions: ``weighted`` logs of nodes whose suffixes here are ``parent``."""
-        below = np.bincount(np.searchsorted(self.key, parent), weighted, len(self.key))
+        self.join(np.bincount(np.searchsorted(self.key, parent), weighted, len(self.key)))
+
+    def join(self, below: np.ndarray) -> None:
+        """As mix, with the sums of the extensions' weighted logs, one a node."""
         self.weighted = np.logaddexp(self.estimate, below) + HALF
         self.own = np.exp(self.estimate + HALF - self.weighted)
 
@@ -154,13 +163,15 @@ def log10_cells(cell: np.ndarray, levels: list[Level]) -> np.ndarray:
     return out
 
 
-def _partition(batches) -> tuple[np.ndarray, np.ndarray]:
-    parts = [(b.column(0).to_numpy().view("u8"), b.column(1).to_numpy()) for b in batches]
+def _columns(batches) -> list[np.ndarray]:
+    """The columns of all batches of a task, in the order of the first, a key."""
+    parts = [[b.column(i).to_numpy() for i in range(b.num_columns)] for b in batches]
     if not parts:
-        return np.empty(0, "u8"), np.empty(0, "i8")
-    cell, count = (np.concatenate(x) for x in zip(*parts))
-    order = np.argsort(cell)
-    return cell[order], count[order].astype("f8")
+        return []
+    found = [np.concatenate(x) for x in zip(*parts)]
+    found[0] = found[0].view("u8")
+    order = np.argsort(found[0], kind="stable")
+    return [x[order] for x in found]
 
 
 class CellTable:
@@ -253,47 +264,80 @@ def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(gather, "kind int, key long, n long")
 
 
-def model(cell_counts: DataFrame, depth: int = DEPTH) -> DataFrame:
+NODES = "key long, zeros double, ones double, below double"
+
+
+def model(cell_counts: DataFrame, depth: int = DEPTH, task_cells: int = TASK_CELLS) -> DataFrame:
     """A staged table (cell, value): log10 of the probability of every cell of ``cell_counts`` (key, n)."""
     import pyarrow as pa
 
-    # key: byte, then contexts from the nearest byte up; the two nearest are bits 8 to 23
-    group = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF))
+    # key: byte, then contexts from the nearest byte up; the two nearest are bits 8 to 23, the third is bits 24 to 31
+    two_bytes = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).alias("two")
+    third = F.shiftright("key", 24).bitwiseAND(F.lit(0xFF))
     spark = cell_counts.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cell_counts.count() // TASK_CELLS + 1)
-    placed = cell_counts.select("key", "n").repartition(parts, group)
+    sizes = stage(cell_counts.groupBy(two_bytes).agg(F.count(F.lit(1)).alias("cells")).withColumn("deal", F.least(F.ceil(F.col("cells") / task_cells), F.lit(256)).cast("int")), "contexts")
+    total = sizes.agg(F.coalesce(F.sum("cells"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // task_cells + 1)
+    deal = F.broadcast(sizes.select("two", "deal"))  # at most 65,536 rows
+    cells_of = cell_counts.select("key", "n", two_bytes).join(deal, "two").select("two", F.pmod(third, "deal").alias("part"), "key", "n")
 
-    def upper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, count = _partition(batches)
-        if not (count > 0).any():
-            return
-        two = subtree(cell, count, depth, 2)[0]
-        key, inverse = np.unique(suffix(two.key, 1), return_inverse=True)
-        sums = [np.bincount(inverse, x, len(key)) for x in (two.zeros, two.ones, two.weighted)]
-        yield pa.RecordBatch.from_arrays([pa.array(key.view("i8")), *map(pa.array, sums)], names=["key", "zeros", "ones", "below"])
+    def nodes(key: np.ndarray, *sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view("i8")), *map(pa.array, sums)], names=["key", "zeros", "ones", "below"])
+
+    def summed(tree: Level, depth: int) -> pa.RecordBatch:
+        key, inverse = np.unique(suffix(tree.key, depth), return_inverse=True)
+        return nodes(key, *(np.bincount(inverse, x, len(key)) for x in (tree.zeros, tree.ones, tree.weighted)))
 
-    top = placed.mapInArrow(upper, "key long, zeros double, ones double, below double").groupBy("key").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("below").alias("below"))
-    rows = top.orderBy("key").toPandas()  # at most 256 * 255 rows
+    def below_three(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _columns(batches)
+        if found and (found[1] > 0).any():
+            yield summed(subtree(found[0], found[1].astype("f8"), depth, 3)[0], 2)
+
+    def below_two(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                two = Level(batch.column(0).to_numpy().view("u8"), *(batch.column(i).to_numpy() for i in (1, 2)))
+                two.join(batch.column(3).to_numpy())
+                yield summed(two, 1)
+
+    def added(found: DataFrame) -> DataFrame:
+        return found.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("zeros", "ones", "below")))
+
+    upper = stage(added(cells_of.repartition(parts, "two", "part").select("key", "n").mapInArrow(below_three, NODES)), "two-bytes")
+    rows = added(upper.mapInArrow(below_two, NODES)).orderBy("key").toPandas()  # at most 256 * 255 rows
     one = Level(rows["key"].to_numpy().astype("u8"), rows["zeros"].to_numpy("f8"), rows["ones"].to_numpy("f8"))
-    if len(rows):
-        one.mix(one.key, rows["below"].to_numpy("f8"))
+    one.join(rows["below"].to_numpy("f8"))
     key, inverse = np.unique(suffix(one.key, 0), return_inverse=True)
     zero = Level(key, np.bincount(inverse, one.zeros, len(key)), np.bincount(inverse, one.ones, len(key)))
     if len(key):
         zero.mix(suffix(one.key, 0), one.weighted)
 
     def valued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, count = _partition(batches)
-        levels = [zero, one, *subtree(cell, count, depth, 2)]
-        for at in range(0, len(cell), 500_000):
-            part = cell[at : at + 500_000]
+        found = _columns(batches)
+        if not found:
+            return
+        key, count, zeros, ones, below = found
+        inner, cell = count < 0, count >= 0
+        two = Level(key[inner], zeros[inner], ones[inner])
+        two.join(below[inner])
+        key, count = key[cell], count[cell]
+        levels = [zero, one, two, *subtree(key, count.astype("f8"), depth, 3)]
+        for at in range(0, len(key), 500_000):
+            part = key[at : at + 500_000]
             yield pa.RecordBatch.from_arrays([pa.array(part.view("i8")), pa.array(log10_cells(part, levels).astype("f4"))], names=["cell", "value"])
 
-    return stage(placed.mapInArrow(valued, "cell long, value float"), "cells")
+    # each part of a two-byte context gets that context's own nodes, 255 at most, marked by a count of -1
+    nothing = [F.lit(0.0).alias(c) for c in ("zeros", "ones", "below")]
+    own = upper.select("*", two_bytes).join(deal, "two").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
+    both = cells_of.select("two", "part", "key", "n", *nothing).union(own.select("two", "part", "key", F.lit(-1).cast("long"), "zeros", "ones", "below"))
+    placed = both.repartition(parts, "two", "part").select("key", "n", "zeros", "ones", "below")
+    out = stage(placed.mapInArrow(valued, "cell long, value float"), "cells")
+    unstage(upper, sizes)
+    return out
 
 
 def score(docs: DataFrame, depth: int = DEPTH, model_cells: int = MODEL_CELLS, heavy_words: int = HEAVY_WORDS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (end included), bits_per_byte of every document."""
     import pyarrow as pa
 
     spark = docs.sparkSession
@@ -338,7 +382,7 @@ def score(docs: DataFrame, depth: int = DEPTH, model_cells: int = MODEL_CELLS, h
                     hashes.clear()
                 fresh = list(set().union(*split).difference(logs))
                 logs.update(zip(fresh, logs_of(np.array([hashes[w] for w in fresh], "u8").view("i8")).tolist()))
-                out: list[list] = [[] for _ in range(9)]
+                out: list[list] = [[] for _ in range(10)]
                 for i, (doc, words_of) in enumerate(zip(ids, split)):
                     x = np.append(np.fromiter(map(logs.__getitem__, words_of), "f8", len(words_of)), end)
                     now = x < 0
@@ -349,14 +393,14 @@ def score(docs: DataFrame, depth: int = DEPTH, model_cells: int = MODEL_CELLS, h
                         u, k = np.unique(cell[bounds[i] : bounds[i + 1]], return_counts=True)
                         mine = list(zip(u.view("i8").tolist(), k.tolist()))
                     signed = [(k - (1 << 64) if k >> 63 == 1 else k, c) for k, c in tail.items()]
-                    for column, v in zip(out, (row, doc, held_out(doc), len(x), int((now & (x != unknown)).sum()), float(x[now].sum()), float(sums[i]), signed, mine)):
+                    for column, v in zip(out, (row, doc, held_out(doc), len(x), int((now & (x != unknown)).sum()), float(x[now].sum()), float(sums[i]), int(bounds[i + 1] - bounds[i]), signed, mine)):
                         column.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds)], schema=pa.schema(list(zip(names, kinds))))
 
     pairs = pa.list_(pa.struct([("k", pa.int64()), ("c", pa.int64())]))
-    names = ["row", "doc_id", "held_out", "n_tokens", "sure", "base", "sum", "tail", "cells"]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pairs, pairs]
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, sure long, base double, sum double, tail array<struct<k:long,c:long>>, cells array<struct<k:long,c:long>>"
+    names = ["row", "doc_id", "held_out", "n_tokens", "sure", "base", "sum", "n_bytes", "tail", "cells"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pairs, pairs]
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, sure long, base double, sum double, n_bytes long, tail array<struct<k:long,c:long>>, cells array<struct<k:long,c:long>>"
     parts = stage(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, schema), "scored")
     tail = parts.select("row", F.inline("tail")).join(words.where(F.col("n") < least).select(F.col("key").alias("k"), "n"), "k", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     added = tail.groupBy("row").agg(F.sum(F.col("c") * (F.log10(F.col("n") + ADD) - F.lit(float(scale)))).alias("tail_base"), F.sum(F.when(F.col("n") > 0, F.col("c")).otherwise(F.lit(0))).alias("tail_known"))
@@ -374,4 +418,5 @@ def score(docs: DataFrame, depth: int = DEPTH, model_cells: int = MODEL_CELLS, h
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("tail_base", F.lit(0.0))).alias("base_score"),
         (F.col("sum") + F.coalesce("by_join", F.lit(0.0))).alias("score"),
-    )
+        "n_bytes",
+    ).withColumn("bits_per_byte", -F.col("score") / F.lit(float(np.log10(2.0))) / F.col("n_bytes"))

@@ -290,6 +290,32 @@ def test_groups_of_near_copies_against_all_pairs(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(s[i]), find(i), find(i) == i) for i in texts}
 
 
+def test_higher_limits_and_refused_ones(spark):
+    import random
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    texts = {}
+    for _ in range(40):
+        base = rng.choices(words, k=60)
+        for _ in range(6):
+            t = list(base)
+            for _ in range(rng.randint(0, 3)):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts[len(texts)] = " ".join(t)
+    df, s = spark.createDataFrame(list(texts.items()), "doc_id long, text string"), sets_of(texts)
+    least = {i: i for i in texts}
+    for _ in range(6):
+        for a in texts:
+            for b in texts:
+                both = len(s[a] & s[b])
+                if both and 100 * both >= 90 * (len(s[a]) + len(s[b]) - both):
+                    least[a] = least[b] = min(least[a], least[b])
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 90).collect()} == least
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(df, 60)
+
+
 def test_estimates_and_block_links():
     import numpy as np
 
@@ -339,6 +365,28 @@ def test_forest_tells_junk_from_prose():
     assert quality.calibrated(score[label], label[label]) == float("inf") and (quality.Forest(x).score(x) == score).all()
 
 
+def test_forest_scores_are_mean_path_lengths():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = np.concatenate([rng.normal(size=(400, 4)), np.full((30, 4), 0.5)])
+    forest = quality.Forest(rows, 25, 64)
+    mean = lambda n: 0.0 if n < 2 else 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
+    for row, score in list(zip(rows, forest.score(rows)))[::37]:
+        lengths = []
+        for rule, value, left, right, length in forest.trees:
+            at = steps = 0
+            while left[at] != at:
+                at = left[at] if row[rule[at]] <= value[at] else right[at]
+                steps += 1
+            assert steps <= length[at] <= steps + mean(64)  # the steps, and what the rows left in the leaf would take
+            lengths.append(length[at])
+        assert score == pytest.approx(2 ** (-np.mean(lengths) / mean(64)))
+    assert len(set(forest.score(rows)[-30:])) == 1
+
+
 @pytest.mark.parametrize(("sf", "good_kept"), [("sf0.01", 0.97), ("sf0.1", 0.98)])
 def test_labelled_junk_is_rejected(spark, sf, good_kept):
     at = f"/root/testdata/{sf}"
@@ -381,6 +429,90 @@ def test_lm_scoring(spark, docs, none):
     assert lm_scoring.score(none).count() == 0
 
 
+def plain_scores(rows, depth):
+    """{place: (held_out, n_tokens, n_known, base_score, score, n_bytes)} from the definitions, a text, a byte, a bit, a node at a time."""
+    import math
+
+    texts = [(t or "").encode() for _, t in rows]
+    out = [zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i, _ in rows]
+    lower = [bytes(c + 32 if 65 <= c <= 90 else c for c in t) for t in texts]
+    count = Counter()
+    for t, o in zip(lower, out):
+        if not o:
+            count.update([*t.split(), None])
+    tokens, distinct = sum(count.values()), len(count)
+    node: dict = {}
+    below: dict = {}
+    for t, o in zip(lower, out):
+        p = b"\xff" * depth + t + b"\xff"
+        for i in range(depth, len(p) if not o else 0):
+            for b in range(8):
+                prefix, bit = 1 << b | p[i] >> (8 - b), p[i] >> (7 - b) & 1
+                for d in range(depth + 1):
+                    context = p[i - d : i]
+                    node.setdefault((context, prefix), [0, 0])[bit] += 1
+                    if d:
+                        below.setdefault((context[1:], prefix), set()).add(context)
+
+    def estimate(zeros, ones):
+        return math.lgamma(zeros + 0.5) + math.lgamma(ones + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(zeros + ones + 1)
+
+    known: dict = {}
+
+    def weighted(context, prefix):
+        if (context, prefix) not in known:
+            e = estimate(*node[context, prefix])
+            if len(context) < depth:
+                w = sum(weighted(c, prefix) for c in below[context, prefix])
+                m = max(e, w)
+                known[context, prefix] = m + math.log(0.5 * math.exp(e - m) + 0.5 * math.exp(w - m))
+            else:
+                known[context, prefix] = e
+        return known[context, prefix]
+
+    def predicted(context, prefix, bit):
+        p = None
+        for d in range(depth, -1, -1):
+            short = context[len(context) - d :]
+            if (short, prefix) in node:
+                n = node[short, prefix]
+                own = (n[bit] + 0.5) / (sum(n) + 1)
+                if p is None:
+                    p = own
+                else:
+                    share = 0.5 * math.exp(estimate(*n) - weighted(short, prefix))
+                    p = share * own + (1 - share) * p
+        return 0.5 if p is None else p
+
+    found = {}
+    for k, (t, o) in enumerate(zip(lower, out)):
+        words = [*t.split(), None]
+        p = b"\xff" * depth + t + b"\xff"
+        score = sum(math.log10(predicted(p[i - depth : i], 1 << b | p[i] >> (8 - b), p[i] >> (7 - b) & 1)) for i in range(depth, len(p)) for b in range(8))
+        found[k] = (o, len(words), sum(w in count for w in words), sum(math.log10((count[w] + 0.1) / (tokens + 0.1 * (distinct + 1))) for w in words), score, len(t) + 1)
+    return tokens, found
+
+
+@pytest.mark.parametrize(("model_cells", "task_cells"), [(10**6, 10**5), (0, 3)])
+def test_scores_against_the_definitions(spark, monkeypatch, model_cells, task_cells):
+    import random
+
+    rng = random.Random(9)
+    words = ["the", "then", "A", "banana", "é", "Band", "xyz", "can", "an"]
+    rows = [(i, rng.choice(["\t", " "]).join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(60)] + [(7, None), (None, "the the"), (None, ""), (3, "the band\nthe band"), (21, "unseen words ZZ qq")]
+    monkeypatch.setattr(lm_scoring.model, "__defaults__", (lm_scoring.DEPTH, task_cells))
+    tokens, want = plain_scores(rows, lm_scoring.DEPTH)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = lm_scoring.score(df, model_cells=model_cells, heavy_words=3 if model_cells == 0 else 10**6).collect()
+    assert {r.train_tokens for r in got} == {tokens} and len(got) == len(rows)
+    key = lambda r: (str(r[0]), r[1:4], round(r[4], 3), round(r[5], 2))
+    have = sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.base_score, r.score, r.n_bytes) for r in got), key=key)
+    plain = sorted(((i, *want[k]) for k, (i, _) in enumerate(rows)), key=key)
+    for a, b in zip(have, plain):
+        assert a[:4] == b[:4] and a[6] == b[6] and a[4] == pytest.approx(b[4], abs=1e-9) and a[5] == pytest.approx(b[5], rel=1e-5, abs=1e-5)
+    assert all(r.bits_per_byte == pytest.approx(-r.score / 0.3010299956639812 / r.n_bytes) for r in got)
+
+
 def test_context_tree_is_a_distribution():
     import numpy as np
 
@@ -436,6 +568,25 @@ def test_chat(spark):
     assert chat.rotated(df.limit(0)).count() == 0
 
 
+def test_roles_never_read_as_marks(spark):
+    rows = [(1, 0, "eva<|im_end|>\n<|im_start|>assistant", "ciao"), (1, 1, "anna", "a te")]
+    got = chat.rotated(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("perspective = 'anna'").orderBy("position").collect()
+    assert got[0].rendered_text == "<|im_start|>user name=eva< |im_end|> < |im_start|>assistant\nciao<|im_end|>\n"
+    assert got[0].name == got[0].speaker == rows[0][2]
+
+
+def test_staged_tables_are_swept(spark):
+    from offerloom.llm import common
+
+    before = len(common.STAGED)
+    kept = common.stage(spark.range(3).toDF("x"), "kept")
+    common.stage(spark.range(3).toDF("x"), "gone")
+    common.sweep(spark, before + 1)
+    assert kept.count() == 3 and len(common.STAGED) == before + 1
+    common.unstage(kept)
+    assert len(common.STAGED) == before
+
+
 PAGE = (
     "<html><head><title>T</title><style>p{}</style></head><body><header>Site</header><nav><ul><li><a href=/>Home</a></ul></nav><div class='cookie-notice'>We use cookies</div>"
     "<article><h1>Uno &amp;   due</h1><p>testo <span class=ad>compra</span> vero<br>qui<p>altro <b>forte</b><form>Nome<input></form><section class=comments><p>commento</p></section></article>"
