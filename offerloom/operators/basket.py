@@ -66,10 +66,13 @@ def cheapest_mix(lines: DataFrame, shops: DataFrame, tiers: DataFrame) -> DataFr
 
     Ties go by shop name, then id. Every choice changes later ones, so a basket is folded in
     order of its requests over a map of subtotals, inside the JVM; a basket is as
-    long as its list of requests.
+    long as its list of requests. What a line adds at a shop without a subtotal is known before the
+    fold and orders the choices, so a step prices only shops that have one and takes the first of the others.
     """
-    choice = F.struct(F.col("shop_name"), F.col("shop_id"), (F.col("price") * F.col("quantity")).alias("line"), F.coalesce("tiers", F.array().cast("array<struct<pos:int,min_value:bigint,max_value:bigint,cost:bigint>>")).alias("tiers"))
+    line, no_tiers = F.col("price") * F.col("quantity"), F.array().cast("array<struct<pos:int,min_value:bigint,max_value:bigint,cost:bigint>>")
     ready = with_tiers(lines.where("available AND quantity > 0"), shops, tiers)
+    ready = ready.select("basket_id", "query_index", "shop_name", "shop_id", line.alias("line"), F.coalesce("tiers", no_tiers).alias("tiers"), (line + shipping(line, F.col("tiers"))).alias("added"))
+    choice = F.struct("added", "shop_name", "shop_id", "line", "tiers")
     requests = ready.groupBy("basket_id", "query_index").agg(F.array_sort(F.collect_list(choice)).alias("choices"))
     baskets = requests.groupBy("basket_id").agg(F.array_sort(F.collect_list(F.struct("query_index", "choices"))).alias("requests"))
     shop_type = dict(lines.dtypes)["shop_id"]
@@ -80,12 +83,24 @@ def cheapest_mix(lines: DataFrame, shops: DataFrame, tiers: DataFrame) -> DataFr
         return c["line"] + shipping(before + c["line"], c["tiers"]) - shipping(before, c["tiers"])
 
     def step(acc: Column, r: Column) -> Column:
-        priced = F.transform(r["choices"], lambda c: F.struct(added(acc["spent"], c).alias("added"), c["shop_name"].alias("shop_name"), c["shop_id"].alias("shop_id"), c["line"].alias("line")))
-        best = F.array_min(priced)
-        spent = F.coalesce(F.try_element_at(acc["spent"], best["shop_id"]), F.lit(0).cast("long")) + best["line"]
-        rest = F.map_filter(acc["spent"], lambda k, _: k != best["shop_id"])
-        row = F.struct(r["query_index"].cast("int").alias("query_index"), best["shop_id"].alias("shop_id"), best["line"].alias("line"), best["added"].alias("added"))
-        return F.struct(F.map_concat(rest, F.create_map(best["shop_id"], spent)).alias("spent"), F.concat(acc["chosen"], F.array(row)).alias("chosen")).cast(state)
+        def known(c: Column) -> Column:
+            return F.map_contains_key(acc["spent"], c["shop_id"])
+
+        def offer(c: Column, adds: Column) -> Column:
+            return F.struct(adds.alias("added"), c["shop_name"].alias("shop_name"), c["shop_id"].alias("shop_id"), c["line"].alias("line"))
+
+        priced = F.transform(F.filter(r["choices"], known), lambda c: offer(c, added(acc["spent"], c)))
+        others = F.slice(F.filter(r["choices"], lambda c: ~known(c)), 1, 1)
+        best = F.array_min(F.concat(priced, F.transform(others, lambda c: offer(c, c["added"]))))
+
+        def after(best: Column) -> Column:
+            spent = F.coalesce(F.try_element_at(acc["spent"], best["shop_id"]), F.lit(0).cast("long")) + best["line"]
+            rest = F.map_filter(acc["spent"], lambda k, _: k != best["shop_id"])
+            row = F.struct(r["query_index"].cast("int").alias("query_index"), best["shop_id"].alias("shop_id"), best["line"].alias("line"), best["added"].alias("added"))
+            return F.struct(F.map_concat(rest, F.create_map(best["shop_id"], spent)).alias("spent"), F.concat(acc["chosen"], F.array(row)).alias("chosen"))
+
+        # bound by a lambda, so that the best is found once a step
+        return F.get(F.transform(F.array(best), after), F.lit(0)).cast(state)
 
     start = F.struct(F.create_map().alias("spent"), F.array().alias("chosen")).cast(state)
     return baskets.select("basket_id", F.explode(F.aggregate("requests", start, step)["chosen"]).alias("c")).select("basket_id", "c.*")
