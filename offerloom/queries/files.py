@@ -79,23 +79,22 @@ def _(t: Tables) -> DataFrame:
 
 @query("s_12_dump", "SELECT p_partkey, p_name FROM part")
 def _(t: Tables) -> DataFrame:
-    path = t.scratch("dump")
-    t.part.select("p_partkey", "p_name").repartitionByRange(8, "p_partkey").sortWithinPartitions("p_partkey").write.json(path)
-    return t.spark.read.schema("p_partkey long, p_name string").json(path)
+    return S.dump(t.part.select("p_partkey", "p_name"), t.scratch("dump"), "p_partkey")
 
 
 @query("s_13_json_sink", "SELECT o_orderkey, o_orderpriority FROM orders")
 def _(t: Tables) -> DataFrame:
-    path = t.scratch("sink")
-    t.orders.select("o_orderkey", "o_orderpriority").write.option("compression", "gzip").json(path)
-    return t.spark.read.schema("o_orderkey long, o_orderpriority string").json(path)
+    path, rows = t.scratch("sink"), t.orders.select("o_orderkey", "o_orderpriority")
+    S.json_sink(rows.where("o_orderkey % 2 = 0"), path)
+    return S.json_sink(rows.where("o_orderkey % 2 <> 0"), path, add=True)
 
 
 @query("s_14_report", "SELECT p_brand AS section, count(*) AS n FROM part GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    path = t.scratch("report")
-    t.part.groupBy(F.col("p_brand").alias("section")).agg(F.count(F.lit(1)).alias("n")).write.json(f"{path}/sections")
-    return t.spark.read.schema("section string, n long").json(f"{path}/sections")
+    sections = t.part.groupBy(F.col("p_brand").alias("section")).agg(F.count(F.lit(1)).alias("n"))
+    assigned = t.part.select("p_partkey", F.col("p_brand").alias("section"))
+    written_ = S.report({"sections": sections, "assignments": assigned}, t.scratch("report"))
+    return written_["assignments"].groupBy("section").agg(F.count(F.lit(1)).alias("n")).join(written_["sections"], ["section", "n"])
 
 
 @query("s_15_text_export", with_sql(REQUEST_SQL) + "SELECT basket_id, string_agg(quantity || ' x product ' || product_id || ' ' || printf('%.2f', quantity * 100 / 100.0), chr(10) ORDER BY query_index) || chr(10) || 'Totale ' || printf('%.2f', sum(quantity * 100)::BIGINT / 100.0) AS text FROM request GROUP BY 1")

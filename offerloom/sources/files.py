@@ -125,6 +125,23 @@ def basket_text(lines: DataFrame) -> DataFrame:
     return out.select("basket_id", F.concat_ws("\n", F.array_join(F.transform("rows", lambda x: x["row"]), "\n"), F.concat(F.lit("Totale "), money(F.col("total")))).alias("text"))
 
 
+def dump(df: DataFrame, path: str, key: str, parts: int = 8) -> DataFrame:
+    """The whole table as JSON lines in files of key ranges, ordered by key from file to file; what reads it back."""
+    df.repartitionByRange(parts, key).sortWithinPartitions(key).write.json(path)
+    return df.sparkSession.read.schema(df.schema).json(path)
+
+
+def json_sink(df: DataFrame, path: str, add: bool = False) -> DataFrame:
+    """Rows as compressed JSON lines, added to those at ``path`` or alone there; what reads them back."""
+    df.write.mode("append" if add else "errorifexists").option("compression", "gzip").json(path)
+    return df.sparkSession.read.schema(df.schema).json(path)
+
+
+def report(sections: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """A report of several relations, each as JSON lines in a folder of its name; what reads them back."""
+    return {name: json_sink(df, f"{path}/{name}") for name, df in sections.items()}
+
+
 def escaped(text):
     """Text as XML has it, apostrophes and quotes included."""
     for mark, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ("'", "apos"), ('"', "quot")):
