@@ -132,20 +132,17 @@ def split_weak(labels: DataFrame, vectors: DataFrame, tokens: DataFrame, n_docs:
     New clusters go by their smallest document.
     """
     largest = most or int(max(n_docs * 0.015, 250))
-    rows = labels.where("cluster >= 0").join(vectors.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "w"))).alias("v")), "doc", "left")
-    rows = rows.join(tokens.groupBy("doc").agg(F.collect_set("term").alias("words")), "doc", "left").select("doc", "cluster", F.to_json("v").alias("v"), "words")
+    rows = labels.where("cluster >= 0").join(vectors.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("v")), "doc", "left")
+    rows = rows.join(tokens.groupBy("doc").agg(F.collect_set("term").alias("words")), "doc", "left").select("doc", "cluster", F.col("v.term").alias("terms"), F.col("v.w").alias("ws"), "words")
 
     def split(group: pd.DataFrame) -> pd.DataFrame:
-        import json
-
         group = group.sort_values("doc")
         docs = group["doc"].to_numpy()
-        vs = [json.loads(v) if v else {} for v in group["v"]]
-        terms = {t: i for i, t in enumerate(sorted({t for v in vs for t in v}))}
-        x = np.zeros((len(vs), max(len(terms), 1)))
-        for i, v in enumerate(vs):
-            for t, w in v.items():
-                x[i, terms[t]] = w
+        held = [(i, t, w) for i, (t, w) in enumerate(zip(group["terms"], group["ws"])) if t is not None]
+        terms = {t: i for i, t in enumerate(sorted({t for _, ts, _ in held for t in ts}))}
+        x = np.zeros((len(docs), max(len(terms), 1)))
+        for i, ts, w in held:
+            x[i, [terms[t] for t in ts]] = w
         sets = [frozenset(w) if w is not None else frozenset() for w in group["words"]]
         out, todo = np.zeros(len(docs), "i8"), [np.arange(len(docs))]
         while todo:
