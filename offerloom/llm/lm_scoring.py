@@ -49,10 +49,12 @@ MODEL_CELLS = 12_000_000
 HEAVY_WORDS = 1_000_000
 END_WORD = np.int64(-1)
 ADD = 0.1
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Cells that a task should hold, with the nodes it makes of them.
 TASK_CELLS = 100_000
-REMEMBER = 500_000
+#: Cells of a two-byte context above which it is dealt by the third byte.
+DEAL_CELLS = 100_000
+REMEMBER = 200_000
 
 HALF = np.log(0.5)
 
@@ -177,10 +179,14 @@ def _columns(batches) -> list[np.ndarray]:
 class CellTable:
     """log10 values by cell, in open addressing with linear probing."""
 
-    def __init__(self, cell: np.ndarray, value: np.ndarray):
-        self.bits = max(10, int(np.ceil(np.log2(max(len(cell), 1) * 1.7))))
+    def __init__(self, cell: np.ndarray, value: np.ndarray, step: int = 250_000):
+        self.bits = max(10, int(np.ceil(np.log2(max(len(cell), 1) * 1.35))))
         self.keys = np.full(1 << self.bits, np.uint64(0xFFFFFFFFFFFFFFFF))
         self.values = np.zeros(1 << self.bits, "f4")
+        for at in range(0, len(cell), step):  # some at a time, as a worker has little besides the table
+            self._put(cell[at : at + step], value[at : at + step])
+
+    def _put(self, cell: np.ndarray, value: np.ndarray) -> None:
         at = self._home(cell)
         while len(cell):
             free = self.keys[at] == np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -247,9 +253,9 @@ def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                         ends += len(part)
                         for t in part:
                             words.update(t.lower().split())
-                if sum(len(k) for k, _ in parts) > 8_000_000:
+                if sum(len(k) for k, _ in parts) > 3_000_000:
                     parts = merged(parts)
-                    if len(parts[0][0]) > 4_000_000:  # memory stays bounded; the shuffle adds the rest
+                    if len(parts[0][0]) > 1_500_000:  # memory stays bounded; the shuffle adds the rest
                         yield rows(0, *parts.pop())
                 if len(words) > 1_000_000:
                     yield rows(1, np.array([xxh3_64_intdigest(w) for w in words], "u8"), np.fromiter(words.values(), "i8", len(words)))
@@ -267,7 +273,7 @@ def gathered(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
 NODES = "key long, zeros double, ones double, below double"
 
 
-def model(cell_counts: DataFrame, depth: int = DEPTH, task_cells: int = TASK_CELLS) -> DataFrame:
+def model(cell_counts: DataFrame, depth: int = DEPTH, deal_cells: int = DEAL_CELLS) -> DataFrame:
     """A staged table (cell, value): log10 of the probability of every cell of ``cell_counts`` (key, n)."""
     import pyarrow as pa
 
@@ -275,9 +281,9 @@ def model(cell_counts: DataFrame, depth: int = DEPTH, task_cells: int = TASK_CEL
     two_bytes = F.shiftright("key", 8).bitwiseAND(F.lit(0xFFFF)).alias("two")
     third = F.shiftright("key", 24).bitwiseAND(F.lit(0xFF))
     spark = cell_counts.sparkSession
-    sizes = stage(cell_counts.groupBy(two_bytes).agg(F.count(F.lit(1)).alias("cells")).withColumn("deal", F.least(F.ceil(F.col("cells") / task_cells), F.lit(256)).cast("int")), "contexts")
+    sizes = stage(cell_counts.groupBy(two_bytes).agg(F.count(F.lit(1)).alias("cells")).withColumn("deal", F.least(F.ceil(F.col("cells") / deal_cells), F.lit(256)).cast("int")), "contexts")
     total = sizes.agg(F.coalesce(F.sum("cells"), F.lit(0))).first()[0]
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // task_cells + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_CELLS + 1)
     deal = F.broadcast(sizes.select("two", "deal"))  # at most 65,536 rows
     cells_of = cell_counts.select("key", "n", two_bytes).join(deal, "two").select("two", F.pmod(third, "deal").alias("part"), "key", "n")
 

@@ -493,14 +493,14 @@ def plain_scores(rows, depth):
     return tokens, found
 
 
-@pytest.mark.parametrize(("model_cells", "task_cells"), [(10**6, 10**5), (0, 3)])
-def test_scores_against_the_definitions(spark, monkeypatch, model_cells, task_cells):
+@pytest.mark.parametrize(("model_cells", "deal_cells"), [(10**6, 10**5), (0, 3)])
+def test_scores_against_the_definitions(spark, monkeypatch, model_cells, deal_cells):
     import random
 
     rng = random.Random(9)
     words = ["the", "then", "A", "banana", "é", "Band", "xyz", "can", "an"]
     rows = [(i, rng.choice(["\t", " "]).join(rng.choices(words, k=rng.randint(0, 12)))) for i in range(60)] + [(7, None), (None, "the the"), (None, ""), (3, "the band\nthe band"), (21, "unseen words ZZ qq")]
-    monkeypatch.setattr(lm_scoring.model, "__defaults__", (lm_scoring.DEPTH, task_cells))
+    monkeypatch.setattr(lm_scoring.model, "__defaults__", (lm_scoring.DEPTH, deal_cells))
     tokens, want = plain_scores(rows, lm_scoring.DEPTH)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = lm_scoring.score(df, model_cells=model_cells, heavy_words=3 if model_cells == 0 else 10**6).collect()
