@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import shared_dir, table
-from . import chat, mixing, near_dedup, topk
+from . import chat, divergence, mixing, near_dedup, topk
+from .alignment import align
 from .html_extract import extract
 from .lm_scoring import score
 from .mixing import mix
@@ -67,9 +68,17 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op12_postings_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
+def op13_systolic_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_style_tree, op2_best_two_fit, op3_branch_and_bound, op4_perspectives, op5_virtual_slots, op6_context_tree, op7_hyperminhash, op8_token_counts, op9_isolation_forest, op10_water_filling)}
+    return {f.__name__: f for f in (op1_style_tree, op2_best_two_fit, op3_branch_and_bound, op4_perspectives, op5_virtual_slots, op6_context_tree, op7_hyperminhash, op8_token_counts, op9_isolation_forest, op10_water_filling, op12_postings_cogroup, op13_systolic_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_branch_and_bound": topk.ORACLE, "op4_perspectives": chat.ORACLE, "op7_hyperminhash": near_dedup.ORACLE, "op10_water_filling": mixing.ORACLE}
+    return {"op3_branch_and_bound": topk.ORACLE, "op4_perspectives": chat.ORACLE, "op7_hyperminhash": near_dedup.ORACLE, "op10_water_filling": mixing.ORACLE, "op13_systolic_rotation": divergence.ORACLE}
