@@ -11,6 +11,7 @@ from .common import shared_dir, table
 from . import chat, divergence, mixing, near_dedup, topk
 from .alignment import align
 from .html_extract import extract
+from .language_id import identify
 from .lm_scoring import score
 from .mixing import mix
 from .near_dedup import near_duplicates
@@ -68,6 +69,10 @@ def op10_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op11_linear_chain_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"))
+
+
 def op12_postings_cogroup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
 
@@ -77,7 +82,7 @@ def op13_systolic_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_style_tree, op2_best_two_fit, op3_branch_and_bound, op4_perspectives, op5_virtual_slots, op6_context_tree, op7_hyperminhash, op8_token_counts, op9_isolation_forest, op10_water_filling, op12_postings_cogroup, op13_systolic_rotation)}
+    return {f.__name__: f for f in (op1_style_tree, op2_best_two_fit, op3_branch_and_bound, op4_perspectives, op5_virtual_slots, op6_context_tree, op7_hyperminhash, op8_token_counts, op9_isolation_forest, op10_water_filling, op11_linear_chain_crf, op12_postings_cogroup, op13_systolic_rotation)}
 
 
 def oracle_sql() -> dict[str, str]:
