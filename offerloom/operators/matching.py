@@ -153,20 +153,54 @@ def match(products: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return described(members, links)
 
 
+def shop_sets(members: DataFrame) -> DataFrame:
+    """(slug, shops, score) of clusters (slug, score, shop, id): the sorted distinct shops and the highest score."""
+    return members.groupBy("slug").agg(F.sort_array(F.collect_set("shop")).alias("shops"), F.max("score").alias("score"))
+
+
+def signature(items: Column) -> Column:
+    """A bitmap of a set: what it contains has no bit that the set's bitmap lacks."""
+    return F.aggregate(items, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(x), F.lit(64)).cast("int"))))
+
+
+def contains(whole: Column, whole_signature: Column, part: Column, part_signature: Column) -> Column:
+    """Whether one set holds another: bitmaps first, the sets themselves where those agree."""
+    return (part_signature.bitwiseAND(whole_signature) == part_signature) & (F.size(F.array_except(part, whole)) == 0)
+
+
+def containments(parts: DataFrame, wholes: DataFrame) -> DataFrame:
+    """(part, whole) of distinct sets: parts (part), wholes (whole), arrays of strings without repeats.
+
+    A part meets only wholes that hold its rarest item, by how many wholes hold it; a part with
+    an item that none holds meets none. So an item that all sets share pairs nothing, unless it is
+    the rarest of a set.
+    """
+    there = written(wholes.select("whole", signature(F.col("whole")).alias("whole_signature")), "wholes")
+    spread = there.select("whole", "whole_signature", F.explode("whole").alias("item"))
+    frequency = spread.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
+    rare = parts.select("part", F.explode("part").alias("item")).join(frequency, "item")
+    rare = rare.groupBy("part").agg(F.min(F.struct("df", "item"))["item"].alias("item"), F.count(F.lit(1)).alias("known")).where(F.col("known") == F.size("part"))
+    met = rare.withColumn("part_signature", signature(F.col("part"))).join(spread, "item")
+    return met.where(contains(F.col("whole"), F.col("whole_signature"), F.col("part"), F.col("part_signature"))).select("part", "whole")
+
+
 def redirects(inactive: DataFrame, active: DataFrame) -> DataFrame:
-    """For inactive clusters the active one that holds all their shops: most shared products, best score, fewest shops, slug.
+    """For inactive clusters of two shops or more the active one that holds all their shops: most shared products, best score, fewest shops, slug.
 
-    Both: (slug, score, shop, id), a row per member.
+    Both: (slug, score, shop, id), a row per member. Clusters with the same shops are one set,
+    and of a set of active shops only the best cluster matters to inactive ones that share no product
+    with it. Clusters that share products meet by those.
     """
-    ishops, ashops = (x.select("slug", "shop").distinct() for x in (inactive, active))
-    need = ishops.groupBy("slug").agg(F.count(F.lit(1)).alias("need")).where("need >= 2")
-    have = ashops.groupBy(F.col("slug").alias("target")).agg(F.count(F.lit(1)).alias("shops"))
-    cover = ishops.join(ashops.withColumnRenamed("slug", "target"), "shop").groupBy("slug", "target").agg(F.count(F.lit(1)).alias("common")).join(need, "slug").where("common = need").join(have, "target")
+    gone = written(shop_sets(inactive).where("size(shops) >= 2").select("slug", F.col("shops").alias("part")), "inactive-sets")
+    here = written(shop_sets(active).select(F.col("slug").alias("target"), F.col("shops").alias("whole"), "score"), "active-sets")
+    rank = F.struct((-F.coalesce("shared", F.lit(0))).alias("shared"), F.col("score").isNull().alias("unscored"), (-F.col("score")).alias("score"), F.size("whole").alias("shops"), "target")
+    best = here.withColumn("shared", F.lit(0).cast("long")).withColumn("rank", rank).groupBy("whole").agg(F.min("rank").alias("rank"))
+    by_set = containments(gone.select("part").distinct(), here.select("whole").distinct()).join(best, "whole").groupBy("part").agg(F.min("rank").alias("rank"))
     shared = inactive.select("slug", "id").distinct().join(active.select(F.col("slug").alias("target"), "id").distinct(), "id").groupBy("slug", "target").agg(F.count(F.lit(1)).alias("shared"))
-    score = active.groupBy(F.col("slug").alias("target")).agg(F.max("score").alias("score"))
-    ranked = cover.join(shared, ["slug", "target"], "left").join(score, "target").withColumn("shared", F.coalesce("shared", F.lit(0)))
-    w = Window.partitionBy("slug").orderBy(F.desc("shared"), F.desc("score"), "shops", "target")
-    return ranked.withColumn("n", F.row_number().over(w)).where("n = 1").select("slug", "target", "shared")
+    met = shared.join(gone, "slug").join(here, "target").where(contains(F.col("whole"), signature(F.col("whole")), F.col("part"), signature(F.col("part"))))
+    by_product = met.withColumn("rank", rank).groupBy("slug").agg(F.min("rank").alias("nearest"))
+    first = gone.join(by_set, "part", "left").join(by_product, "slug", "left").withColumn("rank", F.coalesce("nearest", "rank")).where("rank IS NOT NULL")
+    return first.select("slug", F.col("rank.target").alias("target"), (-F.col("rank.shared")).alias("shared"))
 
 
 def retrieve(queries: DataFrame, catalog: DataFrame, most: int = 1000, least: float = 0.15) -> DataFrame:

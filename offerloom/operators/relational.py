@@ -121,15 +121,47 @@ def change_points(df: DataFrame, keys: Sequence[str], order: Sequence[Column], s
     return df.withColumn("_n", F.row_number().over(w)).withColumn("_prev", F.lag(cur).over(w)).where((F.col("_n") == 1) | ~cur.eqNullSafe(F.col("_prev"))).drop("_n", "_prev")
 
 
-def unique_slugs(df: DataFrame, base: str, order: Sequence[Column]) -> DataFrame:
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> DataFrame:
+    """``df`` written in the order of keys and ``order``, with ``_part``, the number of its range: a key with many rows lies in several."""
+    return written(df.repartitionByRange(buckets, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, buckets: int = 64) -> DataFrame:
+    """Adds ``name``, the row number from 1 per key in a total order; counted within ranges and added up, so no key is one task."""
+    parts = ranged(df, keys, order, buckets)
+    sizes = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a key has at most ``buckets`` ranges
+    before = sizes.select(*keys, "_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order))
+    return parts.withColumn("_inside", inside).join(before, [*keys, "_part"]).select(*df.columns, (F.col("_inside") + F.col("_before")).alias(name))
+
+
+def filled_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, buckets: int = 64) -> DataFrame:
+    """Adds ``name``, the greatest ``value`` of a key up to the row in a total order; carried from range to range, so no key is one task."""
+    parts = ranged(df, keys, order, buckets)
+    most = parts.groupBy(*keys, "_part").agg(F.max(value).alias("_most"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = most.select(*keys, "_part", F.max("_most").over(earlier).alias("_before"))
+    upto = F.max(value).over(Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.withColumn("_upto", upto).join(before, [*keys, "_part"]).select(*df.columns, F.greatest("_upto", "_before").alias(name))
+
+
+def unique_slugs(df: DataFrame, base: str, order: Sequence[str]) -> DataFrame:
     """Adds ``slug``: the base for the first row that has it, then base-2, base-3, ... skipping slugs that are bases themselves.
 
-    Only bases that some other base extends by a number can collide; those few groups are
-    settled by shifting past the taken numbers.
+    The taken numbers t of a base, sorted with their ranks r, have t - r - 1 free numbers from 2 on before them,
+    so the m-th free number is 1 + m + (how many have fewer than m before them). Those counts are found by
+    laying rows and taken numbers in one order. Rows are numbered, and counts carried, over ranges, so one base
+    may have any share of the rows.
     """
-    n = df.withColumn("_n", F.row_number().over(Window.partitionBy(base).orderBy(*order)))
+    n = written(ranked(df, [base], order, "_n"), "numbered")
     taken = df.select(F.col(base).alias("_t")).distinct().where(F.col("_t").rlike(r"-[0-9]{1,9}$"))
-    taken = taken.select(F.regexp_replace("_t", r"-[0-9]+$", "").alias(base), F.regexp_extract("_t", r"-([0-9]+)$", 1).cast("int").alias("_k")).groupBy(base).agg(F.sort_array(F.collect_set("_k")).alias("_taken"))
-    free = F.filter(F.sequence(F.lit(2), F.col("_n") + F.size("_taken") + 1), lambda k: ~F.array_contains("_taken", k))
-    number = F.when(F.col("_taken").isNull(), F.col("_n")).otherwise(F.get(free, F.col("_n") - 2))
-    return n.join(taken, base, "left").withColumn("slug", F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), number.cast("string")))).drop("_n", "_taken")
+    taken = taken.select(F.regexp_replace("_t", r"-[0-9]+$", "").alias(base), F.regexp_extract("_t", r"-([0-9]+)$", 1).try_cast("long").alias("_k")).where("_k >= 2").distinct()
+    taken = written(ranked(taken, [base], ["_k"], "_r"), "taken")
+    rows = n.where("_n > 1").select(base, (F.col("_n") - 1).alias("_value")).join(taken.select(base).distinct(), base, "left_semi")
+    events = rows.withColumn("_kind", F.lit(0)).withColumn("_r", F.lit(None).cast("long"))
+    events = events.union(taken.select(base, F.col("_k") - F.col("_r") - 1, F.lit(1), "_r"))  # a taken number with as many before it doesn't count
+    skipped = filled_forward(events, [base], ["_value", "_kind", "_r"], "_r", "_skip").where("_kind = 0").select(base, (F.col("_value") + 1).alias("_n"), "_skip")
+    number = F.col("_n") + F.coalesce("_skip", F.lit(0))
+    slug = F.when(F.col("_n") == 1, F.col(base)).otherwise(F.concat(F.col(base), F.lit("-"), number.cast("string")))
+    return n.join(skipped, [base, "_n"], "left").withColumn("slug", slug).drop("_n", "_skip")

@@ -82,10 +82,17 @@ SELECT p_partkey, CASE WHEN n.k = 1 THEN n.base ELSE n.base || '-' || f.i END AS
 def _(t: Tables) -> DataFrame:
     name = F.replace("p_name", F.lit(" "), F.lit("-"))
     base = t.part.select("p_partkey", F.when(F.col("p_partkey") % 11 == 0, F.concat(name, F.lit("-2"))).otherwise(name).alias("base"))
-    return R.unique_slugs(base, "base", [F.col("p_partkey")]).select("p_partkey", "slug")
+    return R.unique_slugs(base, "base", ["p_partkey"]).select("p_partkey", "slug")
 
 
-@query("o_13_shuffle")
+SHUFFLE_SQL = """WITH RECURSIVE l AS (SELECT p_brand AS seed, list(CAST(p_partkey AS VARCHAR) ORDER BY CAST(p_partkey AS VARCHAR)) AS items FROM part GROUP BY 1),
+hash(seed, k, h) AS (SELECT seed, 0, CAST(2166136261 AS BIGINT) FROM l UNION ALL SELECT seed, k + 1, (xor(h, CAST(ord(seed[k + 1]) AS BIGINT)) * 16777619) % 4294967296 FROM hash WHERE k < length(seed)),
+step(seed, i, state, items) AS (SELECT l.seed, len(items) - 1, h, items FROM l JOIN hash ON hash.seed = l.seed AND k = length(l.seed) UNION ALL
+SELECT seed, i - 1, s, list_transform(range(1, len(items) + 1), lambda k: items[CASE k WHEN i + 1 THEN s % (i + 1) + 1 WHEN s % (i + 1) + 1 THEN i + 1 ELSE k END]) FROM (SELECT seed, i, items, (state * 1664525 + 1013904223) % 4294967296 AS s FROM step WHERE i > 0))
+SELECT seed, unnest(items) AS item, unnest(range(len(items))) AS place FROM step WHERE i = 0"""
+
+
+@query("o_13_shuffle", SHUFFLE_SQL)
 def _(t: Tables) -> DataFrame:
     from ..functions.shuffle import seeded_shuffle
 

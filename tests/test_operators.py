@@ -73,7 +73,7 @@ def test_clusters_have_one_offer_per_shop(spark):
 
 def test_slugs(spark):
     rows = [(i, b) for i, b in enumerate(["x", "x", "x", "x-2", "y", "y", "x-2"])]
-    got = [r.slug for r in R.unique_slugs(spark.createDataFrame(rows, "id int, base string"), "base", [F.col("id")]).orderBy("id").collect()]
+    got = [r.slug for r in R.unique_slugs(spark.createDataFrame(rows, "id int, base string"), "base", ["id"]).orderBy("id").collect()]
     assert got[:4] == ["x", "x-3", "x-4", "x-2"] and got[4:6] == ["y", "y-2"] and len(set(got)) == len(got)
 
 
