@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import matching as M
 from ..operators.relational import first_by
+from ..operators.search import Catalog
 from . import names as N
 
 
@@ -17,12 +17,12 @@ def _asked(catalog: DataFrame, texts: list[str]) -> DataFrame:
 
 def match_products_trgm_batch(catalog: DataFrame, query_texts: list[str]) -> DataFrame:
     """query_index, id, price, similarity, place of up to 1000 offers for each text. catalog: (id, price, norm)."""
-    return M.retrieve(_asked(catalog, query_texts).withColumn("grams", N.trigrams(F.col("norm"))), catalog.withColumn("grams", N.trigrams(F.col("norm"))))
+    return Catalog(catalog).by_grams(_asked(catalog, query_texts).select("query_index", N.trigrams(F.col("norm")).alias("grams"))).drop("by_price")
 
 
 def match_products_axe_batch(catalog: DataFrame, query_texts: list[str], match_limit: int = 1000) -> DataFrame:
     """query_index, id, price, layer, score, place; scores compare within a layer only."""
-    return M.layered(_asked(catalog, query_texts), catalog, match_limit)
+    return Catalog(catalog).layered(_asked(catalog, query_texts), match_limit)
 
 
 def type_lander_by_slug(products: DataFrame, slug: str, least_priced: int = 5, samples: int = 10) -> DataFrame:

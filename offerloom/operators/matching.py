@@ -201,41 +201,3 @@ def redirects(inactive: DataFrame, active: DataFrame) -> DataFrame:
     by_product = met.withColumn("rank", rank).groupBy("slug").agg(F.min("rank").alias("nearest"))
     first = gone.join(by_set, "part", "left").join(by_product, "slug", "left").withColumn("rank", F.coalesce("nearest", "rank")).where("rank IS NOT NULL")
     return first.select("slug", F.col("rank.target").alias("target"), (-F.col("rank.shared")).alias("shared"))
-
-
-def retrieve(queries: DataFrame, catalog: DataFrame, most: int = 1000, least: float = 0.15) -> DataFrame:
-    """Trigram retrieval for many queries at once. queries: (query_index, grams); catalog: (id, price, grams).
-
-    Only the rarest grams of both sides are joined, by their frequency in the catalog, as many as
-    the least similarity asks for; what they pair is compared on whole sets.
-    """
-    share = least / (2 - least)
-    asked = queries.select(F.col("query_index").alias("id"), "grams").where("size(grams) > 0")
-    given = catalog.select("id", "grams").where("size(grams) > 0")
-    known = frequencies(given)
-    unseen = asked.select(F.explode("grams").alias("gram")).distinct().join(known, "gram", "left").select("gram", F.coalesce("df", F.lit(0)).alias("df"))
-    pairs = head_pairs(rare_heads(asked, unseen, share), rare_heads(given, known, share), share)
-    both = pairs.join(asked.select(F.col("id").alias("a"), F.col("grams").alias("ga")), "a").join(catalog.select(F.col("id").alias("b"), "price", F.col("grams").alias("gb")), "b")
-    scored = both.select(F.col("a").alias("query_index"), F.col("b").alias("id"), "price", N.dice(F.col("ga"), F.col("gb")).alias("similarity")).where(F.col("similarity") >= least)
-    w = Window.partitionBy("query_index").orderBy(F.desc("similarity"), "price", "id")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
-
-
-def layered(queries: DataFrame, catalog: DataFrame, most: int = 1000, least: float = 0.15) -> DataFrame:
-    """Layered retrieval: equal names, then all tokens, then any token, then grams; the first layer that finds an offer keeps it.
-
-    queries: (query_index, norm), catalog: (id, price, norm). The layer of any token gives every offer
-    that shares a word, so its rows are those of the answer before the cut.
-    """
-    words = lambda c: F.array_distinct(F.split(c, " "))
-    q, c = queries.withColumn("tokens", words("norm")), catalog.withColumn("tokens", words("norm"))
-    exact = q.join(c, "norm").select("query_index", "id", "price", F.lit(0).alias("layer"), F.lit(1.0).alias("score"))
-    qt = q.select("query_index", F.size("tokens").alias("want"), F.explode("tokens").alias("token"))
-    ct = c.select("id", "price", F.explode("tokens").alias("token"))
-    found = qt.join(ct, "token").groupBy("query_index", "id", "price", "want").agg(F.count(F.lit(1)).alias("got"))
-    by_token = found.select("query_index", "id", "price", F.when(F.col("got") == F.col("want"), 1).otherwise(2).alias("layer"), (F.col("got") / F.col("want")).alias("score"))
-    grams = retrieve(q.withColumn("grams", N.trigrams(F.col("norm"))), c.withColumn("grams", N.trigrams(F.col("norm"))), most, least)
-    every = exact.union(by_token).union(grams.select("query_index", "id", "price", F.lit(3).alias("layer"), F.col("similarity").alias("score")))
-    first = every.withColumn("n", F.row_number().over(Window.partitionBy("query_index", "id").orderBy("layer"))).where("n = 1").drop("n")
-    w = Window.partitionBy("query_index").orderBy("layer", F.desc("score"), "price", "id")
-    return first.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)

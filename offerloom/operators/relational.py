@@ -121,12 +121,16 @@ def change_points(df: DataFrame, keys: Sequence[str], order: Sequence[Column], s
     return df.withColumn("_n", F.row_number().over(w)).withColumn("_prev", F.lag(cur).over(w)).where((F.col("_n") == 1) | ~cur.eqNullSafe(F.col("_prev"))).drop("_n", "_prev")
 
 
-def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int = 64) -> DataFrame:
-    """``df`` written in the order of keys and ``order``, with ``_part``, the number of its range: a key with many rows lies in several."""
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """``df`` written in the order of keys and ``order``, with ``_part``, the number of its range: a key with many rows lies in several.
+
+    Without ``buckets`` there are as many ranges as the session has shuffle partitions, 64 at least.
+    """
+    buckets = buckets or max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return written(df.repartitionByRange(buckets, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranges")
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, buckets: int = 64) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, buckets: int | None = None) -> DataFrame:
     """Adds ``name``, the row number from 1 per key in a total order; counted within ranges and added up, so no key is one task."""
     parts = ranged(df, keys, order, buckets)
     sizes = parts.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_size"))
@@ -136,7 +140,7 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
     return parts.withColumn("_inside", inside).join(before, [*keys, "_part"]).select(*df.columns, (F.col("_inside") + F.col("_before")).alias(name))
 
 
-def filled_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, buckets: int = 64) -> DataFrame:
+def filled_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str, buckets: int | None = None) -> DataFrame:
     """Adds ``name``, the greatest ``value`` of a key up to the row in a total order; carried from range to range, so no key is one task."""
     parts = ranged(df, keys, order, buckets)
     most = parts.groupBy(*keys, "_part").agg(F.max(value).alias("_most"))

@@ -11,6 +11,7 @@ from ..operators import clustering as C
 from ..operators import graph as G
 from ..operators import matching as M
 from ..operators.basket import inline_choice
+from ..operators.search import Catalog
 from ..registry import Tables, query, written
 from ..sources.adapters import with_sql
 
@@ -154,20 +155,20 @@ def asked(t: Tables) -> DataFrame:
 
 @query("g_16_trigram_batch", with_sql(PRODUCT_SQL, ASK_SQL) + "SELECT query_index, id, row_number() OVER (PARTITION BY query_index ORDER BY round(similarity, 9) DESC, price, id) AS place FROM found WHERE similarity >= 0.15 QUALIFY place <= 1000")
 def _(t: Tables) -> DataFrame:
-    return M.retrieve(with_grams(asked(t)), with_grams(products(t))).select("query_index", "id", "place")
+    return Catalog(products(t)).by_grams(with_grams(asked(t))).select("query_index", "id", "place")
 
 
 LAYER_SQL = """qtok AS (SELECT query_index, list_distinct(string_split(norm, ' ')) AS w FROM ask), ctok AS (SELECT id, price, norm, list_distinct(string_split(norm, ' ')) AS w FROM normed),
 every AS (
   SELECT a.query_index, c.id, c.price, 0 AS layer, 1.0 AS score FROM ask a JOIN normed c USING (norm)
-  UNION ALL SELECT q.query_index, c.id, c.price, CASE WHEN len(list_intersect(q.w, c.w)) = len(q.w) THEN 1 ELSE 2 END, len(list_intersect(q.w, c.w)) / len(q.w) FROM qtok q JOIN ctok c ON list_has_any(q.w, c.w)
-  UNION ALL SELECT * FROM (SELECT query_index, id, price, 3, similarity FROM found WHERE similarity >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_index ORDER BY similarity DESC, price, id) <= 1000)
+  UNION ALL SELECT q.query_index, c.id, c.price, CASE WHEN len(list_intersect(q.w, c.w)) = len(q.w) THEN 1 WHEN 2 * len(list_intersect(q.w, c.w)) >= len(q.w) THEN 2 ELSE 3 END, len(list_intersect(q.w, c.w)) / len(q.w) FROM qtok q JOIN ctok c ON list_has_any(q.w, c.w)
+  UNION ALL SELECT * FROM (SELECT query_index, id, price, 4, similarity FROM found WHERE similarity >= 0.15 QUALIFY row_number() OVER (PARTITION BY query_index ORDER BY similarity DESC, price, id) <= 1000)
 ), once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY query_index, id ORDER BY layer) = 1)"""
 
 
 @query("g_15_layers", with_sql(PRODUCT_SQL, ASK_SQL, LAYER_SQL) + "SELECT query_index, id, layer, round(score, 6) AS score FROM once QUALIFY row_number() OVER (PARTITION BY query_index ORDER BY layer, score DESC, price, id) <= 1000")
 def _(t: Tables) -> DataFrame:
-    return M.layered(asked(t), products(t).select("id", "price", "norm")).select("query_index", "id", "layer", F.round("score", 6).alias("score"))
+    return Catalog(products(t)).layered(asked(t)).select("query_index", "id", "layer", F.round("score", 6).alias("score"))
 
 
 WORD_SQL = r"word AS (SELECT doc_id AS doc, unnest(regexp_extract_all(lower(text), '[a-z0-9]{3,}')) AS term FROM documents), df AS (SELECT term, count(DISTINCT doc) AS df FROM word GROUP BY 1), vocab AS (SELECT * FROM df WHERE df >= 3 ORDER BY df DESC, term LIMIT 900)"

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import relational as R
+from ..operators.search import Contains
 from ..registry import Tables, query
 from ..sources.adapters import OFFER_SQL, REQUEST_SQL, SHOP_SQL, TIER_SQL, offers, requests, shops, tiers, with_sql
 
@@ -56,6 +57,13 @@ def _(t: Tables) -> DataFrame:
     return t.part.where(R.contains_any([F.col("p_name"), F.col("p_type"), F.col("p_brand"), F.col("p_size").cast("string")], "bolt")).select("p_partkey")
 
 
+@query("f_05_index_contains", "SELECT needle, p_partkey FROM (SELECT DISTINCT substr(unnest(string_split(p_name, ' ')), 2, 4) AS needle FROM part) JOIN part ON p_name ILIKE '%' || needle || '%' OR p_type ILIKE '%' || needle || '%' WHERE needle <> ''")
+def _(t: Tables) -> DataFrame:
+    """Every inner part of a word of a part's name, against all names and types, through the stored index."""
+    needles = t.part.select(F.explode(F.split("p_name", " ")).alias("word")).select(F.substring("word", 2, 4).alias("needle"))
+    return Contains(t.part, "p_partkey", ["p_name", "p_type"]).search(needles).select("needle", F.col("id").alias("p_partkey"))
+
+
 @query("f_07_visible", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE (CASE WHEN l_returnflag = 'R' THEN true WHEN l_returnflag = 'A' THEN false END) IS NOT TRUE")
 def _(t: Tables) -> DataFrame:
     flag = F.when(F.col("l_returnflag") == "R", True).when(F.col("l_returnflag") == "A", False)

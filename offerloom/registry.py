@@ -28,14 +28,19 @@ class Tables:
         return scratch(self.spark, name)
 
 
-def scratch(spark: SparkSession, name: str) -> str:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one only in a local session that sets none."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         shared = "file://" + tempfile.mkdtemp(prefix="offerloom-")
         spark.conf.set("spark.checkpoint.dir", shared)
-    SCRATCH.append(f"{shared.rstrip('/')}/scratch/{name}-{uuid.uuid4().hex}")
+    return shared.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    SCRATCH.append(f"{shared_folder(spark)}/scratch/{name}-{uuid.uuid4().hex}")
     return SCRATCH[-1]
 
 
