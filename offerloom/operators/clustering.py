@@ -5,14 +5,13 @@ Vectors are long tables (doc, term, w); labels are (doc, cluster), -1 for none.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..registry import written
 from .graph import connected_components
+from .relational import ranked
 
 
 def document_frequency(tokens: DataFrame) -> DataFrame:
@@ -103,63 +102,75 @@ def cohesion(labels: DataFrame, tokens: DataFrame, sample: int = 40, ahead: int
     return size.join(pairs.groupBy("cluster").agg(F.avg(j).alias("c")), "cluster", "left").select("cluster", "size", F.coalesce("c", F.lit(1.0)).alias("cohesion"))
 
 
-def two_means(x: np.ndarray, rounds: int = 18) -> np.ndarray:
-    """Labels 0 and 1 of unit vectors by cosine; seeds are the first and the middle row."""
-    centre = x[[0, len(x) // 2]].copy()
-    label = np.zeros(len(x), int)
-    for _ in range(rounds):
-        new = (x @ centre.T).argmax(1)
-        if (new == label).all() and _:
-            break
-        label = new
-        for k in (0, 1):
-            if (label == k).any():
-                m = x[label == k].mean(0)
-                centre[k] = m / max(np.linalg.norm(m), 1e-12)
-    return label
+#: Centre rows that are broadcast to the vectors; more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 
 
-def sample_cohesion(sets: list[frozenset], sample: int = 40, ahead: int = 7) -> float:
-    s = sets[:sample]
-    j = [len(s[a] & s[b]) / max(len(s[a] | s[b]), 1) for a in range(len(s)) for b in range(a + 1, min(a + ahead + 1, len(s)))]
-    return float(np.mean(j)) if j else 1.0
+def seeded_centres(rows: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(cluster, term, c0, c1): the vectors of the first and the middle document of clusters (doc, cluster, rn, size)."""
+    seeds = rows.where("rn = 1 OR rn = size DIV 2 + 1").select("doc", (F.col("rn") > 1).cast("int").alias("side"))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("side") == k, F.col("w"))), F.lit(0.0)).alias(f"c{k}")
+    return vectors.join(seeds, "doc").groupBy("cluster", "term").agg(of(0), of(1))
+
+
+def moved_centres(sides: DataFrame, vectors: DataFrame, centres: DataFrame) -> DataFrame:
+    """The normalized means of the sides (doc, cluster, side); a side without documents keeps its centre."""
+    sums = vectors.join(sides.select("doc", "side"), "doc").groupBy("cluster", "side", "term").agg(F.sum("w").alias("s"))
+    unit = sums.withColumn("w", F.col("s") / F.greatest(F.sqrt(F.sum(F.col("s") * F.col("s")).over(Window.partitionBy("cluster", "side"))), F.lit(1e-12)))
+    of = lambda k: F.coalesce(F.sum(F.when(F.col("side") == k, F.col("w"))), F.lit(0.0)).alias(f"m{k}")
+    new = unit.groupBy("cluster", "term").agg(of(0), of(1))
+    held = sides.groupBy("cluster").agg(F.count_if(F.col("side") == 0).alias("n0"), F.count_if(F.col("side") == 1).alias("n1"))
+    both = centres.join(new, ["cluster", "term"], "full").join(held, "cluster")
+    keep = lambda k: F.coalesce(F.when(F.col(f"n{k}") > 0, F.col(f"m{k}")).otherwise(F.col(f"c{k}")), F.lit(0.0)).alias(f"c{k}")
+    return both.select("cluster", "term", keep(0), keep(1))
+
+
+def two_means(rows: DataFrame, vectors: DataFrame, rounds: int = 18) -> DataFrame:
+    """(doc, cluster, side) of clusters (doc, cluster, rn, size), all at once: 2-means by cosine, from the first and the middle document.
+
+    A round joins the vectors with their cluster's two centres, adds up both similarities of each document,
+    and sums the sides to new centres; it ends as a written table. Similarities count to twelve places, so
+    the order of a sum doesn't matter; ties go to the first side, as documents without a vector do.
+    """
+    inside = written(vectors.join(rows.select("doc", "cluster"), "doc"), "split-vectors")
+    few = inside.select("cluster", "term").distinct().count() <= BROADCAST_ROWS  # no centre has other terms than its cluster
+    centres = written(seeded_centres(rows, inside), "centres")
+    sides = rows.select("doc", "cluster", F.lit(0).alias("side"))
+    for k in range(rounds):
+        near = inside.join(F.broadcast(centres) if few else centres, ["cluster", "term"])
+        score = lambda c: F.round(F.sum(F.col("w") * F.col(c)), 12)
+        new = near.groupBy("doc").agg((score("c1") > score("c0")).cast("int").alias("new"))
+        after = written(sides.join(new, "doc", "left").select("doc", "cluster", F.coalesce("new", F.lit(0)).alias("side"), F.col("side").alias("before")), "sides")
+        sides = after.drop("before")
+        if k and not after.where("side <> before").limit(1).count() or k == rounds - 1:
+            return sides
+        centres = written(moved_centres(sides, inside, centres), "centres")
+    return sides
 
 
 def split_weak(labels: DataFrame, vectors: DataFrame, tokens: DataFrame, n_docs: int, least_size: int = 40, least_cohesion: float = 0.18, most: int | None = None) -> DataFrame:
     """Clusters too large, or large and loose, are split in two until none is; a useless split halves by order.
 
-    Clusters are independent, so each is one group, and its recursion stays inside the task.
-    New clusters go by their smallest document.
+    Level by level: all weak clusters of a level are split at once, as tables, so a cluster of any size is
+    many tasks. New clusters go by their smallest document.
     """
     largest = most or int(max(n_docs * 0.015, 250))
-    rows = labels.where("cluster >= 0").join(vectors.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("term", "w"))).alias("v")), "doc", "left")
-    rows = rows.join(tokens.groupBy("doc").agg(F.collect_set("term").alias("words")), "doc", "left").select("doc", "cluster", F.col("v.term").alias("terms"), F.col("v.w").alias("ws"), "words")
-
-    def split(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("doc")
-        docs = group["doc"].to_numpy()
-        held = [(i, t, w) for i, (t, w) in enumerate(zip(group["terms"], group["ws"])) if t is not None]
-        terms = {t: i for i, t in enumerate(sorted({t for _, ts, _ in held for t in ts}))}
-        x = np.zeros((len(docs), max(len(terms), 1)))
-        for i, ts, w in held:
-            x[i, [terms[t] for t in ts]] = w
-        sets = [frozenset(w) if w is not None else frozenset() for w in group["words"]]
-        out, todo = np.zeros(len(docs), "i8"), [np.arange(len(docs))]
-        while todo:
-            part = todo.pop()
-            weak = len(part) > largest or (len(part) >= least_size and sample_cohesion([sets[i] for i in part]) < least_cohesion)
-            if len(part) < 8 or not weak:
-                out[part] = docs[part].min()
-                continue
-            label = two_means(x[part])
-            small = min((label == 0).sum(), (label == 1).sum())
-            if small < 2 or small / len(part) < 0.05:
-                label = (np.arange(len(part)) >= len(part) // 2).astype(int)
-            todo += [part[label == 0], part[label == 1]]
-        return pd.DataFrame({"doc": docs, "cluster": out})
-
-    changed = rows.groupBy("cluster").applyInPandas(split, "doc long, cluster long")
-    return changed.union(labels.where("cluster < 0").select("doc", "cluster"))
+    least = lambda rows, *keys: rows.join(rows.groupBy(*keys).agg(F.min("doc").alias("least")), list(keys)).select("doc", F.col("least").alias("cluster"))
+    left, done = written(least(labels.where("cluster >= 0"), "cluster"), "clusters"), labels.where("cluster < 0").select("doc", "cluster")
+    while True:
+        loose = (F.col("size") >= least_size) & (F.col("cohesion") < least_cohesion)
+        weak = written(cohesion(left, tokens).where((F.col("size") >= 8) & ((F.col("size") > largest) | loose)).select("cluster", "size"), "weak")
+        done = done.union(left.join(weak, "cluster", "left_anti").select("doc", "cluster"))
+        if weak.isEmpty():
+            return done
+        rows = written(ranked(left.join(weak, "cluster"), ["cluster"], ["doc"], "rn"), "ranked")
+        sides = two_means(rows, vectors)
+        n1 = F.sum("side")
+        small = sides.groupBy("cluster").agg(n1.alias("n1"), F.count(F.lit(1)).alias("n")).withColumn("small", F.least(F.col("n1"), F.col("n") - F.col("n1")))
+        useless = small.select("cluster", ((F.col("small") < 2) | (F.col("small") / F.col("n") < 0.05)).alias("useless"))
+        half = (F.col("rn") > F.floor(F.col("size") / 2)).cast("int")
+        cut = sides.join(rows.select("doc", "rn", "size"), "doc").join(useless, "cluster").select("doc", "cluster", F.when(F.col("useless"), half).otherwise(F.col("side")).alias("side"))
+        left = written(least(written(cut, "cut"), "cluster", "side"), "clusters")
 
 
 def centroids(labels: DataFrame, vectors: DataFrame) -> DataFrame:
