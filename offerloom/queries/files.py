@@ -10,6 +10,8 @@ from ..plans import imports as I
 from ..registry import Tables, query
 from ..sources import files as S
 from ..sources.adapters import LINE_SQL, OFFER_SQL, REQUEST_SQL, SHOP_SQL, TIER_SQL, lines, with_sql
+from ..sources.lists import list_rows, lists
+from ..sources.sitemaps import opened, read_sitemap, write_sitemap
 from ..streaming import feed as FEED
 from .mutations import feed
 from .plain import CND_CODE, CND_PREFIXES, CND_VALUES
@@ -31,12 +33,57 @@ def _(t: Tables) -> DataFrame:
     return S.lookup(t.spark, path)
 
 
-@query("s_04_json_array", "SELECT n_nationkey AS k, n_name AS name FROM nation")
+def lay_out_lists(part: DataFrame, path: str) -> None:
+    """Price lists of parts under ``path``, by day, as files, folders and archives in several encodings; each day's poorer lists hold other rows."""
+    import datetime
+    import io
+    import zipfile
+
+    store, at = opened(path)
+    wrong = "AIC;Farmaco;Prezzo Pubblico\n0;WRONG;0\n".encode()
+
+    def put(name: str, raw: bytes) -> None:
+        store.create_dir(f"{at}/{name}".rsplit("/", 1)[0], recursive=True)
+        with store.open_output_stream(f"{at}/{name}") as out:
+            out.write(raw)
+
+    def zipped(**members: bytes) -> bytes:
+        box = io.BytesIO()
+        with zipfile.ZipFile(box, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, raw in members.items():
+                z.writestr(f"{name}.csv", raw)
+        return box.getvalue()
+
+    head = "AIC;Farmaco;Prezzo Pubblico"
+    line = F.concat_ws(";", F.col("p_partkey").cast("string"), "p_name", F.concat(F.col("p_size").cast("string"), F.lit(",50 €")))
+    for k in range(5):
+        day = datetime.date(2026, 7, 1) + datetime.timedelta(k)
+        text = lambda first=head: "\n".join([first, *(r.v for r in part.where(F.col("p_partkey") % 5 == k).select(line.alias("v")).toLocalIterator())])  # noqa: B023, E731
+        if k == 0:
+            put(f"{day}_liste/Lista_farmaci_equivalenti.csv", text().encode("cp1252"))
+            put(f"{day}_liste/altro_equivalenti.csv", wrong)
+            put(f"{day}_liste/lista_per_principio_attivo.csv", wrong)
+        elif k == 1:
+            put(f"{day}.zip", zipped(elenco=wrong, trasparenza_nome_commerciale=wrong, elenco_trasparenza=text().encode("utf-8-sig")))
+        elif k == 2:
+            put(f"a-{day}.zip", zipped(lista_farmaci_equivalenti=wrong))
+            put(f"b_{day}/x.csv", text().encode("cp1252"))
+        elif k == 3:
+            put(f"y/{day}/due.csv", wrong)
+            put(f"z/{day}/equivalenti.csv", text().encode("cp1252"))
+        else:
+            put("zz/elenco.csv", text(f"AIC;Farmaco;Prezzo Pubblico {day.day} luglio {day.year}").encode("cp1252"))
+
+
+@query("s_04_json_array", "SELECT o_orderkey AS k, o_orderstatus || ', [' || o_orderpriority || '}' AS name FROM orders")
 def _(t: Tables) -> DataFrame:
-    path = t.scratch("nations")
-    row = F.to_json(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name")))
-    t.nation.agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ",\n"), F.lit("]")).alias("value")).write.text(path)
-    return S.json_array(t.spark, path, "k int, name string")
+    """Orders as files that are one array each, read back by byte ranges."""
+    path = t.scratch("orders")
+    name = F.concat("o_orderstatus", F.lit(", ["), "o_orderpriority", F.lit("}"))
+    row = F.to_json(F.struct(F.col("o_orderkey").alias("k"), name.alias("name")))
+    arrays = t.orders.groupBy(F.floor(F.col("o_orderkey") / 8000).alias("file")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(row), ",\n"), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("file").text(path)
+    return S.json_array(t.spark, f"{path}/*", "k long, name string")
 
 
 @query("s_05_dated_list", "SELECT CAST(p_partkey AS VARCHAR) AS aic, p_name AS medicine, CAST(p_size AS VARCHAR) || ',50' AS public_price FROM part")
@@ -47,11 +94,13 @@ def _(t: Tables) -> DataFrame:
     return S.delimited(t.spark, path).select("aic", "medicine", "public_price")
 
 
-@query("s_06_resolve", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, max('/in/' || strftime(o_orderdate, '%Y-%m-%d') || '/lista_' || lpad(CAST(o_orderkey AS VARCHAR), 9, '0') || '.csv') AS path FROM orders GROUP BY 1")
+@query("s_06_resolve", "SELECT strftime(day, '%Y-%m-%d') AS day, count(*) AS n, min(p_name) AS least, max(euro) AS price FROM (SELECT *, DATE '2026-07-01' + CAST(p_partkey % 5 AS INTEGER) AS day, CAST(p_size AS VARCHAR) || ',50 €' AS euro FROM part) GROUP BY 1")
 def _(t: Tables) -> DataFrame:
-    name = F.concat(F.lit("/in/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("/lista_"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0"), F.lit(".csv"))
-    other = F.concat(F.lit("/in/"), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("/zz.txt"))
-    return S.resolved(t.orders.select(name.alias("path")).union(t.orders.select(other)))
+    """Five days of lists, each with another best place: a folder beside poorer names, an archive, a loose file, a later path, a header."""
+    path = t.scratch("lists")
+    lay_out_lists(t.part, path)
+    rows = list_rows(lists(t.spark, path))
+    return rows.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.min("medicine").alias("least"), F.max("public_price").alias("price"))
 
 
 @query("s_07_cards", """SELECT page_id, href, label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)) AS href, unnest(regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)<', 1)) AS label, unnest(range(len(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)))) AS pos FROM pages) QUALIFY row_number() OVER (PARTITION BY page_id, href ORDER BY pos) = 1""")
@@ -105,12 +154,12 @@ def _(t: Tables) -> DataFrame:
     return S.basket_text(r)
 
 
-@query("s_18_sitemap", "SELECT chunk, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 10000 AS chunk FROM orders) WHERE chunk < 32 GROUP BY 1")
+@query("s_18_sitemap", "SELECT CAST(chunk AS INTEGER) AS chunk, CAST(count(*) AS INTEGER) AS n, true AS listed FROM (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 10000 AS chunk FROM orders) WHERE chunk < 32 GROUP BY 1")
 def _(t: Tables) -> DataFrame:
     path = t.scratch("sitemap")
-    urls = R.paged([t.orders.select("o_orderkey")], "o_orderkey").select("chunk", F.concat(F.lit("https://x.org/o?a=1&id="), F.col("o_orderkey").cast("string")).alias("loc"))
-    S.sitemap(urls, path)
-    return t.spark.read.text(path).groupBy("chunk").agg(F.count(F.lit(1)).alias("n"))
+    urls = R.paged([t.orders.select("o_orderkey")], "o_orderkey").select("chunk", F.concat(F.lit("https://x.org/o?a=1&id=<"), F.col("o_orderkey").cast("string")).alias("loc"))
+    write_sitemap(urls, path, "https://x.org")
+    return read_sitemap(t.spark, path)
 
 
 @query("f_12_size_scope", "SELECT doc_id, n_chars >= 2000 AS full_dump FROM documents WHERE n_chars < 2000 OR lang = 'en'")

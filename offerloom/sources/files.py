@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .arrays import json_array
+
 PRODUCT_SCHEMA = "id string, product_name string, brand string, ecommerce_id string, final_price double, pub_slug string"
 
 
@@ -23,11 +25,6 @@ def json_lines(spark: SparkSession, path: str, schema: str = PRODUCT_SCHEMA, req
     return rows
 
 
-def json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file that is one JSON array. It isn't splittable: convert large ones to lines once."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
-
-
 def lookup(spark: SparkSession, path: str) -> DataFrame:
     """id and name of a JSON array of shops."""
     return json_array(spark, path, "id string, name string")
@@ -57,15 +54,6 @@ def delimited(spark: SparkSession, path: str, columns: dict[str, str] = LIST_COL
     return raw.select(*(F.trim(F.translate(F.col(f"`{found[c]}`"), "\x80", "€")).alias(c) if c in found else F.lit(None).cast("string").alias(c) for c in columns))
 
 
-def resolved(files: DataFrame) -> DataFrame:
-    """From (path, size): the best file per date in its path, ascending; lists before others, csv before others, last name wins."""
-    day = F.nullif(F.regexp_extract("path", r"(?<!\d)(\d{4}-\d{2}-\d{2})(?!\d)", 1), F.lit(""))
-    name = F.lower(F.regexp_extract("path", "([^/]*)$", 1))
-    score = F.when(name.contains("lista"), 10).otherwise(0) + F.when(name.endswith(".csv"), 5).otherwise(0)
-    picked = files.withColumn("day", day).where("day IS NOT NULL").groupBy("day").agg(F.max_by("path", F.struct(score.alias("s"), name.alias("n"))).alias("path"))
-    return picked.orderBy("day")
-
-
 def page_plan(plan: Column) -> Column:
     """Pages of "a-b" or "a,b,...": sorted, each once."""
     ends = F.split(plan, "-")
@@ -142,19 +130,6 @@ def report(sections: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
     return {name: json_sink(df, f"{path}/{name}") for name, df in sections.items()}
 
 
-def escaped(text):
-    """Text as XML has it, apostrophes and quotes included."""
-    for mark, name in (("&", "amp"), ("<", "lt"), (">", "gt"), ("'", "apos"), ('"', "quot")):
-        text = F.replace(text, F.lit(mark), F.lit(f"&{name};"))
-    return text
-
-
-def sitemap(urls: DataFrame, path: str, size: int = 10_000) -> None:
-    """URL sets as XML, a file per chunk. urls: (chunk, loc)."""
-    body = F.concat(F.lit("<url><loc>"), escaped(F.col("loc")), F.lit("</loc></url>"))
-    urls.select("chunk", body.alias("value")).repartition("chunk").sortWithinPartitions("chunk", "value").write.partitionBy("chunk").text(path)
-
-
 def markdown_report(labels: DataFrame, title: str, actions: list[str], most: int = 40) -> DataFrame:
     """A report as one text: how many labels each action has, then a table per action of its largest. labels: (title, n, action).
 
