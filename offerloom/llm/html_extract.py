@@ -10,22 +10,22 @@ of the number of styles. Both are drawn towards 1 by ``PRIOR_PAGES`` pages that
 say nothing, so that few pages never condemn a branch.
 
 A branch is removed from every page of its host if it is low: composite importance below
-``LEAST_IMPORTANCE`` and content below half of the host's best. On ``SURE_PAGES`` pages
-or more the tree also tells branches outside article and main elements by the main
-element's own content: poor ones, below ``RICH`` of it, are removed, rich ones stay though
-they lie beside it. Below that number of pages, text beside a main element goes if
-that element holds half or more of the page's words: there HTML alone says what is
-main. Never kept, whatever the tree finds, is what HTML itself declares to be no main
+``LEAST_IMPORTANCE`` and content below half of the host's best. The tree also tells branches outside
+article and main elements by the main element's own content: poor ones, below ``RICH`` of it, are removed,
+rich ones stay though they lie beside it. For that a branch's content is drawn towards 0 by ``BESIDE_PAGES``
+pages, so that it takes many pages to keep what HTML says is not main; no number of pages switches
+anything. Beside a main element text that the tree doesn't tell apart goes if
+that element holds half or more of the page's words. Never kept, whatever the tree finds, is what HTML itself declares to be no main
 text (navigation, forms, roles, ...) and containers whose name has a furniture word as
-its head ("left-sidebar", "ad-slot-2", but not "notice-period").
+its head ("left-sidebar", "adSlot2", but not "notice-period"; inside a main element "menu" and "social" name content).
 
 Entropies are sums over (host, branch, word), aggregated before and by the shuffle, so a host
 of any size is never in one task; only the verdicts on branches meet the pages.
 
 Cases: null and empty pages have an empty text; unclosed, misnested and unknown elements
 are tolerated, a tag without an end is text; very long pages and broken markup take time in
-proportion to their length; elements nested deeper than ``DEPTH`` are read as part of the
-element there, branches deeper than ``BRANCH_DEPTH`` as part of the branch there; a page without
+proportion to their length; elements nested deeper than ``DEPTH`` belong to the branch there, but
+what they declare or are named still cuts them out; an element that isn't closed ends with its parent, so an unclosed nav takes what follows in it; a page without
 article or main element is judged by its branches alone; pages without a host form one site;
 repeated rows are extracted each; an empty table gives an empty result; extra columns are ignored.
 """
@@ -38,6 +38,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ from .common import BROADCAST_ROWS, stage
 DECAY = 0.9
 LEAST_IMPORTANCE = 0.5
 PRIOR_PAGES = 8
-SURE_PAGES = 64
+BESIDE_PAGES = 2
 RICH = 0.97
 DEPTH = 512
 BRANCH_DEPTH = 32
@@ -73,8 +74,11 @@ FURNITURE = frozenset(
 )
 FURNITURE_BESIDE = frozenset(("header",))
 READERS = frozenset("comment comments commentlist reply replies respond disqus".split())
+#: Words that inside a main element name its own content: the menu of a kitchen, social affairs.
+IN_TEXT = frozenset("menu menus social".split())
 WRAPPERS = frozenset("box container wrapper wrap block area section list bar panel slot unit inner outer item items holder region group content zone row col top bottom left right side button buttons link links icon icons post posts article articles form thread".split())
 
+HUMP = re.compile(r"[-_\d]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/><\"']*)([^<>\"']*)>")
 NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 STOP = re.compile(r"[>\"']")
@@ -98,7 +102,7 @@ def site_of(host: str) -> int:
 @lru_cache(maxsize=1 << 16)
 def head_word(name: str) -> str:
     """What a class or id says it is: its last word that is no wrapper; several words that together are a furniture word count as that."""
-    words = [w for w in re.split(r"[-_\d]+", name) if w]
+    words = [w.lower() for w in HUMP.split(name) if w]
     if "".join(words) in FURNITURE:
         return "".join(words)
     while words and words[-1] in WRAPPERS:
@@ -176,6 +180,7 @@ def read(page: str, furniture: bool = False, names: bool = True, declared: bool
     stack = [Element("", False, False, "", 0, None)]
     opened: Counter = Counter()
     deeper: Counter = Counter()
+    mute: list = []  # of a noise element below DEPTH its tag and how many of that tag are open there
     scanner, at, size = Scanner(page), 0, len(page)
 
     def flush() -> None:
@@ -198,7 +203,7 @@ def read(page: str, furniture: bool = False, names: bool = True, declared: bool
             styles.setdefault(done.branch, []).append(tuple(done.children))
 
     def show(text: str) -> None:
-        if not stack[-1].noise:
+        if not (stack[-1].noise or mute):
             parts.append(html.unescape(text))
         elif furniture:
             beside.append(html.unescape(text))
@@ -223,7 +228,13 @@ def read(page: str, furniture: bool = False, names: bool = True, declared: bool
                 flush()
             if deeper[tag]:
                 deeper[tag] -= 1
+                if mute and mute[0] == tag:
+                    mute[1] -= 1
+                    if not mute[1]:
+                        flush()
+                        mute.clear()
             elif opened[tag]:
+                mute.clear()
                 k = len(stack) - 1
                 while stack[k].tag != tag:
                     k -= 1
@@ -260,23 +271,30 @@ def read(page: str, furniture: bool = False, names: bool = True, declared: bool
             if stack[k].tag in same:
                 while len(stack) > k:
                     pop()
-        attributes = {a[0].lower(): (a[1] or a[2] or a[3]).lower() for a in ATTRIBUTE.findall(rest)} if "=" in rest or "hidden" in rest else {}
-        top = stack[-1]
+        attributes = {a[0].lower(): a[1] or a[2] or a[3] for a in ATTRIBUTE.findall(rest)} if "=" in rest or "hidden" in rest else {}
+        top, role = stack[-1], attributes.get("role", "").lower()
         named = names and bool(attributes) and tag in NAMED and not (tag == "article" and not top.core) and is_furniture(attributes, top.core)
-        hidden = "hidden" in attributes or attributes.get("aria-hidden") == "true" or "display:none" in attributes.get("style", "").replace(" ", "")
-        noise = top.noise or named or hidden or (declared and (tag in NOISE or (tag == "header" and not top.core) or attributes.get("role", "") in NOISE_ROLES))
-        core = declared and not noise and (top.core or tag in ("article", "main") or attributes.get("role") == "main")
+        hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or "display:none" in attributes.get("style", "").lower().replace(" ", "")
+        noise = top.noise or named or hidden or (declared and (tag in NOISE or (tag == "header" and not top.core) or role in NOISE_ROLES))
+        core = declared and not noise and (top.core or tag in ("article", "main") or role == "main")
         if not (block or noise):
             continue  # inline elements leave no trace, but an inline advert is cut out of its block
         if len(stack) > DEPTH:
             deeper[tag] += 1
+            if mute:
+                mute[1] += mute[0] == tag
+            elif noise and not top.noise:
+                flush()
+                mute[:] = tag, 1
             continue
         if block and top.children is not None:
             top.children.append(tag)
-        branch = tag in BRANCHES and top.depth < BRANCH_DEPTH
-        if branch:
-            label = (tag + "." + re.sub(r"\d+", "", attributes["class"]).replace("/", "-").replace(" ", ".") if attributes.get("class") else tag)[:LABEL]
-            stack.append(Element(tag, noise, core, f"{top.branch}/{label}", top.depth + 1, [] if furniture else None))
+        if tag in BRANCHES:
+            label = shortened(tag + "." + re.sub(r"\d+", "", attributes["class"].lower()).replace("/", "-").replace(" ", ".") if attributes.get("class") else tag)
+            path = f"{top.branch}/{label}"
+            if top.depth >= BRANCH_DEPTH:
+                path = f"{'/main' if top.core else ''}/~{crc32(path.encode()):08x}"  # what is deeper goes by a digest of its path
+            stack.append(Element(tag, noise, core, path, top.depth + 1, [] if furniture else None))
         else:
             stack.append(Element(tag, noise, core, top.branch, top.depth, None))
         opened[tag] += 1
@@ -288,9 +306,16 @@ def read(page: str, furniture: bool = False, names: bool = True, declared: bool
     return blocks, styles
 
 
+def shortened(label: str) -> str:
+    """A label of at most about ``LABEL`` characters; longer ones end in a digest, so that different ones stay different."""
+    return label if len(label) <= LABEL else f"{label[:LABEL]}~{crc32(label.encode()):08x}"
+
+
 def is_furniture(attributes: dict[str, str], core: bool) -> bool:
     """Whether a container's names say that it is furniture; inside a main element classes alone do, ids only for readers' comments."""
     heads = {head_word(c) for c in attributes.get("class", "").split()}
+    if core:
+        heads -= IN_TEXT
     if not FURNITURE.isdisjoint(heads):
         return True
     own = {head_word(c) for c in attributes.get("id", "").split()}
@@ -389,12 +414,14 @@ def verdicts(tree: DataFrame) -> DataFrame:
     def drawn(column: str):
         return (F.col("pages") * F.col(column) + PRIOR_PAGES) / (F.col("pages") + PRIOR_PAGES)
 
-    held = tree.where("words > 0").withColumns({"content": drawn("content"), "importance": drawn("importance")})
+    beside = F.col("pages") * F.col("content") / (F.col("pages") + BESIDE_PAGES)
+    held = tree.where("words > 0").withColumns({"beside": beside, "content": drawn("content"), "importance": drawn("importance")})
     best = held.groupBy("site").agg(F.max("content").alias("most"), F.max(F.when(F.col("standing") > 0, F.col("content"))).alias("main"))
     low = (F.col("standing") < 2) & (F.col("importance") < LEAST_IMPORTANCE) & (F.col("content") < F.col("most") / 2)
-    sure = (F.col("standing") == 0) & (F.col("pages") >= SURE_PAGES) & F.col("main").isNotNull()
-    rich = sure & (F.col("content") >= RICH * F.col("main"))
-    return held.join(best, "site").where(low | sure).select("node", "site", (rich & ~low).alias("rich"))
+    told = (F.col("standing") == 0) & F.col("main").isNotNull()
+    rich = told & (F.col("beside") >= RICH * F.col("main"))
+    poor = told & (F.col("content") < RICH * F.col("main"))
+    return held.join(best, "site").where(low | rich | poor).select("node", "site", (rich & ~low).alias("rich"))
 
 
 def extract(pages: DataFrame, tree: bool = True, names: bool = True, declared: bool = True) -> DataFrame:
