@@ -41,6 +41,12 @@ def frequencies(sets: DataFrame) -> DataFrame:
     return sets.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
 
+def stop_grams(sets: DataFrame, share: float = 0.15, least: int = 500) -> DataFrame:
+    """(gram, df) of the grams that more sets hold than a share of all, rounded up, and more than ``least``."""
+    n = sets.agg(F.greatest(F.ceil(F.lit(share) * F.count(F.lit(1))), F.lit(least)).alias("most"))
+    return frequencies(sets).join(F.broadcast(n), F.col("df") > F.col("most")).select("gram", "df")  # one row is broadcast
+
+
 def head_pairs(left: DataFrame, right: DataFrame, share: float) -> DataFrame:
     """(a, b) of heads (id, n, gram) that share a gram and whose sizes allow a Dice of share = t / (2 - t)."""
     a, b = left.select(F.col("id").alias("a"), F.col("n").alias("na"), "gram"), right.select(F.col("id").alias("b"), F.col("n").alias("nb"), "gram")

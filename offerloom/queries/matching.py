@@ -61,12 +61,14 @@ def _(t: Tables) -> DataFrame:
     return M.gram_pairs(with_grams(products(t)), 3)
 
 
-@query("j_06_stop_grams", with_sql(PRODUCT_SQL, "stops AS (SELECT gram, count(*) AS df FROM gram GROUP BY 1 HAVING count(*) > 0.15 * (SELECT count(*) FROM product))") + "SELECT gram, df FROM stops")
+STOP_SQL = r"""label AS (SELECT p_partkey AS id, lower(p_name || ' ' || p_type) AS norm FROM part),
+gram AS (SELECT DISTINCT id, substr('  ' || norm || ' ', CAST(unnest(range(1, length(norm) + 2)) AS INTEGER), 3) AS gram FROM label)"""
+
+
+@query("j_06_stop_grams", with_sql(STOP_SQL) + "SELECT gram, count(*) AS df FROM gram GROUP BY 1 HAVING count(*) > (SELECT greatest(ceil(0.15 * count(*)), 500) FROM part)")
 def _(t: Tables) -> DataFrame:
-    p = products(t)
-    df = with_grams(p).select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    n = p.agg(F.count(F.lit(1)).alias("n"))
-    return df.join(F.broadcast(n), F.col("df") > 0.15 * F.col("n")).select("gram", "df")  # one row is broadcast
+    """Grams of names and types of parts that are too frequent to pair by; below 3334 parts the floor of 500 rules."""
+    return M.stop_grams(t.part.select("p_partkey", N.trigrams(F.lower(F.concat_ws(" ", "p_name", "p_type"))).alias("grams")).withColumnRenamed("p_partkey", "id"))
 
 
 @query("x_06_dice", with_sql(PRODUCT_SQL, PAIR_SQL) + "SELECT a, b, round(2.0 * shared / (size_a + size_b), 6) AS dice FROM pair WHERE 2.0 * shared / (size_a + size_b) >= 0.4")

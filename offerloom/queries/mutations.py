@@ -136,10 +136,10 @@ def _(t: Tables) -> DataFrame:
     return M.fold(empty, feed(t), "user_id", [F.desc("event_id")])
 
 
-@query("m_16_crud", f"SELECT user_id, event_id, value FROM (SELECT *, {FEED} AS op FROM events WHERE user_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE op <> 'DELETE' UNION ALL SELECT -1, -1, 0.0")
+@query("m_16_crud", f"SELECT user_id, event_id, value FROM (SELECT *, {FEED} AS op FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1) WHERE op <> 'DELETE' UNION ALL SELECT -1, -1, 0.0")
 def _(t: Tables) -> DataFrame:
     base = t.spark.createDataFrame([(-1, -1, 0.0)], "user_id long, event_id long, value double")
-    return M.fold(base, feed(t).where("user_id % 2 = 0"), "user_id", [F.desc("event_id")])
+    return M.fold(base, feed(t), "user_id", [F.desc("event_id")])
 
 
 @query("t_05_owner", "SELECT p_partkey, CAST(('0x' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 8))::BIGINT % 4 AS BIGINT) AS worker FROM part")
