@@ -73,9 +73,7 @@ def _(t: Tables) -> DataFrame:
 
 @query("x_06_dice", with_sql(PRODUCT_SQL, PAIR_SQL) + "SELECT a, b, round(2.0 * shared / (size_a + size_b), 6) AS dice FROM pair WHERE 2.0 * shared / (size_a + size_b) >= 0.4")
 def _(t: Tables) -> DataFrame:
-    p = M.gram_pairs(with_grams(products(t)))
-    score = 2.0 * F.col("shared") / (F.col("size_a") + F.col("size_b"))
-    return p.where(score >= 0.4).select("a", "b", F.round(score, 6).alias("dice"))
+    return M.edges(products(t), 0.4).select("a", "b", F.round("score", 6).alias("dice"))
 
 
 def links(t: Tables) -> DataFrame:
