@@ -2,9 +2,9 @@
 
 A document's set is its distinct 5-word shingles. For each of ``BUCKETS`` seeded buckets
 the set's least hash is kept as a register of 16 bits: the count of its leading zeros and
-the ten bits after its first one. Registers are banded four by four, which packs a
+the ten bits after its first one. The first 128 registers are banded four by four, which packs a
 band into one integer. Documents that share a band are candidates; their Jaccard
-similarity is estimated from equal registers, corrected for registers that agree by
+similarity is estimated from all equal registers, corrected for registers that agree by
 chance, candidates far below the limit go, and the rest are confirmed on full sets.
 
 Copies are folded first: documents with equal sets form a class, and only its smallest id is
@@ -12,15 +12,16 @@ compared. Then every bucket of every band compares its members with its most cen
 and confirmed links make components. What is left are buckets with several components.
 The largest component of such a bucket is its hub. Of its members and of those of the
 components that meet it, only the documents that lie in such a bucket themselves are laid
-out in blocks of bounded size; documents of two components besides the hub only where a
-bucket holds three or more. Each pair of blocks is one task, which looks at pairs of
-different components that share a bucket and confirms their links by a product of
-membership matrices. n documents left over by the first comparison cost n / ``BLOCK_SETS``
-copies of each of their sets, and no candidate is dropped.
+out in blocks; documents of two components besides the hub only where a
+bucket holds three or more. A pair of blocks is compared by registers alone, 512 bytes a
+document. Only documents with a partner in reach of the limit go on, in parts of bounded
+size with their partners, and there sets confirm the links by a product of membership
+matrices. n documents left over by the first comparison cost n / ``BLOCK_DOCS`` copies of
+their registers; their sets move for likely pairs only, and no candidate is dropped.
 
 With 32 bands of 4 registers a pair at the limit of 0.75 is missed with a probability
 of 5e-6, less above it; lower limits are refused, as the bands would lose links. The
-estimate is cut five standard errors below the limit.
+estimate over 256 registers is cut five standard errors below the limit, at 0.615.
 
 Cases: null, empty and blank texts have the empty set, size 0, and are linked with nothing;
 fewer than five words make one shingle; repeated rows with one id are one document, of which
@@ -41,12 +42,15 @@ from .common import small_enough, stage, unstage, utf8
 from .components import components
 
 SHINGLE = 5
-BUCKETS = 128
-ROWS_PER_BAND = 4
+BUCKETS = 256
+#: Bands of four registers, packed into a long each; the registers behind them serve the estimate alone.
+BANDS = 32
 MANTISSA = 10
 LEAST_PERCENT = 75
 ERRORS = 5
-#: Sets, and shingles, that a block may hold.
+#: Documents whose registers a block may hold.
+BLOCK_DOCS = 1024
+#: Sets, and shingles, that a part with likely partners may hold.
 BLOCK_SETS = 400
 BLOCK_SHINGLES = 1_500_000
 REMEMBER = 300_000
@@ -63,7 +67,7 @@ label AS (SELECT node, least(node, min(root)) AS component FROM reach GROUP BY n
 SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept FROM text_ LEFT JOIN held USING (doc_id) LEFT JOIN label ON node = doc_id
 """
 
-SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"
+SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, registers array<long>"
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], "u8")
 
 
@@ -114,7 +118,7 @@ def registers(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def sketched(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, registers as bands of four in a long; the last three null for the empty set."""
+    """doc_id, n_shingles, a 128-bit digest of the set, registers four in a long; the last three null for the empty set."""
     import pyarrow as pa
     from xxhash import xxh3_128_digest
 
@@ -135,7 +139,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                     for i, r in zip(some, registers(np.concatenate([sets[i] for i in some]), starts)):
                         regs[i] = r.view("i8")
                         digest[i] = tuple(np.frombuffer(xxh3_128_digest(sets[i].tobytes()), "i8").tolist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array([a for a, _ in digest], pa.int64()), pa.array([b for _, b in digest], pa.int64()), pa.array(regs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size), pa.array([a for a, _ in digest], pa.int64()), pa.array([b for _, b in digest], pa.int64()), pa.array(regs, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "registers"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, SKETCH)
 
@@ -158,13 +162,15 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets_of, "doc_id long, members array<long>")
 
 
+def spread(n: np.ndarray) -> np.ndarray:
+    """For sets of n members, how likely the least hash has each count of leading zeros."""
+    z = np.arange(54)
+    return np.exp(-np.outer(n, 2.0 ** -(z + 1))) - np.exp(-np.outer(n, 2.0**-z))
+
+
 def chance(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     """How likely registers of sets of n and m members agree though their least hashes differ."""
-    out = np.zeros(len(n))
-    for z in range(0, 54):
-        lo, hi = 2.0 ** -(z + 1), 2.0**-z
-        out += (np.exp(-n * lo) - np.exp(-n * hi)) * (np.exp(-m * lo) - np.exp(-m * hi))
-    return out / (1 << MANTISSA)
+    return (spread(n) * spread(m)).sum(1) / (1 << MANTISSA)
 
 
 def estimate(equal: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -205,8 +211,8 @@ def sets_for(needed: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """A staged table of the pairs (u, v) that hold on full sets."""
-    a = sketches.select(F.col("rep").alias("u"), F.col("n_shingles").alias("n"), F.col("bands").alias("ru"))
-    b = sketches.select(F.col("rep").alias("v"), F.col("n_shingles").alias("m"), F.col("bands").alias("rv"))
+    a = sketches.select(F.col("rep").alias("u"), F.col("n_shingles").alias("n"), F.col("registers").alias("ru"))
+    b = sketches.select(F.col("rep").alias("v"), F.col("n_shingles").alias("m"), F.col("registers").alias("rv"))
     likely = stage(estimated(pairs.join(a, "u").join(b, "v"), percent), "likely")
     sets = sets_for(likely.select(F.col("u").alias("doc_id")).union(likely.select(F.col("v").alias("doc_id"))), docs)
     both = likely.join(sets.select(F.col("doc_id").alias("u"), F.col("members").alias("mu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("members").alias("mv")), "v")
@@ -216,15 +222,52 @@ def confirmed(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, percent: i
     return out
 
 
+def near_by_registers(regs: np.ndarray, size: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    """Which of ``left`` and ``right`` (positions) are of different components, share a band and may reach the limit by their estimate."""
+    bands, least = regs.view("i8")[:, :BANDS], least_estimate(percent)
+    theirs, other, theirs_size = bands[right], component[right], size[right]
+    by_chance = spread(size[left].astype("f8")) @ spread(theirs_size.astype("f8")).T / (1 << MANTISSA)
+    near = np.zeros((len(left), len(right)), bool)
+    for i, x in enumerate(left):
+        fits = 100 * np.minimum(theirs_size, size[x]) >= percent * np.maximum(theirs_size, size[x])
+        met = np.flatnonzero((other != component[x]) & fits)
+        met = met[(theirs[met] == bands[x]).any(1)]
+        c = by_chance[i, met]
+        near[i, met] = ((regs[right[met]] == regs[x]).mean(1) - c) / (1 - c) >= least
+    return near
+
+
+def likely_parts(regs: np.ndarray, size: np.ndarray, component: np.ndarray, left: np.ndarray, right: np.ndarray, same: bool, percent: int) -> list[tuple[int, int, int, np.ndarray]]:
+    """(i, j, side, positions): the documents with likely partners, cut into parts of bounded size, once for each pair of parts that has some.
+
+    Components lie together, so that partners fall into few pairs of parts. Where a block meets itself, a part meets itself
+    without a second side.
+    """
+    near = near_by_registers(regs, size, component, left, right, percent)
+
+    def parted(these: np.ndarray, some: np.ndarray) -> list[np.ndarray]:
+        at = np.flatnonzero(some)
+        at = at[np.argsort(component[these[at]], kind="stable")]
+        cost = np.maximum(1 / BLOCK_SETS, size[these[at]] / BLOCK_SHINGLES)
+        part = (np.cumsum(cost) - cost + 1e-9).astype("i8")
+        return [at[part == k] for k in np.unique(part)]
+
+    out = []
+    for i, a in enumerate(parted(left, near.any(1))):
+        for j, b in enumerate(parted(right, near.any(0))):
+            found = near[np.ix_(a, b)]
+            if same and i > j or not found.any():
+                continue
+            out.append((i, j, 0, left[a[found.any(1)]]))
+            if not (same and i == j):
+                out.append((i, j, 1, right[b[found.any(0)]]))
+    return out
+
+
 def links_between(sets: list[np.ndarray], component: np.ndarray, left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Pairs (of positions) of linked sets, enough of them to join all components that links between ``left`` and ``right`` join."""
     size = np.array([len(x) for x in sets])
-    regs = registers(np.concatenate(sets), np.cumsum(size) - size)
-    bands = regs.view("i8")
-    near, least = np.zeros((len(left), len(right)), bool), least_estimate(percent)
-    for i, x in enumerate(left):
-        met = np.flatnonzero((component[right] != component[x]) & (bands[right] == bands[x]).any(1))
-        near[i, met] = estimate((regs[right[met]] == regs[x]).mean(1), np.full(len(met), size[x], "f8"), size[right[met]].astype("f8")) >= least
+    near = near_by_registers(registers(np.concatenate(sets), np.cumsum(size) - size), size, component, left, right, percent)
     if not near.any():
         return []
     # verification: shared members by products of membership matrices, some columns at a time
@@ -276,12 +319,12 @@ def links_in_blocks(current: DataFrame, sketches: DataFrame, docs: DataFrame, pe
     hubs = per.groupBy("band", "key").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", (-F.col("component")).alias("c"))).alias("h")).where("parts > 1")
     met = current.join(hubs.select("band", "key", (F.col("parts") > 2).alias("several"), (-F.col("h.c")).alias("hub")), ["band", "key"])
     met = met.groupBy("hub", "rep", "component").agg(F.max(F.col("several")).alias("several"))
-    members = stage(met.join(sketches.select("rep", "n_shingles"), "rep"), "members")
+    members = stage(met, "members")
     if members.isEmpty():
         unstage(members)
         return None
     others, own = members.where("component <> hub"), members.where("component = hub")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES))
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK_DOCS)
     counts = stage(others.groupBy("hub").agg(blocks.alias("bo")).join(own.groupBy("hub").agg(blocks.alias("bh")), "hub"), "blocks")
 
     def laid(rows: DataFrame, mine: str) -> DataFrame:
@@ -297,22 +340,40 @@ def links_in_blocks(current: DataFrame, sketches: DataFrame, docs: DataFrame, pe
     tasks = tasks.union(h.withColumn("j", upto("bo")).select(*keep, F.lit(0), F.col("block"), "j", F.lit(0)))
     twin = several.withColumn("with", upto("bo"))
     tasks = tasks.union(twin.select(*keep, F.lit(1), F.least("block", "with"), F.greatest("block", "with"), F.when(F.col("block") <= F.col("with"), 0).otherwise(1)))
-    sets = sets_for(tasks.select(F.col("rep").alias("doc_id")), docs)
-    rows = tasks.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("hub", "kind", "i", "j", "side", "rep", "component", "members")
+    rows = tasks.join(sketches.select("rep", "n_shingles", "registers"), "rep").select("hub", "kind", "i", "j", "side", "rep", "component", "n_shingles", "registers")
+    likely = stage(rows.groupBy("hub", "kind", "i", "j").applyInArrow(lambda group: _sift(group, percent), "hub long, kind int, i long, j long, pi int, pj int, side int, rep long, component long"), "block-likely")
+    sets = sets_for(likely.select(F.col("rep").alias("doc_id")), docs)
+    rows = likely.join(sets.withColumnRenamed("doc_id", "rep"), "rep").select("hub", "kind", "i", "j", "pi", "pj", "side", "rep", "component", "members")
+    out = stage(rows.groupBy("hub", "kind", "i", "j", "pi", "pj").applyInArrow(lambda group: _confirm(group, percent), "u long, v long"), "block-links")
+    unstage(members, counts, likely, sets)
+    return out
+
 
-    def evaluate(group):
-        import pyarrow as pa
+def _sift(group, percent: int):
+    """The documents of a pair of blocks with likely partners, a row for each pair of parts."""
+    import pyarrow as pa
 
-        rep, component, side = (group.column(c).to_numpy() for c in ("rep", "component", "side"))
-        data = [x.values.to_numpy().view("u8") for x in group.column("members")]
-        same = group.column("i")[0].as_py() == group.column("j")[0].as_py() and group.column("kind")[0].as_py() == 1
-        left, right = (np.arange(len(rep)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        found = links_between(data, component, left, right, percent) if len(left) and len(right) else []
-        return pa.table({"u": pa.array([int(rep[a]) for a, _ in found], pa.int64()), "v": pa.array([int(rep[b]) for _, b in found], pa.int64())})
+    rep, component, side, size = (group.column(c).to_numpy() for c in ("rep", "component", "side", "n_shingles"))
+    regs = group.column("registers").combine_chunks().flatten().to_numpy().view("u2").reshape(-1, BUCKETS)
+    hub, kind, i, j = (group.column(c)[0].as_py() for c in ("hub", "kind", "i", "j"))
+    same = kind == 1 and i == j
+    left, right = (np.arange(len(rep)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+    parts = likely_parts(regs, size, component, left, right, same, percent) if len(left) and len(right) else []
+    at = np.concatenate([p for *_, p in parts]) if parts else np.empty(0, "i8")
+    pi, pj, which = (np.repeat(np.array([p[k] for p in parts], "i4"), np.array([len(p[3]) for p in parts], "i8")) for k in range(3))
+    whole = [pa.array(np.full(len(at), v), t) for v, t in ((hub, pa.int64()), (kind, pa.int32()), (i, pa.int64()), (j, pa.int64()))]
+    return pa.table([*whole, pa.array(pi), pa.array(pj), pa.array(which), pa.array(rep[at]), pa.array(component[at])], names=["hub", "kind", "i", "j", "pi", "pj", "side", "rep", "component"])
 
-    out = stage(rows.groupBy("hub", "kind", "i", "j").applyInArrow(evaluate, "u long, v long"), "block-links")
-    unstage(members, counts, sets)
-    return out
+
+def _confirm(group, percent: int):
+    """The links of a pair of parts; a part without a second side meets itself."""
+    import pyarrow as pa
+
+    rep, component, side = (group.column(c).to_numpy() for c in ("rep", "component", "side"))
+    data = [x.values.to_numpy().view("u8") for x in group.column("members")]
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    found = links_between(data, component, left, right if len(right) else left, percent)
+    return pa.table({"u": pa.array([int(rep[a]) for a, _ in found], pa.int64()), "v": pa.array([int(rep[b]) for _, b in found], pa.int64())})
 
 
 def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
@@ -322,9 +383,9 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT) -> DataFrame:
     sketch = stage(sketched(docs), "sketch")
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     classes = stage(sketch.where(linkable).groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = stage(sketch.where(linkable).join(classes, ["set_a", "set_b"]).where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n_shingles", "bands"), "reps")
+    reps = stage(sketch.where(linkable).join(classes, ["set_a", "set_b"]).where("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n_shingles", "registers"), "reps")
 
-    rows = reps.select("rep", F.posexplode("bands").alias("band", "key"))
+    rows = reps.select("rep", F.posexplode(F.slice("registers", 1, BANDS)).alias("band", "key"))
     shared = rows.groupBy("band", "key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     bands = stage(rows.join(shared, ["band", "key"]).select("rep", "band", "key", "members"), "bands")
     central = bands.groupBy("rep").agg(F.sum("members").alias("weight"))
