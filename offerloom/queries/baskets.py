@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import basket as B
-from ..registry import Tables, query
+from ..registry import Tables, query, written
 from ..sources.adapters import LINE_SQL, OFFER_SQL, REQUEST_SQL, SHOP_SQL, TIER_SQL, lines, offers, requests, shops, tiers, with_sql
 
 ALL = (SHOP_SQL, TIER_SQL, OFFER_SQL, REQUEST_SQL, LINE_SQL)
@@ -186,3 +186,35 @@ def _(t: Tables) -> DataFrame:
 @query("d_01_compare", with_sql(OFFER_SQL, REQUEST_SQL, SIM_SQL, SHOP_SQL, TIER_SQL, "line AS (SELECT h.basket_id, h.query_index, h.shop_id, h.price, r.quantity, true AS available FROM hit h JOIN request r USING (basket_id, query_index) WHERE similarity >= 0.15 QUALIFY row_number() OVER (PARTITION BY h.basket_id, h.query_index, h.shop_id ORDER BY similarity DESC, h.price, offer_id) = 1)", TABLE_SQL) + "SELECT *, row_number() OVER (PARTITION BY basket_id ORDER BY coverage DESC, total, shop_id) AS place FROM shop_table")
 def _(t: Tables) -> DataFrame:
     return B.compare(requests(t).select("basket_id", "query_index", "quantity"), hits(t), shops(t), tiers(t.spark))["tables"]
+
+
+def comparison_inputs(t: Tables) -> DataFrame:
+    """(id, input): each basket as the JSON that the comparison takes, with the shops that offer anything in it; prices in euros."""
+    euros = lambda c: F.col(c) / 100.0
+    found = hits(t)
+    asked = requests(t).groupBy("basket_id").agg(F.array_sort(F.collect_list(F.struct("query_index", F.col("product_id").cast("string").alias("text")))).alias("asked"))
+    match = F.struct(F.col("query_index").cast("int").alias("query_index"), F.col("offer_id").cast("string").alias("id"), euros("price").alias("final_price"), F.col("shop_id").cast("string").alias("ecommerce_id"), "similarity")
+    matches = found.groupBy("basket_id").agg(F.collect_list(match).alias("risultati_db"))
+    tier = F.struct("pos", euros("min_value").alias("min_value"), euros("max_value").alias("max_value"), euros("cost").alias("shipping_cost"))
+    of_set = tiers(t.spark).groupBy("tier_set").agg(F.array_sort(F.collect_list(tier)).alias("shipping_tiers"))
+    card = F.struct(F.col("shop_id").cast("string").alias("id"), F.col("shop_name").alias("name"), "shipping_tiers")
+    catalog = found.select("basket_id", "shop_id").distinct().join(shops(t), "shop_id").join(of_set, "tier_set").groupBy("basket_id").agg(F.collect_list(card).alias("catalogo_ecommerce"))
+    whole = asked.join(matches, "basket_id").join(catalog, "basket_id")
+    names = F.transform("asked", lambda x: x["text"]).alias("prodotti_richiesti")
+    return whole.select(F.col("basket_id").alias("id"), F.to_json(F.struct(names, "risultati_db", "catalogo_ecommerce")).alias("input"))
+
+
+TABLE_JSON = "struct<tabelle_ecommerce:array<struct<ecommerce_id:string,prezzo_prodotti:double,prezzo_spedizione:double,prezzo_totale:double,copertura:long,copertura_totale:long>>,scenario_monopolista:struct<ecommerce_id:string>>"
+
+
+@query(
+    "d_01_compare_json",
+    with_sql(OFFER_SQL, REQUEST_SQL, SIM_SQL, SHOP_SQL, TIER_SQL, "line AS (SELECT basket_id, query_index, shop_id, price, 1 AS quantity, true AS available FROM hit WHERE similarity >= 0.15 QUALIFY row_number() OVER (PARTITION BY basket_id, query_index, shop_id ORDER BY similarity DESC, price, offer_id) = 1)", TABLE_SQL, "asked AS (SELECT basket_id, count(*) AS requested FROM request GROUP BY 1)")
+    + "SELECT basket_id, shop_id, coverage, requested, products, shipping, total, row_number() OVER (PARTITION BY basket_id ORDER BY coverage DESC, total, CAST(shop_id AS VARCHAR)) AS place, place = 1 AS single FROM shop_table JOIN asked USING (basket_id)",
+)
+def _(t: Tables) -> DataFrame:
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    out = B.compared_json(written(comparison_inputs(t), "comparisons")).select("id", F.from_json("output", TABLE_JSON).alias("o"))
+    rows = out.select(F.col("id").alias("basket_id"), F.col("o.scenario_monopolista.ecommerce_id").alias("best"), F.posexplode("o.tabelle_ecommerce").alias("at", "t"))
+    money = [cents(f"t.{field}").alias(name) for field, name in (("prezzo_prodotti", "products"), ("prezzo_spedizione", "shipping"), ("prezzo_totale", "total"))]
+    return rows.select("basket_id", F.col("t.ecommerce_id").cast("long").alias("shop_id"), F.col("t.copertura").alias("coverage"), F.col("t.copertura_totale").alias("requested"), *money, (F.col("at") + 1).alias("place"), (F.col("t.ecommerce_id") == F.col("best")).alias("single"))
