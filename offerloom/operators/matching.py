@@ -108,11 +108,12 @@ def described(members: DataFrame, links: DataFrame) -> DataFrame:
     shops = F.transform("m", lambda x: x["shop"])
     title = F.when(F.col("members") <= 2, F.concat("canonical_name", F.lit(" — "), shops[0], F.lit(" vs "), shops[1])).otherwise(F.concat("canonical_name", F.lit(" — confronto prezzi su "), F.col("members").cast("string"), F.lit(" shop")))
     ids = F.transform("m", lambda x: x["id"].cast("string"))
-    out = base.join(score, "component").select("component", "members", "score", "canonical_name", title.alias("title"), N.slug(F.col("canonical_name"), 100, "prodotto").alias("base"), ids.alias("product_ids"))
-    # the first cluster of a slug keeps it; later ones add the beginnings of their ids
-    n = F.row_number().over(Window.partitionBy("base").orderBy("component"))
+    out = written(base.join(score, "component").select("component", "members", "score", "canonical_name", title.alias("title"), N.slug(F.col("canonical_name"), 100, "prodotto").alias("base"), ids.alias("product_ids")), "described")
+    # the first cluster of a slug keeps it; later ones add the beginnings of their ids. Firsts come from
+    # partial minima and are joined by component, so that a slug which many clusters share is no one task
+    firsts = out.groupBy("base").agg(F.min("component").alias("component")).select("component", F.lit(True).alias("first"))
     tail = F.array_join(F.transform("product_ids", lambda x: F.substring(x, 1, 4)), "-")
-    return out.withColumn("n", n).withColumn("slug", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), tail))).drop("n", "base")
+    return out.join(firsts, "component", "left").withColumn("slug", F.when(F.col("first"), F.col("base")).otherwise(F.concat("base", F.lit("-"), tail))).drop("first", "base")
 
 
 def name_classes(products: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
