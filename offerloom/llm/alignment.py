@@ -5,7 +5,8 @@ whose ranges overlap are linked; offsets where both have an end cut the tokens i
 No token of either vocabulary goes on from another character into a space, so a text can be cut
 before each space that follows another character, and each distinct chunk is encoded and aligned
 once while a worker remembers it: the new chunks of some texts are encoded end to end, and their
-ends are compared in one sorted array. A group never reaches over such a place.
+ends are compared in one sorted array. A group never reaches over such a place. A chunk that ends in white space,
+as the last of a text may, is the last of its array: tokens do go on from white space into the next chunk's space.
 
 How often a pair of ids is linked in the corpus, and which A ids are linked most with a B id, is
 found by a postings cogroup. Each document's pairs and their multiplicities are postings
@@ -119,11 +120,11 @@ class Aligner:
         return a, b, np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
 
     def learn(self, chunks: list[str]) -> None:
-        """Align chunks that are not known yet, laid end to end as far as ``LONG`` characters go."""
+        """Align chunks that are not known yet, laid end to end as far as ``LONG`` characters go; nothing follows one that ends in white space."""
         at = 0
         while at < len(chunks):
             stop, size = at, 0
-            while stop < len(chunks) and (stop == at or size + len(chunks[stop]) <= LONG):
+            while stop < len(chunks) and (stop == at or self.b.splits and size + len(chunks[stop]) <= LONG and not chunks[stop - 1][-1].isspace()):
                 size += len(chunks[stop])
                 stop += 1
             part = chunks[at:stop]

@@ -82,6 +82,12 @@ def test_chunks_align_as_whole_texts_do(plain):
                 assert (*got[:3], got[3].decode(), links) == want, text
 
 
+def test_texts_that_end_and_begin_with_white_space(spark, plain):
+    rng = random.Random(9)
+    texts = ["a ", " b", "a  ", "  b", "c\n", " \n d", "\n", " ", "   ", "\t ", " e\t"] + ["".join(rng.choice([" ", "  ", "a", "\n", "b"]) for _ in range(rng.randrange(9))) for _ in range(400)]
+    assert results(L.align(given(spark, texts), tokenizer(A), tokenizer(B))) == wanted(texts, plain)
+
+
 def test_documents_with_hot_sides_in_several_cells(spark, plain):
     rng = random.Random(8)
     texts = ["".join(rng.choice(BITS) for _ in range(rng.randrange(20))) for _ in range(150)] + ["the same text, twice"] * 2 + [None, "", "the the the " * 40]
