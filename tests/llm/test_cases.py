@@ -417,6 +417,36 @@ def test_cut_lies_between_the_labels():
     assert quality.calibrated(score, good) == pytest.approx(0.45)
 
 
+def test_every_labelled_row_sets_the_forest_and_the_cut(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n = 24_000
+    x = np.round(rng.normal(size=(n, len(quality.RULES))), 1)
+    good = x[:, 0] + rng.normal(size=n) < 1.2
+    base = [c for c in quality.BASE if c != "n_words"]
+    stats = spark.createDataFrame([(k, 60, *[0] * len(base), *map(float, row)) for k, row in enumerate(x)], ", ".join(["doc_id long, n_words long", *(f"{c} long" for c in base), *(f"{c} double" for c in quality.RULES)]))
+    labels = spark.createDataFrame([(k, int(g)) for k, g in enumerate(good)], "doc_id long, quality int")
+    chosen = quality.labelled(labels)
+    assert chosen.count() == n
+    forest, threshold = quality.fit(stats, chosen)
+    assert len(forest.trees) == quality.TREES and threshold == quality.calibrated(forest.score(x), good)
+    rows = spark.createDataFrame([(int(h), *map(float, row)) for h, row in zip(rng.integers(-(2**63), 2**63, n), x)], ", ".join(["place long", *(f"{c} double" for c in quality.RULES)]))
+    drawn = Counter(r.tree for r in quality.drawn(rows, n).collect())
+    assert len(drawn) == quality.TREES and min(drawn.values()) > quality.TREE_ROWS and max(drawn.values()) < 3 * quality.TREE_ROWS
+
+
+def test_cut_of_counted_scores_is_that_of_all_scores(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for n in (1, 2, 7, 300):
+        for kinds in ([True], [False], [True, False]):
+            score, good = rng.integers(0, 40, n) / 64, rng.choice(kinds, n)
+            scored = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(score, good)], "score double, good boolean")
+            assert quality.cut(scored) == quality.calibrated(score, good)
+
+
 def test_lm_scoring(spark, docs, none):
     got = lm_scoring.score(docs).collect()
     assert len(got) == len(ROWS)
