@@ -1,4 +1,4 @@
-"""The change feed and day counts as streams; both give what their batch forms give."""
+"""The change feed and day counts as streams; the feed and the added days give what their batch forms give, the closed days without what comes late."""
 
 from __future__ import annotations
 
@@ -87,6 +87,25 @@ def day_counts(events: DataFrame, delay: str = "1 day") -> DataFrame:
     return events.withWatermark("ts", delay).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("day"), "event_type", "n")
 
 
+def added_days(events: DataFrame, target: str, checkpoint: str):
+    """Starts a query that adds each batch's counts by day and type to ``target``/batch=N; ``all_days`` adds them up.
+
+    Every row counts, however late it is and whether its day is over or not; rows without a time have a day of null. Nothing is kept in state,
+    and a batch that runs again after a failure overwrites its own folder.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.groupBy(F.date_trunc("day", "ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def all_days(spark: SparkSession, target: str) -> DataFrame:
+    """(day, event_type, n) of all batches so far."""
+    added = spark.read.schema("day timestamp, event_type string, n long").parquet(target)
+    return added.groupBy("day", "event_type").agg(F.sum("n").alias("n"))
+
+
 def closed_days(events: DataFrame, target: str, checkpoint: str, delay: str = "1 day"):
     """Starts a query that adds each day's counts to ``target`` once, when no row up to ``delay`` late can change them; the state of the day is freed then.
 

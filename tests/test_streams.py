@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -71,6 +72,26 @@ def test_days_close_once_and_late_rows_are_counted_apart(spark, tmp_path):
     assert feed.most_state_rows(q) <= 4  # open days only, however many have passed
 
 
+def test_added_days_count_every_row(spark, tmp_path):
+    import offerloom.queries  # noqa: F401  (registers)
+    from offerloom.registry import QUERIES
+
+    at = lambda day, hour=3: datetime.datetime(*day, hour)
+    days = [(2026, 3, 1), (2026, 3, 2), (2026, 3, 20), (2026, 3, 21), (1969, 5, 5), (2026, 3, 1)]
+    rows = [(at(d), kind) for d in days for kind in ("view", "cart", None)] + [(None, "view"), (None, None), (at((2026, 3, 21), 9), "view")]
+    want = Counter((str(ts.date()) if ts else None, kind) for ts, kind in rows)
+    schema = "ts timestamp, event_type string"
+    source, target, state = (f"file://{tmp_path}/{x}" for x in ("in", "out", "state"))
+    for part in (rows[9:], rows[:9]):  # the later days come first; the stream stops and goes on
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+        feed.added_days(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), target, state).awaitTermination()
+    assert {(str(r.day.date()) if r.day else None, r.event_type): r.n for r in feed.all_days(spark, target).collect()} == want
+    spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/events.parquet")
+    assert {(r.day, r.event_type): r.n for r in QUERIES["t_06_stream_days"](spark, f"file://{tmp_path}").collect()} == want
+    spark.createDataFrame([], schema).write.parquet(f"file://{tmp_path}/none/events.parquet")
+    assert QUERIES["t_06_stream_days"](spark, f"file://{tmp_path}/none").collect() == []
+
+
 def test_stream_and_batch_fold_of_the_given_feed(spark, small, tmp_path):
     from offerloom.queries.mutations import feed as given
     from offerloom.registry import Tables
