@@ -282,3 +282,14 @@ def test_dbscan_against_a_plain_run(spark):
     border = {d: want[min(near[d] & core)] for d in docs if d not in core and near[d] & core}
     got = C.dbscan(spark.createDataFrame([(d,) for d in docs], "doc long"), tokens, vectors, 120, most_share=0.2)
     assert {r.doc: r.cluster for r in got.collect()} == {d: want.get(d, border.get(d, -1)) for d in docs}
+
+
+def test_stop_grams_of_few_pages(spark, tmp_path):
+    import offerloom.queries  # noqa: F401  (registers)
+    from offerloom.registry import QUERIES
+
+    titles = ["abcd"] * 4 + ["abx"] * 3 + ["Ábx"] + [f"{k}" for k in range(11)] + [None]  # 3 of 20 are no more than 15 %
+    rows = [(k, f"https://shop{k % 3}.it/p/{k}", t and f"<title>{t}</title>") for k, t in enumerate(titles)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"file://{tmp_path}/pages.parquet")
+    got = {r.gram: r.df for r in QUERIES["j_06_stop_grams"](spark, f"file://{tmp_path}").collect()}
+    assert got == {"  a": 8, " ab": 8, "abc": 4, "bcd": 4, "cd ": 4, "abx": 4, "bx ": 4}
