@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from offerloom.operators import basket as B
+from offerloom.queries import baskets
 from offerloom.registry import Tables
 from offerloom.sources import adapters as A
 
@@ -18,7 +19,7 @@ def above_lines(df) -> str:
     return above
 
 
-@pytest.mark.parametrize("name", ["a_02_shop_table", "o_04_coverage_order", "g_08_single_shop", "x_26_hints", "g_07_cheapest_mix"])
+@pytest.mark.parametrize("name", ["a_02_shop_table", "o_04_coverage_order", "g_08_single_shop", "x_26_hints", "g_07_cheapest_mix", "d_01_compare"])
 def test_lines_are_not_moved(spark, small, name):
     assert "Exchange hashpartitioning" not in above_lines(entry.queries()[name](spark, small))
 
@@ -30,6 +31,9 @@ def test_dealt_lines_are_the_lines(spark, small, tmp_path):
     odd.union(odd.limit(40)).write.parquet(f"{tmp_path}/lineitem.parquet")
     t = Tables(spark, str(tmp_path))
     assert sorted(map(str, A.dealt_lines(t).collect())) == sorted(map(str, A.lines(t).collect()))
+    want = baskets.hits(t).join(A.requests(t).select("basket_id", "query_index", "quantity"), ["basket_id", "query_index"])
+    got = baskets.dealt_hits(t).where("basket_id IS NOT NULL").select(*want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
 def test_many_shops_are_joined_without_a_broadcast(spark, monkeypatch):
