@@ -24,7 +24,7 @@ def test_similar_against_all_pairs(spark):
         assert want and {(r.a, r.b) for r in M.similar(df, t).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["a_11_cluster_score", "j_09_redirect_targets", "x_06_dice", "a_10_mean_edge", "g_01_edges", "g_02_components", "g_01_matcher", "w_14_one_per_shop"])
+@pytest.mark.parametrize("name", ["a_11_cluster_score", "j_09_redirect_targets", "x_06_dice", "a_10_mean_edge", "g_01_edges", "g_02_components", "g_01_matcher", "w_14_one_per_shop", "w_15_canonical"])
 def test_few_pairs_are_compared_whole(spark, small, monkeypatch, name):
     """Of the pairs that share a rare gram most end before their sets are moved, in as many tasks as the session has partitions."""
     seen, real = [], M.head_pairs
